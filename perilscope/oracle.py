@@ -236,12 +236,158 @@ def analysis_query(grain: str, binned: bool = False) -> str:
     return with_(analysis(grain, binned), final(ANALYSIS_COLS, "a_set"))
 
 
-ORACLE: dict[str, str] = {}
+# -- features, composite index, prediction rows -----------------------------
+
+def in_list(names) -> str:
+    return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+
 
+def row_mean_sql(cols) -> str:
+    n = " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in cols)
+    s = " + ".join(f"coalesce({c}, 0)" for c in cols)
+    return f"(CASE WHEN {n} > 0 THEN ({s}) / ({n}) END)"
 
-def register(name: str, sql: str) -> None:
-    ORACLE[name] = sql
 
+def slope_sql(lst: str) -> str:
+    """Least-squares slope of a list against 0..n-1 (0 below two values)."""
+    n = f"CAST(len({lst}) AS DOUBLE)"
+    sy = f"list_sum({lst})"
+    sxy = f"list_sum(list_transform({lst}, lambda y, i: y * (i - 1)))"
+    sx = f"({n} * ({n} - 1) / 2)"
+    sxx = f"(({n} - 1) * {n} * (2 * {n} - 1) / 6)"
+    return (f"(CASE WHEN len({lst}) >= 2 THEN ({n} * {sxy} - {sx} * {sy}) / "
+            f"({n} * {sxx} - {sx} * {sx}) ELSE 0.0 END)")
 
-register("analysis_set_yearly", analysis_query("sparse"))
-register("analysis_set_binned", analysis_query("sparse", binned=True))
+
+FEATURE_EXTRA = [
+    "impact_rebased_next", "log_total_affected", "log_total_death",
+    "total_affected_3yr_avg", "total_death_3yr_avg", "impact_3yr_avg",
+    "impact_trend_5yr", "absolute_impact_trend", "impact_std_5yr",
+    "country_mean_impact", "country_long_term_mean", "impact_lag1",
+    "log_total_affected_3yr_avg", "log_total_death_3yr_avg",
+    "country_recent_deviation",
+]
+FEATURE_COLS = ANALYSIS_COLS + [(c, "d") for c in FEATURE_EXTRA]
+COMPONENT_COLS = [(c, "d") for c in ["human_burden", "persistence",
+                                    "climate_intensity",
+                                    "structural_vulnerability", "CLI"]]
+
+
+def _w(frame: str = "") -> str:
+    return f"OVER (PARTITION BY country ORDER BY period {frame})"
+
+
+def features(grain: str, cutoff: int, excluded) -> list[tuple[str, str]]:
+    """All CTEs up to ``ft`` (the feature table)."""
+    ex = f"""SELECT * FROM a_set
+WHERE country IS NULL OR country NOT IN ({in_list(excluded)})"""
+    f1 = """SELECT *, ln(1 + coalesce(total_affected, 0)) AS log_total_affected,
+  ln(1 + coalesce(total_deaths, 0)) AS log_total_death FROM f_ex"""
+    r3 = "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"
+    r5 = "ROWS BETWEEN 4 PRECEDING AND CURRENT ROW"
+    f2 = f"""SELECT *,
+  lead(impact_rebased) {_w()} AS impact_rebased_next,
+  lag(impact_rebased) {_w()} AS lag_raw,
+  coalesce(avg(total_affected) {_w(r3)}, 0) AS total_affected_3yr_avg,
+  coalesce(avg(total_deaths) {_w(r3)}, 0) AS total_death_3yr_avg,
+  avg(climate_impact_index) {_w(r3)} AS impact_3yr_avg,
+  list_filter(list(climate_impact_index) {_w(r5)}, lambda x: x IS NOT NULL) AS l_idx,
+  list_filter(list(log_total_affected) {_w(r5)}, lambda x: x IS NOT NULL) AS l_log,
+  coalesce(stddev_samp(climate_impact_index) {_w(r5)}, 0) AS impact_std_5yr
+FROM f_1"""
+    f3 = f"""SELECT * EXCLUDE (l_idx, l_log), {slope_sql('l_idx')} AS impact_trend_5yr,
+  {slope_sql('l_log')} AS absolute_impact_trend FROM f_2"""
+    tr = f"SELECT * FROM f_3 WHERE period <= {cutoff}"
+    em = """SELECT country, avg(impact_rebased) AS cm, avg(climate_impact_index) AS cl
+FROM f_tr GROUP BY country"""
+    gm = "SELECT avg(impact_rebased) AS gm, avg(climate_impact_index) AS gl FROM f_tr"
+    ft = """SELECT f.* EXCLUDE (lag_raw),
+  coalesce(e.cm, g.gm) AS country_mean_impact,
+  coalesce(e.cl, g.gl) AS country_long_term_mean,
+  coalesce(f.lag_raw, coalesce(e.cm, g.gm)) AS impact_lag1,
+  ln(1 + f.total_affected_3yr_avg) AS log_total_affected_3yr_avg,
+  ln(1 + f.total_death_3yr_avg) AS log_total_death_3yr_avg,
+  f.climate_impact_index - coalesce(e.cl, g.gl) AS country_recent_deviation
+FROM f_3 f LEFT JOIN f_em e ON f.country = e.country CROSS JOIN f_gm g"""
+    return analysis(grain) + [("f_ex", ex), ("f_1", f1), ("f_2", f2), ("f_3", f3),
+                              ("f_tr", tr), ("f_em", em), ("f_gm", gm), ("ft", ft)]
+
+
+HB = ["log_total_affected", "log_total_death", "log_total_affected_3yr_avg",
+      "log_total_death_3yr_avg"]
+PS = ["impact_3yr_avg", "impact_lag1"]
+COMP_INPUT = {
+    "human_burden": row_mean_sql(HB),
+    "persistence": row_mean_sql(PS),
+    "climate_intensity": "climate_impact_index",
+    "structural_vulnerability": "country_mean_impact",
+}
+
+
+def comp_stats(cutoff: int, src: str = "ft") -> list[tuple[str, str]]:
+    parts = []
+    for n, e in COMP_INPUT.items():
+        parts.append(f"avg({e}) AS {n}_m")
+        parts.append(f"CASE WHEN stddev_samp({e}) = 0 THEN 1.0 ELSE stddev_samp({e}) END AS {n}_s")
+    return [("c_st", f"SELECT {', '.join(parts)} FROM {src} WHERE period <= {cutoff}")]
+
+
+def apply_comp(src: str, name: str) -> tuple[str, str]:
+    comps = ", ".join(f"({e} - c_st.{n}_m) / c_st.{n}_s AS {n}" for n, e in COMP_INPUT.items())
+    cli = " + ".join(f"{w} * (({e} - c_st.{n}_m) / c_st.{n}_s)"
+                     for w, (n, e) in zip([0.50, 0.25, 0.15, 0.10], COMP_INPUT.items()))
+    return (name, f"SELECT {src}.*, {comps}, {cli} AS CLI FROM {src} CROSS JOIN c_st")
+
+
+def composite(grain: str, cutoff: int, excluded) -> list[tuple[str, str]]:
+    """CTEs up to ``cli`` (feature table + components + CLI)."""
+    return features(grain, cutoff, excluded) + comp_stats(cutoff) + [apply_comp("ft", "cli")]
+
+
+MEDIAN_FILLED = ["country_mean_impact", "impact_lag1", "impact_3yr_avg",
+                 "impact_trend_5yr", "impact_std_5yr", "country_recent_deviation",
+                 "log_total_affected", "log_total_death",
+                 "log_total_affected_3yr_avg", "log_total_death_3yr_avg",
+                 "hazard_count", "economic_damage_pct_gdp"]
+
+
+def prediction(grain: str, cutoff: int, lo: int, hi: int, excluded,
+               min_periods: int = 5) -> list[tuple[str, str]]:
+    """CTEs up to ``p_in`` (imputed prediction rows, with stale components)."""
+    lat = f"""SELECT * FROM cli
+WHERE period BETWEEN {lo} AND {hi}
+  AND country IN (SELECT country FROM cli WHERE period <= {cutoff})
+QUALIFY row_number() OVER (PARTITION BY country ORDER BY period DESC) = 1"""
+    val = f"""SELECT country FROM cli WHERE period <= {cutoff} GROUP BY country
+HAVING count(DISTINCT period) >= {min_periods}"""
+    p0 = "SELECT * FROM p_lat WHERE country IN (SELECT country FROM p_val)"
+    hz = ", ".join(f"coalesce({c}, 0) AS {c}" for c in IMPACT_COLS)
+    p1 = f"SELECT * REPLACE ({hz}) FROM p_0"
+    mean4 = "(" + " + ".join(IMPACT_COLS) + ") / 4.0"
+    p2 = f"""SELECT * REPLACE (coalesce(climate_impact_index, {mean4}, 0) AS climate_impact_index,
+  coalesce(absolute_impact_trend, 0) AS absolute_impact_trend) FROM p_1"""
+    med = "SELECT " + ", ".join(
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}" for c in MEDIAN_FILLED) + " FROM p_2"
+    fill = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}, 0) AS {c}" for c in MEDIAN_FILLED)
+    p3 = f"SELECT p_2.* REPLACE ({fill}) FROM p_2 CROSS JOIN p_med"
+    return composite(grain, cutoff, excluded) + [
+        ("p_lat", lat), ("p_val", val), ("p_0", p0), ("p_1", p1), ("p_2", p2),
+        ("p_med", med), ("p_in", p3)]
+
+
+def scores(grain: str, cutoff: int, lo: int, hi: int, excluded) -> list[tuple[str, str]]:
+    """CTEs up to ``s_ok`` (re-scored prediction rows with a CLI)."""
+    drop = ", ".join(n for n in COMPONENT_COLS_NAMES)
+    return prediction(grain, cutoff, lo, hi, excluded) + [
+        ("p_base", f"SELECT * EXCLUDE ({drop}) FROM p_in"),
+        apply_comp("p_base", "s_all"),
+        ("s_ok", f"""SELECT * FROM s_all WHERE CLI IS NOT NULL
+  AND (country IS NULL OR country NOT IN ({in_list(excluded)}))""")]
+
+
+COMPONENT_COLS_NAMES = [c for c, _ in COMPONENT_COLS]
+PRED_COLS = [(c, "d" if k == "i" and c == "hazard_count" else k)
+             for c, k in FEATURE_COLS] + COMPONENT_COLS
+
+
+ORACLE: dict[str, str] = {}

@@ -1,10 +1,13 @@
-"""Registered queries: name → ``fn(spark, sf_dir) -> DataFrame``.
+"""Registered queries: name → ``fn(spark, sf_dir) -> DataFrame``, each with
+its DuckDB SQL (when one exists) in :data:`perilscope.oracle.ORACLE`.
 
-Each query reads the driver tables (through the stand-ins of
-:mod:`perilscope.sources.driver_tables`) and runs one operator or pipeline
+Every query reads the driver tables through the stand-ins of
+:mod:`perilscope.sources.driver_tables` and runs one operator or pipeline
 over the whole tables. Results go through :func:`finish`, the parity
-casts shared with :mod:`perilscope.oracle` (BIGINT integers, doubles
-rounded to 6 places without −0.0).
+casts shared with the SQL (BIGINT integers, doubles rounded to 6 places
+without −0.0). Grains: ``sparse`` customer × year (operators, C1–C6),
+``gappy`` nation × month (C7–C10, C16), ``model`` nation × quarter
+(models), ``dense`` nation × year (views C12–C15).
 """
 
 from __future__ import annotations
@@ -15,11 +18,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sources import driver_tables as D
+from . import oracle as O
+from .config import (CLI_WEIGHTS, DAMAGE_COLUMNS, FEATURES_BINNED,
+                     FEATURES_CONTINUOUS, FEATURES_IMPROVED, HAZARDS, TARGET)
+from .functions import rowwise as RW
+from .functions import scalar as SC
+from .operators import aggregate as AG
+from .operators import filters as FL
+from .operators import joins as J
+from .operators import reshape as RS
+from .operators import scale as SL
+from .operators import series as S
+from .operators.order import column_medians, dense_rank, top_k
 from .plans import analysis as A
+from .plans import builders as B
+from .plans import features as FE
+from .plans import model as M
+from .plans import views as V
+from .session import stage
+from .sources import driver_tables as D
+from .sources import io as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+IMPACTS = [f"{h}_impact" for h in HAZARDS]
+RANK_PLACES = 9
+
+# Grain parameters: cutoffs are period numbers of each grain.
+YEAR = {"grain": "sparse", "cutoff": 1999, "lo": 1998, "hi": 2001, "split": 1999,
+        "excluded": D.EXCLUDED_CUSTOMERS}
+MONTH = {"grain": "gappy", "cutoff": 1999 * 12 + 11, "lo": 1998 * 12,
+         "hi": 2001 * 12 + 11, "excluded": D.EXCLUDED_NATIONS}
+QUARTER = {"grain": "model", "cutoff": 1999 * 4 + 3, "lo": 1998 * 4,
+           "hi": 2001 * 4 + 3, "split": 1999 * 4, "excluded": D.EXCLUDED_NATIONS}
+DENSE = {"grain": "dense", "cutoff": 1999, "lo": 1998, "hi": 2001,
+         "excluded": D.EXCLUDED_NATIONS}
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -36,43 +69,148 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
-        QUERIES[name].__doc__ = fn.__doc__
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return finish(fn(spark, sf_dir))
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            O.ORACLE[name] = sql
         return fn
     return deco
 
 
-# -- shared inputs -----------------------------------------------------------
+# -- shared inputs ---------------------------------------------------------------
 
-def facts(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
+def facts(spark, sf_dir, grain="sparse"):
     return D.order_facts(spark, sf_dir, grain)
 
 
-def analysis_yearly(spark: SparkSession, sf_dir: str, grain: str = "sparse",
-                    sort: bool = True) -> DataFrame:
+def measures(spark, sf_dir, how="full", grain="sparse"):
+    return D.measures_long(facts(spark, sf_dir, grain), how)
+
+
+def analysis(spark, sf_dir, grain="sparse", sort=False):
     f = facts(spark, sf_dir, grain)
     return A.analysis_set_yearly(D.measures_long(f, "full"), D.damage_wide(f),
                                  sort=sort)
 
 
-def analysis_binned(spark: SparkSession, sf_dir: str, grain: str = "sparse",
-                    sort: bool = True) -> DataFrame:
-    f = facts(spark, sf_dir, grain)
-    return A.analysis_set_binned(D.measures_long(f, "inner"), D.damage_wide(f),
-                                 sort=sort)
+def features_cli(spark, sf_dir, p):
+    ft = FE.feature_table(analysis(spark, sf_dir, p["grain"]), p["cutoff"],
+                          p["excluded"])
+    ft = stage(ft, f"features-{p['grain']}")
+    stats = FE.component_stats(ft, p["cutoff"])
+    return FE.apply_components(ft, stats), stats
+
+
+def scores(spark, sf_dir, p):
+    cli, stats = features_cli(spark, sf_dir, p)
+    pin = FE.prediction_input(cli, p["cutoff"], p["lo"], p["hi"])
+    pin = pin.drop(*FE.COMPONENTS, "CLI")
+    return FE.score_latest(pin, stats, p["excluded"])
+
+
+def _sql(body_ctes, cols, src, where=""):
+    return O.with_(body_ctes, O.final(cols, src, where))
+
+
+AC = O.ANALYSIS_COLS
+KEY = [("country", "s"), ("period", "i")]
+
+
+# =============================================================================
+# C1–C6 pipelines
+# =============================================================================
+
+@query("hazard_impact_yearly", _sql(
+    O.standins("sparse") + O.impact("m_full"),
+    KEY + [("hazard", "s"), ("impact", "d")], "i_imp"))
+def q_hazard_impact_yearly(spark, sf_dir):
+    """Per-hazard impact, yearly, full-joined measures."""
+    return B.hazard_impact(measures(spark, sf_dir, "full"))
+
+
+@query("hazard_impact_binned", _sql(
+    O.standins("sparse") + O.impact("m_inner", size=5),
+    KEY + [("hazard", "s"), ("impact", "d")], "i_imp"))
+def q_hazard_impact_binned(spark, sf_dir):
+    """5-year bins, inner-joined measures."""
+    return B.hazard_impact(measures(spark, sf_dir, "inner"), period_size=5)
+
+
+@query("hazard_impact_strict", _sql(
+    O.standins("sparse") + O.impact("m_inner", size=5, min_events=1, strict=True),
+    KEY + [("hazard", "s"), ("impact", "d")], "i_imp"))
+def q_hazard_impact_strict(spark, sf_dir):
+    """C1 flood-notebook variant: groups with more than one event."""
+    return B.hazard_impact(measures(spark, sf_dir, "inner"), period_size=5,
+                           min_events=1, strict=True)
+
+
+@query("hazard_total_yearly", _sql(
+    O.standins("sparse") + O.totals("m_full"),
+    KEY + [("hazard", "s"), ("total_affected", "d"), ("total_deaths", "d")], "t_long"))
+def q_hazard_total_yearly(spark, sf_dir):
+    """Per-hazard totals, yearly."""
+    return B.hazard_total(measures(spark, sf_dir, "full"))
+
+
+@query("hazard_total_binned", _sql(
+    O.standins("sparse") + O.totals("m_inner", size=5),
+    KEY + [("hazard", "s"), ("total_affected", "d"), ("total_deaths", "d")], "t_long"))
+def q_hazard_total_binned(spark, sf_dir):
+    """Per-hazard totals, 5-year bins."""
+    return B.hazard_total(measures(spark, sf_dir, "inner"), period_size=5)
+
+
+IDX_COLS = KEY + [(c, "d") for c in O.IMPACT_COLS] + [
+    ("climate_impact_index", "d"), ("hazard_count", "i"), ("impact_rebased", "d")]
+
+
+@query("impact_index", _sql(
+    O.standins("sparse") + O.impact("m_full") + O.impact_index(), IDX_COLS, "i_idx"))
+def q_impact_index(spark, sf_dir):
+    """Merged impacts, index, hazard count, global rebase."""
+    return A.impact_part(measures(spark, sf_dir, "full"))
+
+
+TOTAL_TAB_COLS = KEY + [
+    (f"{O.TOTAL_SPELL[h]}_{k}", "d") for h in O.TOTAL_ORDER
+    for k in ("total_affected", "total_deaths")] + [
+    ("total_deaths", "d"), ("total_affected", "d")]
+
+
+@query("totals_table", _sql(O.standins("sparse") + O.totals("m_full"),
+                            TOTAL_TAB_COLS, "t_tab"))
+def q_totals_table(spark, sf_dir):
+    """C4: zero-filled totals per hazard and their sums."""
+    return B.totals_table(B.merge_totals(B.hazard_total(measures(spark, sf_dir))))
+
+
+@query("damage_yearly", _sql(O.standins("sparse") + O.damage_yearly(),
+                             KEY + [("economic_damage_pct_gdp", "d")], "e_dmg"))
+def q_damage_yearly(spark, sf_dir):
+    """Melted damage, mean per (country, year)."""
+    return B.damage_yearly(D.damage_wide(facts(spark, sf_dir)))
+
 
+@query("damage_binned", _sql(O.standins("sparse") + O.damage_binned(),
+                             KEY + [("economic_damage_pct_gdp", "d")], "e_dmg"))
+def q_damage_binned(spark, sf_dir):
+    """Per-hazard means per 5-year bin, then their mean."""
+    return B.damage_binned(D.damage_wide(facts(spark, sf_dir)))
 
-# -- C6: analysis tables -------------------------------------------------------
 
-@query("analysis_set_yearly")
+@query("analysis_set_yearly", O.analysis_query("sparse"))
 def q_analysis_set_yearly(spark, sf_dir):
-    """The yearly analysis table (flagship)."""
-    return analysis_yearly(spark, sf_dir)
+    """The yearly analysis table (flagship), sorted."""
+    return analysis(spark, sf_dir, sort=True)
 
 
-@query("analysis_set_binned")
+@query("analysis_set_binned", O.analysis_query("sparse", binned=True))
 def q_analysis_set_binned(spark, sf_dir):
-    """The 5-year binned analysis table."""
-    return analysis_binned(spark, sf_dir)
+    """The 5-year binned analysis table, sorted."""
+    f = facts(spark, sf_dir)
+    return A.analysis_set_binned(D.measures_long(f, "inner"), D.damage_wide(f))
