@@ -62,8 +62,9 @@ def with_series_columns(df: DataFrame, entity: str | Sequence[str],
         targets.append(F.when((F.lag("_rd", j).over(wu) == 1)
                               & (prv != F.col("_chunk")), prv))
     if targets:
-        halo = (edges.select(*cols, F.explode(F.array_distinct(F.array_compact(
-                    F.array(*targets)))).alias("_chunk"))
+        tagged = edges.select(*cols, F.array_distinct(F.array_compact(
+            F.array(*targets))).alias("_targets"))
+        halo = (tagged.select(*cols, F.explode("_targets").alias("_chunk"))
                 .withColumn("_own", F.lit(False)))
         ext = base.withColumn("_own", F.lit(True)).unionByName(halo)
     else:

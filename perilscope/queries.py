@@ -214,3 +214,186 @@ def q_analysis_set_binned(spark, sf_dir):
     """The 5-year binned analysis table, sorted."""
     f = facts(spark, sf_dir)
     return A.analysis_set_binned(D.measures_long(f, "inner"), D.damage_wide(f))
+
+
+# =============================================================================
+# Features, composite index, prediction rows, scores (nation × month)
+# =============================================================================
+
+def _feat_sql(p):
+    return O.features(p["grain"], p["cutoff"], p["excluded"])
+
+
+@query("feature_table", _sql(_feat_sql(MONTH), O.FEATURE_COLS, "ft"))
+def q_feature_table(spark, sf_dir):
+    """Lead target, entity means, lags, rolling means, slopes, std."""
+    p = MONTH
+    return FE.feature_table(analysis(spark, sf_dir, p["grain"]), p["cutoff"],
+                            p["excluded"])
+
+
+@query("composite_index", _sql(
+    O.composite(MONTH["grain"], MONTH["cutoff"], MONTH["excluded"]),
+    O.FEATURE_COLS + O.COMPONENT_COLS, "cli"))
+def q_composite_index(spark, sf_dir):
+    """Four train-standardised components and the weighted CLI."""
+    return features_cli(spark, sf_dir, MONTH)[0]
+
+
+@query("prediction_input", _sql(
+    O.prediction(MONTH["grain"], MONTH["cutoff"], MONTH["lo"], MONTH["hi"],
+                 MONTH["excluded"]),
+    O.PRED_COLS, "p_in"))
+def q_prediction_input(spark, sf_dir):
+    """Latest row per valid entity, ordered imputation."""
+    p = MONTH
+    cli, _ = features_cli(spark, sf_dir, p)
+    return FE.prediction_input(cli, p["cutoff"], p["lo"], p["hi"])
+
+
+@query("score_latest", _sql(
+    O.scores(MONTH["grain"], MONTH["cutoff"], MONTH["lo"], MONTH["hi"],
+             MONTH["excluded"]),
+    O.PRED_COLS, "s_ok"))
+def q_score_latest(spark, sf_dir):
+    """Components re-applied to the imputed rows with train stats."""
+    return scores(spark, sf_dir, MONTH)
+
+
+# =============================================================================
+# C12–C16 views (nation × year; C16 on the month scores)
+# =============================================================================
+
+def _dense_sql():
+    return O.analysis(DENSE["grain"])
+
+
+RANKING_COLS = KEY + [("period_end", "i"), ("climate_impact_index", "d"),
+                      ("impact_rebased", "d"), ("impact_rank", "i"),
+                      ("risk_category", "s")]
+
+
+def _bucket_sql(rank: str) -> str:
+    return (f"CASE WHEN {rank} <= 10 THEN '1-10' WHEN {rank} <= 20 THEN '11-20' "
+            f"WHEN {rank} <= 50 THEN '21-50' WHEN {rank} <= 100 THEN '51-100' "
+            "ELSE '>100' END")
+
+
+def _ranking_ctes(where: str = "") -> list:
+    base = ("SELECT *, climate_impact_index - min(climate_impact_index) "
+            "OVER (PARTITION BY period) AS impact_rebased2 FROM a_set "
+            "WHERE climate_impact_index IS NOT NULL" + (f" AND {where}" if where else ""))
+    rk = f"""SELECT country, period, period + 4 AS period_end, climate_impact_index,
+  impact_rebased2 AS impact_rebased,
+  dense_rank() OVER (PARTITION BY period ORDER BY round(impact_rebased2, {RANK_PLACES}) DESC)
+    AS impact_rank
+FROM v_base"""
+    out = f"SELECT *, {_bucket_sql('impact_rank')} AS risk_category FROM v_rank"
+    return [("v_base", base), ("v_rank", rk), ("v_out", out)]
+
+
+@query("period_ranking", _sql(_dense_sql() + _ranking_ctes(), RANKING_COLS, "v_out"))
+def q_period_ranking(spark, sf_dir):
+    """C12 for all periods: rebase within period, dense rank, bucket."""
+    return V.period_ranking(analysis(spark, sf_dir, DENSE["grain"]),
+                            rank_places=RANK_PLACES)
+
+
+@query("period_ranking_selected", _sql(
+    _dense_sql() + _ranking_ctes(
+        "period = (SELECT least(2020, max(period)) FROM a_set)"),
+    RANKING_COLS, "v_out"))
+def q_period_ranking_selected(spark, sf_dir):
+    """C12 at the page default: the clamped latest period."""
+    return V.period_ranking_selected(analysis(spark, sf_dir, DENSE["grain"]),
+                                     rank_places=RANK_PLACES)
+
+
+DOM_LABEL_SQL = ("CASE " + " ".join(
+    f"WHEN {c} = greatest({', '.join(O.IMPACT_COLS)}) THEN '{lab}'"
+    for c, lab in [("flood_impact", "Flood-prone"), ("drought_impact", "Drought-prone"),
+                   ("storms_impact", "Storm-prone"),
+                   ("extreme_temp_impact", "Extreme-temperature-prone")]) + " END")
+
+
+@query("dominant_hazard", _sql(
+    _dense_sql() + [("v_m", "SELECT country, " + ", ".join(
+        f"abs(avg({c})) AS {c}" for c in O.IMPACT_COLS)
+        + " FROM a_set WHERE country IS NOT NULL GROUP BY country"),
+        ("v_dom", f"SELECT *, {DOM_LABEL_SQL} AS hazard_prone FROM v_m")],
+    [("country", "s")] + [(c, "d") for c in O.IMPACT_COLS] + [("hazard_prone", "s")],
+    "v_dom"))
+def q_dominant_hazard(spark, sf_dir):
+    """|mean| impact per hazard per entity and the dominant one."""
+    return V.dominant_hazard(analysis(spark, sf_dir, DENSE["grain"]))
+
+
+@query("entity_trend", _sql(
+    _dense_sql() + [("v_t", """SELECT country, period, climate_impact_index,
+  climate_impact_index - min(climate_impact_index) OVER (PARTITION BY country) AS impact_rebased,
+  economic_damage_pct_gdp FROM a_set""")],
+    KEY + [("climate_impact_index", "d"), ("impact_rebased", "d"),
+           ("economic_damage_pct_gdp", "d")], "v_t"))
+def q_entity_trend(spark, sf_dir):
+    """C14 for all entities: series rebased within the entity."""
+    return V.entity_trend(analysis(spark, sf_dir, DENSE["grain"]))
+
+
+SHARE_SQL = [("v_s", "SELECT country, " + ", ".join(
+    f"coalesce(sum({c}), 0) AS \"{lab}\"" for lab, c in [
+        ("Floods", "flood_total_affected"), ("Droughts", "drought_total_affected"),
+        ("Storms", "storm_total_affected"),
+        ("Extreme Temperature", "extreme_temp_total_affected")])
+    + " FROM t_tab WHERE country IS NOT NULL GROUP BY country"),
+    ("v_l", """UNPIVOT v_s ON "Floods", "Droughts", "Storms", "Extreme Temperature"
+  INTO NAME "Hazard" VALUE contribution"""),
+    ("v_sh", """SELECT country, "Hazard", contribution,
+  CASE WHEN sum(contribution) OVER (PARTITION BY country) = 0 THEN NULL
+       ELSE contribution / sum(contribution) OVER (PARTITION BY country) END AS share
+FROM v_l""")]
+
+
+@query("hazard_share", _sql(
+    O.standins(DENSE["grain"]) + O.totals("m_full") + SHARE_SQL,
+    [("country", "s"), ("Hazard", "s"), ("contribution", "d"), ("share", "d")], "v_sh"))
+def q_hazard_share(spark, sf_dir):
+    """Each hazard's share of the entity's total affected."""
+    tot = B.totals_table(B.merge_totals(B.hazard_total(
+        measures(spark, sf_dir, "full", DENSE["grain"]))))
+    return V.hazard_share(tot)
+
+
+def _top_sql(k: int) -> list:
+    return [("v_r", f"""SELECT country, dense_rank() OVER (ORDER BY round(CLI, {RANK_PLACES}) DESC)
+  AS CLI_rank, CLI FROM s_ok"""),
+            ("v_b", f"SELECT *, {_bucket_sql('CLI_rank')} AS risk_category FROM v_r "
+                    f"ORDER BY CLI_rank, country LIMIT {k}")]
+
+
+TOP_COLS = [("country", "s"), ("CLI_rank", "i"), ("CLI", "d"), ("risk_category", "s")]
+
+
+def _scores_sql(p):
+    return O.scores(p["grain"], p["cutoff"], p["lo"], p["hi"], p["excluded"])
+
+
+@query("ranked_scores", _sql(_scores_sql(MONTH) + _top_sql(20), TOP_COLS, "v_b"))
+def q_ranked_scores(spark, sf_dir):
+    """Global dense rank of the CLI, bucket, 20 best ranks."""
+    return V.ranked_scores(scores(spark, sf_dir, MONTH), k=20,
+                           rank_places=RANK_PLACES)
+
+
+@query("top20", _sql(_scores_sql(MONTH) + _top_sql(20), TOP_COLS, "v_b"))
+def q_top20(spark, sf_dir):
+    """O2: 20 smallest ranks, ties by entity name."""
+    return V.ranked_scores(scores(spark, sf_dir, MONTH), k=20,
+                           rank_places=RANK_PLACES)
+
+
+@query("top10", _sql(_scores_sql(MONTH) + [("v_t", """SELECT country, CLI FROM s_ok
+ORDER BY CLI DESC, country LIMIT 10""")], [("country", "s"), ("CLI", "d")], "v_t"))
+def q_top10(spark, sf_dir):
+    """O3: 10 largest scores, ties by entity name."""
+    sc = scores(spark, sf_dir, MONTH).select("country", "CLI")
+    return top_k(sc, [F.col("CLI").desc(), F.col("country").asc()], 10)
