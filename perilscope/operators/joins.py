@@ -108,6 +108,6 @@ def key_coverage(a: DataFrame, b: DataFrame,
     kb = b.select(*keys).distinct().withColumn("_b", F.lit(True))
     j = ka.join(kb, on=list(keys), how="full")
     return j.agg(
-        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"),
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("in_both"),
         F.count_if(F.col("_b").isNull()).alias("left_only"),
         F.count_if(F.col("_a").isNull()).alias("right_only"))

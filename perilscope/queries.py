@@ -397,3 +397,286 @@ def q_top10(spark, sf_dir):
     """O3: 10 largest scores, ties by entity name."""
     sc = scores(spark, sf_dir, MONTH).select("country", "CLI")
     return top_k(sc, [F.col("CLI").desc(), F.col("country").asc()], 10)
+
+
+# =============================================================================
+# Operators on the sparse grain (customer × year)
+# =============================================================================
+
+SP = O.analysis("sparse")
+EXCL = YEAR["excluded"]
+CUT = YEAR["cutoff"]
+
+
+def an(spark, sf_dir):
+    return analysis(spark, sf_dir, "sparse")
+
+
+def _a(cols, where="", extra=None):
+    return _sql(SP + (extra or []), cols, "a_set" if not extra else extra[-1][0], where)
+
+
+# -- P: projection / filter -----------------------------------------------------
+
+@query("rename", _sql(O.standins("sparse") + [("x", """SELECT country, year, death AS deaths_flood
+FROM dth WHERE hazard = 'flood'""")], [("country", "s"), ("year", "i"), ("deaths_flood", "d")], "x"))
+def q_rename(spark, sf_dir):
+    """A death measure renamed to the totals file's column name."""
+    d = D.death(facts(spark, sf_dir)).where(F.col("hazard") == "flood").drop("hazard")
+    return FL.rename(d, {"death": "deaths_flood"})
+
+
+@query("project", _a(KEY + [("climate_impact_index", "d"), ("hazard_count", "i")]))
+def q_project(spark, sf_dir):
+    """Select and order columns."""
+    return FL.project(an(spark, sf_dir), ["country", "period", "climate_impact_index",
+                                          "hazard_count"])
+
+
+MCOLS = [("country", "s"), ("year", "i"), ("hazard", "s"), ("affected", "d"),
+         ("death", "d")]
+
+
+@query("copy_col", _sql(O.standins("sparse") + [("x", "SELECT *, year AS period FROM m_full")],
+                        MCOLS + [("period", "i")], "x"))
+def q_copy_col(spark, sf_dir):
+    """``period = year``."""
+    return FL.copy_col(measures(spark, sf_dir), "year", "period")
+
+
+@query("bin_period", _sql(O.standins("sparse") + [(
+    "x", "SELECT *, CAST(floor(year / 5) * 5 AS INTEGER) AS period FROM m_full")],
+    MCOLS + [("period", "i")], "x"))
+def q_bin_period(spark, sf_dir):
+    """floor(year / 5) * 5."""
+    return measures(spark, sf_dir).withColumn("period", SC.bin_period("year", 5))
+
+
+ALL_NULL = " AND ".join(f"{c} IS NULL" for c in O.IMPACT_COLS)
+ANY_NULL = " OR ".join(f"{c} IS NULL" for c in O.IMPACT_COLS)
+
+
+@query("drop_all_null", _a(AC, f"NOT ({ALL_NULL})"))
+def q_drop_all_null(spark, sf_dir):
+    """P5: drop rows whose four impacts are all missing."""
+    return FL.drop_all_null(an(spark, sf_dir), IMPACTS)
+
+
+@query("complete_cases", _a(AC, f"NOT ({ANY_NULL})"))
+def q_complete_cases(spark, sf_dir):
+    """Rows with all four impacts."""
+    return FL.complete_cases(an(spark, sf_dir), IMPACTS)
+
+
+@query("filter_eq", _a(AC, "hazard_count = 2"))
+def q_filter_eq(spark, sf_dir):
+    """Equality filter."""
+    return FL.filter_eq(an(spark, sf_dir), "hazard_count", 2)
+
+
+@query("split_train", _a(AC, f"period < {CUT}"))
+def q_split_train(spark, sf_dir):
+    """Temporal split, train side."""
+    return FL.split_by_period(an(spark, sf_dir), "period", CUT)[0]
+
+
+@query("split_test", _a(AC, f"period >= {CUT}"))
+def q_split_test(spark, sf_dir):
+    """Temporal split, test side."""
+    return FL.split_by_period(an(spark, sf_dir), "period", CUT)[1]
+
+
+@query("exclude_entities", _a(AC, f"country IS NULL OR country NOT IN ({O.in_list(EXCL)})"))
+def q_exclude_entities(spark, sf_dir):
+    """Exact-match exclusion that keeps missing entities."""
+    return FL.exclude_entities(an(spark, sf_dir), "country", EXCL)
+
+
+def _agg_mean_sql(having: str) -> str:
+    return _sql(O.standins("sparse") + [("x", f"""SELECT country,
+  CAST(floor(year / 5) * 5 AS INTEGER) AS period, hazard, avg(affected) AS affected,
+  avg(death) AS death, count(year) AS events FROM m_full
+WHERE country IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2, 3 {having}""")],
+        KEY + [("hazard", "s"), ("affected", "d"), ("death", "d"), ("events", "i")], "x")
+
+
+def _binned_agg_mean(spark, sf_dir):
+    m = measures(spark, sf_dir).withColumn("period", SC.bin_period("year", 5))
+    return AG.agg_mean(m, ["country", "period", "hazard"], "year")
+
+
+@query("agg_mean", _agg_mean_sql(""))
+def q_agg_mean(spark, sf_dir):
+    """A1: mean affected, mean death, event count per 5-year bin."""
+    return _binned_agg_mean(spark, sf_dir)
+
+
+@query("having_min_events", _agg_mean_sql("HAVING count(year) >= 2"))
+def q_having_min_events(spark, sf_dir):
+    """P10: groups with at least 2 events."""
+    return FL.having_min_events(_binned_agg_mean(spark, sf_dir), 2)
+
+
+@query("having_more_than", _agg_mean_sql("HAVING count(year) > 2"))
+def q_having_more_than(spark, sf_dir):
+    """Groups with more than 2 events."""
+    return FL.having_more_than(_binned_agg_mean(spark, sf_dir), 2)
+
+
+@query("drop_null_score", _a(AC, "climate_impact_index IS NOT NULL"))
+def q_drop_null_score(spark, sf_dir):
+    """Rows with an index."""
+    return FL.drop_null(an(spark, sf_dir), "climate_impact_index")
+
+
+@query("null_guard", _sql(SP + [("x", """SELECT count(climate_impact_index) = 0 AS is_empty_or_all_null,
+  count(climate_impact_index) AS n_values FROM a_set""")],
+    [("is_empty_or_all_null", "s"), ("n_values", "i")], "x"))
+def q_null_guard(spark, sf_dir):
+    """Empty / all-missing guard."""
+    return FL.null_guard(an(spark, sf_dir), "climate_impact_index")
+
+
+@query("resilience_rate", _sql(O.standins("sparse") + O.totals("m_full") + [("x", """SELECT country, period,
+  total_deaths, total_affected,
+  CASE WHEN total_affected > 0 THEN total_deaths / total_affected ELSE 0.0 END AS resilience_rate,
+  (CASE WHEN total_affected > 0 THEN total_deaths / total_affected ELSE 0.0 END) * 100000
+    AS resilience_per_100k FROM t_tab""")],
+    KEY + [("total_deaths", "d"), ("total_affected", "d"), ("resilience_rate", "d"),
+           ("resilience_per_100k", "d")], "x"))
+def q_resilience_rate(spark, sf_dir):
+    """Deaths per affected (0 when none affected), per 100k."""
+    tot = A.totals_part(measures(spark, sf_dir))
+    rate = SC.value_or_zero_ratio("total_deaths", "total_affected")
+    return tot.select("country", "period", "total_deaths", "total_affected",
+                      rate.alias("resilience_rate"),
+                      SC.scale(rate, 100000).alias("resilience_per_100k"))
+
+
+@query("period_bounds", _sql(SP + [("x", """SELECT greatest(1960, min(period)) AS min_period,
+  least(2020, max(period)) AS max_period FROM a_set""")],
+    [("min_period", "i"), ("max_period", "i")], "x"))
+def q_period_bounds(spark, sf_dir):
+    """Selectable period range."""
+    return FL.period_bounds(an(spark, sf_dir), "period", 1960, 2020)
+
+
+# -- J: joins ----------------------------------------------------------------------
+
+@query("join_full", _sql(O.standins("sparse"), MCOLS, "m_full"))
+def q_join_full(spark, sf_dir):
+    """Affected ⟗ death on (country, year, hazard)."""
+    return D.measures_joined(facts(spark, sf_dir), "full")
+
+
+@query("join_inner", _sql(O.standins("sparse"), MCOLS, "m_inner"))
+def q_join_inner(spark, sf_dir):
+    """Affected ⋈ death."""
+    return D.measures_joined(facts(spark, sf_dir), "inner")
+
+
+@query("merge_hazards_impact", _sql(
+    O.standins("sparse") + O.impact("m_full") + O.impact_index(),
+    KEY + [(c, "d") for c in O.IMPACT_COLS], "i_wide"))
+def q_merge_hazards_impact(spark, sf_dir):
+    """Four hazards' impacts, one row per (country, period)."""
+    return B.merge_impacts(B.hazard_impact(measures(spark, sf_dir)))
+
+
+@query("merge_hazards_total", _sql(
+    O.standins("sparse") + O.totals("m_full") + [("x", "SELECT country, period, " + ", ".join(
+        f"max({k}) FILTER (WHERE hazard = '{h}') AS {O.TOTAL_SPELL[h]}_{k}"
+        for h in O.TOTAL_ORDER for k in ("total_affected", "total_deaths"))
+        + " FROM t_long GROUP BY country, period")],
+    KEY + [(f"{O.TOTAL_SPELL[h]}_{k}", "d") for h in O.TOTAL_ORDER
+           for k in ("total_affected", "total_deaths")], "x"))
+def q_merge_hazards_total(spark, sf_dir):
+    """Four hazards' totals (missing kept), one row per key."""
+    return B.merge_totals(B.hazard_total(measures(spark, sf_dir)))
+
+
+ASSEMBLED = KEY + [(c, "d") for c in O.IMPACT_COLS] + [
+    ("climate_impact_index", "d"), ("impact_rebased", "d"), ("hazard_count", "i"),
+    ("total_deaths", "d"), ("total_affected", "d"), ("economic_damage_pct_gdp", "d")]
+
+
+def _assembled_sql(binned: bool) -> str:
+    ctes = O.analysis("sparse", binned=binned)
+    ctes = [c for c in ctes if c[0] != "a_set"] + [(
+        "x", "SELECT * EXCLUDE (dmg_raw), dmg_raw AS economic_damage_pct_gdp FROM a_join")]
+    return _sql(ctes, ASSEMBLED, "x")
+
+
+@query("assemble_full", _assembled_sql(False))
+def q_assemble_full(spark, sf_dir):
+    """Impact ⟗ totals ⟗ damage (before derived columns)."""
+    m = measures(spark, sf_dir)
+    return J.assemble_full(A.impact_part(m), A.totals_part(m),
+                           B.damage_yearly(D.damage_wide(facts(spark, sf_dir))))
+
+
+@query("assemble_left", _assembled_sql(True))
+def q_assemble_left(spark, sf_dir):
+    """Binned impact ⟕ totals ⟕ damage."""
+    m = measures(spark, sf_dir, "inner")
+    return J.assemble_left(A.impact_part(m, period_size=5),
+                           A.totals_part(m, period_size=5),
+                           B.damage_binned(D.damage_wide(facts(spark, sf_dir))))
+
+
+TRAIN_MEANS = [("x_em", f"""SELECT country, avg(impact_rebased) AS cm, avg(climate_impact_index) AS cl
+FROM a_set WHERE period <= {CUT} GROUP BY country"""),
+               ("x_gm", f"""SELECT avg(impact_rebased) AS gm, avg(climate_impact_index) AS gl
+FROM a_set WHERE period <= {CUT}""")]
+
+
+def _train_lookup(df, value, out):
+    train = df.where(F.col("period") <= CUT)
+    stats = AG.entity_mean(train, "country", "period", value, out="_m")
+    glob = train.agg(F.avg(value).alias("_g"))
+    looked = J.lookup(df, stats, "country", "_m", out)
+    return J.attach_global_stats(looked, glob).withColumn(
+        out, F.coalesce(out, "_g")).drop("_g")
+
+
+@query("lookup_entity_mean", _sql(SP + TRAIN_MEANS + [("x", """SELECT a.country, a.period, a.impact_rebased,
+  coalesce(e.cm, g.gm) AS country_mean_impact
+FROM a_set a LEFT JOIN x_em e ON a.country = e.country CROSS JOIN x_gm g""")],
+    KEY + [("impact_rebased", "d"), ("country_mean_impact", "d")], "x"))
+def q_lookup_entity_mean(spark, sf_dir):
+    """Entity → train mean; unseen entities get the global train mean."""
+    df = an(spark, sf_dir).select("country", "period", "impact_rebased")
+    return _train_lookup(df, "impact_rebased", "country_mean_impact")
+
+
+@query("map_labels", _sql(SP + [("x", f"SELECT country, period, {DOM_LABEL_SQL} AS hazard_prone FROM a_set")],
+                          KEY + [("hazard_prone", "s")], "x"))
+def q_map_labels(spark, sf_dir):
+    """The largest impact column's code mapped to its label."""
+    from .config import DOMINANT_LABELS
+    return an(spark, sf_dir).select(
+        "country", "period",
+        J.map_labels(RW.row_argmax(IMPACTS), DOMINANT_LABELS).alias("hazard_prone"))
+
+
+@query("semi_valid_entities", _a(AC, f"""country IN (SELECT country FROM a_set
+  WHERE period <= {CUT} GROUP BY country HAVING count(DISTINCT period) >= 5)"""))
+def q_semi_valid_entities(spark, sf_dir):
+    """Rows of entities with at least 5 distinct train periods."""
+    df = an(spark, sf_dir)
+    valid = AG.distinct_periods(df.where(F.col("period") <= CUT), "country", "period")
+    return J.semi_join_valid(df, valid.where(F.col("n_periods") >= 5), "country")
+
+
+@query("key_coverage", _sql(O.standins("sparse") + [("x", """SELECT
+  count(*) FILTER (WHERE a.country IS NOT NULL AND d.country IS NOT NULL) AS in_both,
+  count(*) FILTER (WHERE d.country IS NULL) AS left_only,
+  count(*) FILTER (WHERE a.country IS NULL) AS right_only
+FROM (SELECT DISTINCT country, year, hazard FROM aff) a
+FULL OUTER JOIN (SELECT DISTINCT country, year, hazard FROM dth) d
+  ON a.country = d.country AND a.year = d.year AND a.hazard = d.hazard""")],
+    [("in_both", "i"), ("left_only", "i"), ("right_only", "i")], "x"))
+def q_key_coverage(spark, sf_dir):
+    """Keys in both measure tables, left only, right only."""
+    f = facts(spark, sf_dir)
+    return J.key_coverage(D.affected(f), D.death(f), ["country", "year", "hazard"])
