@@ -82,9 +82,11 @@ def distinct_sorted(df: DataFrame, c: str) -> DataFrame:
     return df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
 
 
-def value_counts(df: DataFrame, c: str) -> DataFrame:
-    """Frequency of each value, most frequent first."""
-    return (df.groupBy(c).agg(F.count("*").alias("count"))
+def value_counts(df: DataFrame, c: str, dropna: bool = True) -> DataFrame:
+    """Frequency of each value, most frequent first (missing values not
+    counted unless ``dropna=False``)."""
+    src = df.where(F.col(c).isNotNull()) if dropna else df
+    return (src.groupBy(c).agg(F.count("*").alias("count"))
             .orderBy(F.col("count").desc(), F.col(c).asc()))
 
 

@@ -680,3 +680,183 @@ def q_key_coverage(spark, sf_dir):
     """Keys in both measure tables, left only, right only."""
     f = facts(spark, sf_dir)
     return J.key_coverage(D.affected(f), D.death(f), ["country", "year", "hazard"])
+
+
+# -- A: aggregation ----------------------------------------------------------------
+
+@query("agg_total", _sql(O.standins("sparse") + [("x", """SELECT country,
+  CAST(floor(year / 5) * 5 AS INTEGER) AS period, hazard, count(year) AS events,
+  coalesce(sum(death), 0) AS total_deaths, coalesce(sum(affected), 0) AS total_affected
+FROM m_full WHERE country IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2, 3""")],
+    KEY + [("hazard", "s"), ("events", "i"), ("total_deaths", "d"),
+           ("total_affected", "d")], "x"))
+def q_agg_total(spark, sf_dir):
+    """A2: sums per 5-year bin (all-missing group → 0)."""
+    m = measures(spark, sf_dir).withColumn("period", SC.bin_period("year", 5))
+    return AG.agg_total(m, ["country", "period", "hazard"], "year")
+
+
+@query("agg_mean_cols", _sql(O.standins("sparse") + O.damage_binned(),
+                             KEY + [(c, "d") for c in O.DMG_COLS], "e_per"))
+def q_agg_mean_cols(spark, sf_dir):
+    """A3: mean of the four damage columns per (country, 5-year bin)."""
+    w = D.damage_wide(facts(spark, sf_dir)).withColumn("period",
+                                                       SC.bin_period("year", 5))
+    return AG.agg_mean_cols(w, ["country", "period"], DAMAGE_COLUMNS)
+
+
+@query("entity_mean", _sql(SP + TRAIN_MEANS[:1] + [("x", "SELECT country, cm AS impact_rebased FROM x_em")],
+                           [("country", "s"), ("impact_rebased", "d")], "x"))
+def q_entity_mean(spark, sf_dir):
+    """A4: per-entity mean over train periods."""
+    return AG.entity_mean(an(spark, sf_dir), "country", "period", "impact_rebased",
+                          cutoff=CUT)
+
+
+@query("global_stats", _sql(SP + [("x", """SELECT avg(climate_impact_index) AS index_mean,
+  stddev_samp(climate_impact_index) AS index_std, min(climate_impact_index) AS index_min
+FROM a_set""")], [("index_mean", "d"), ("index_std", "d"), ("index_min", "d")], "x"))
+def q_global_stats(spark, sf_dir):
+    """A5: global mean, sample std, min."""
+    return AG.global_stats(an(spark, sf_dir), "climate_impact_index", "index_")
+
+
+@query("distinct_periods", _sql(SP + [("x", """SELECT country, count(DISTINCT period) AS n_periods
+FROM a_set WHERE country IS NOT NULL GROUP BY country""")],
+    [("country", "s"), ("n_periods", "i")], "x"))
+def q_distinct_periods(spark, sf_dir):
+    """Distinct periods per entity."""
+    return AG.distinct_periods(an(spark, sf_dir), "country", "period")
+
+
+@query("distinct_sorted", _sql(SP + [("x", "SELECT DISTINCT period FROM a_set WHERE period IS NOT NULL")],
+                               [("period", "i")], "x"))
+def q_distinct_sorted(spark, sf_dir):
+    """Sorted distinct periods."""
+    return AG.distinct_sorted(an(spark, sf_dir), "period")
+
+
+@query("value_counts", _sql(SP + [("x", """SELECT hazard_count, count(*) AS count FROM a_set
+WHERE hazard_count IS NOT NULL GROUP BY hazard_count""")],
+    [("hazard_count", "i"), ("count", "i")], "x"))
+def q_value_counts(spark, sf_dir):
+    """Frequency of hazard_count."""
+    return AG.value_counts(an(spark, sf_dir), "hazard_count")
+
+
+NUMERIC = [c for c, k in AC if k in ("d", "i")]
+DESC_UNPIVOT = ("SELECT col AS \"column\", v FROM (SELECT "
+                + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)
+                + " FROM a_set) UNPIVOT INCLUDE NULLS (v FOR col IN ("
+                + ", ".join(NUMERIC) + "))")
+
+
+@query("describe", _sql(SP + [("x_l", DESC_UNPIVOT), ("x", """SELECT "column", count(v) AS count,
+  avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max,
+  quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75
+FROM x_l GROUP BY "column\"""")],
+    [('"column"', "s"), ("count", "i"), ("mean", "d"), ("std", "d"), ("min", "d"),
+     ("max", "d"), ("q25", "d"), ("q50", "d"), ("q75", "d")], "x"))
+def q_describe(spark, sf_dir):
+    """Typed, exact count / mean / std / min / quartiles / max."""
+    return AG.describe(an(spark, sf_dir), NUMERIC)
+
+
+ALLCOLS = [c for c, _ in AC]
+
+
+@query("null_counts", _sql(SP + [("x_w", "SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in ALLCOLS) + " FROM a_set"),
+    ("x", "UNPIVOT x_w ON " + ", ".join(ALLCOLS) + " INTO NAME \"column\" VALUE nulls")],
+    [('"column"', "s"), ("nulls", "i")], "x"))
+def q_null_counts(spark, sf_dir):
+    """A10: missing values per column."""
+    return AG.null_counts(an(spark, sf_dir))
+
+
+@query("profile_shape", _sql(SP + [("x", f"""SELECT count(*) AS n_rows, {len(AC)} AS n_cols,
+  min(period) AS min_period, max(period) AS max_period,
+  count(DISTINCT country) AS n_entities, count(DISTINCT period) AS n_periods FROM a_set""")],
+    [("n_rows", "i"), ("n_cols", "i"), ("min_period", "i"), ("max_period", "i"),
+     ("n_entities", "i"), ("n_periods", "i")], "x"))
+def q_profile_shape(spark, sf_dir):
+    """Shape and period range."""
+    return AG.profile_shape(an(spark, sf_dir), "period", "country")
+
+
+MEDIAN_COLS = O.IMPACT_COLS + ["climate_impact_index", "total_affected"]
+
+
+@query("column_median", _sql(SP + [("x", "SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5) AS {c}" for c in MEDIAN_COLS) + " FROM a_set")],
+    [(c, "d") for c in MEDIAN_COLS], "x"))
+def q_column_median(spark, sf_dir):
+    """Exact interpolated medians (distributed order statistics)."""
+    return column_medians(an(spark, sf_dir), MEDIAN_COLS)
+
+
+def _rowwise(name, expr_sql, expr_spark, kind="d"):
+    @query(name, _sql(SP + [("x", f"SELECT country, period, {expr_sql} AS {name} FROM a_set")],
+                      KEY + [(name, kind)], "x"))
+    def q(spark, sf_dir):
+        return an(spark, sf_dir).select("country", "period", expr_spark().alias(name))
+    q.__doc__ = f"{name} over the four impact columns."
+    return q
+
+
+_rowwise("row_mean", O.row_mean_sql(O.IMPACT_COLS), lambda: RW.row_mean(IMPACTS))
+_rowwise("row_count_nonnull", " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in O.IMPACT_COLS),
+         lambda: RW.row_count_nonnull(IMPACTS), "i")
+_rowwise("row_sum", " + ".join(f"coalesce({c}, 0)" for c in O.IMPACT_COLS),
+         lambda: RW.row_sum(IMPACTS))
+_rowwise("row_argmax", "CASE " + " ".join(
+    f"WHEN {c} = greatest({', '.join(O.IMPACT_COLS)}) THEN '{c}'" for c in O.IMPACT_COLS) + " END",
+    lambda: RW.row_argmax(IMPACTS), "s")
+_rowwise("weighted_index", " + ".join(f"{w} * {c}" for w, c in zip(CLI_WEIGHTS, O.IMPACT_COLS)),
+         lambda: SC.weighted_sum(IMPACTS, CLI_WEIGHTS))
+
+
+def _rebase(name, scope):
+    over = f"OVER (PARTITION BY {scope})" if scope else "OVER ()"
+    @query(name, _sql(SP + [("x", f"""SELECT country, period, climate_impact_index,
+  climate_impact_index - min(climate_impact_index) {over} AS rebased FROM a_set""")],
+        KEY + [("climate_impact_index", "d"), ("rebased", "d")], "x"))
+    def q(spark, sf_dir):
+        df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+        return SL.rebase(df, "climate_impact_index", "rebased",
+                         scope=[scope] if scope else [])
+    q.__doc__ = f"A17: rebase {'within ' + scope if scope else 'globally'}."
+    return q
+
+
+_rebase("rebase_global", None)
+_rebase("rebase_by_period", "period")
+_rebase("rebase_by_entity", "country")
+
+
+def _pop_z(c):
+    return (f"({c} - (SELECT avg({c}) FROM a_set)) / (SELECT {O._scale(f'var_pop({c})', f'avg({c})', f'count({c})')} FROM a_set)")
+
+
+@query("zscore", _sql(SP + [("x", f"""SELECT country, period,
+  {_pop_z('ln(1 + total_affected)')} AS affected_z,
+  {_pop_z('ln(1 + total_deaths)')} AS deaths_z FROM a_set""")],
+    KEY + [("affected_z", "d"), ("deaths_z", "d")], "x"))
+def q_zscore(spark, sf_dir):
+    """Population z-score of the log totals, fit on all rows."""
+    df = an(spark, sf_dir).select("country", "period",
+                                  SC.log1p("total_affected").alias("la"),
+                                  SC.log1p("total_deaths").alias("ld"))
+    return SL.zscore(df, {"la": "affected_z", "ld": "deaths_z"}).drop("la", "ld")
+
+
+@query("zscore_train", _sql(SP + [("x_s", f"""SELECT avg(climate_impact_index) AS m,
+  CASE WHEN stddev_samp(climate_impact_index) = 0 THEN 1.0
+       ELSE stddev_samp(climate_impact_index) END AS s FROM a_set WHERE period <= {CUT}"""),
+    ("x", "SELECT country, period, (climate_impact_index - m) / s AS index_z FROM a_set CROSS JOIN x_s")],
+    KEY + [("index_z", "d")], "x"))
+def q_zscore_train(spark, sf_dir):
+    """Z-score fit on train rows (sample std), applied to all."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    return SL.zscore_train(df, F.col("climate_impact_index"), "index_z", "period",
+                           CUT).drop("climate_impact_index")
