@@ -860,3 +860,245 @@ def q_zscore_train(spark, sf_dir):
     df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
     return SL.zscore_train(df, F.col("climate_impact_index"), "index_z", "period",
                            CUT).drop("climate_impact_index")
+
+
+# -- W: series windows ------------------------------------------------------------
+
+def _series(df, cols, lookback=4, lookahead=1, entity="country"):
+    return S.with_series_columns(df, entity, "period", cols, lookback, lookahead)
+
+
+def _wsql(expr: str, name: str, extra=None) -> str:
+    return _sql(SP + (extra or []) + [("x", f"SELECT country, period, {expr} AS {name} FROM {'x_in' if extra else 'a_set'}")],
+                KEY + [(name, "d")], "x")
+
+
+def _wover(frame: str = "", part: str = "country") -> str:
+    return f"OVER (PARTITION BY {part} ORDER BY period {frame})"
+
+
+R3 = "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"
+R5 = "ROWS BETWEEN 4 PRECEDING AND CURRENT ROW"
+
+
+@query("lead_target", _wsql(f"lead(impact_rebased) {_wover()}", "impact_rebased_next"))
+def q_lead_target(spark, sf_dir):
+    """Next row's rebased impact."""
+    df = an(spark, sf_dir).select("country", "period", "impact_rebased")
+    return _series(df, lambda w: {"impact_rebased_next": S.lead1("impact_rebased", w)},
+                   0, 1).drop("impact_rebased")
+
+
+@query("lag_filled", _sql(SP + TRAIN_MEANS + [("x", f"""SELECT a.country, a.period,
+  coalesce(lag(a.impact_rebased) {_wover(part='a.country')}, e.cm, g.gm) AS impact_lag1
+FROM a_set a LEFT JOIN x_em e ON a.country = e.country CROSS JOIN x_gm g""")],
+    KEY + [("impact_lag1", "d")], "x"))
+def q_lag_filled(spark, sf_dir):
+    """Previous row's value, missing → the entity's train mean."""
+    df = an(spark, sf_dir).select("country", "period", "impact_rebased")
+    df = _series(df, lambda w: {"_lag": S.lag1("impact_rebased", w)}, 1, 0)
+    df = _train_lookup(df, "impact_rebased", "_cm")
+    return df.select("country", "period",
+                     SC.fill_column("_lag", "_cm").alias("impact_lag1"))
+
+
+@query("lag_within_split", _wsql(
+    f"lag(impact_rebased) OVER (PARTITION BY period >= {CUT}, country ORDER BY period)",
+    "impact_lag1"))
+def q_lag_within_split(spark, sf_dir):
+    """Lag taken after the split (first test row per entity missing)."""
+    df = an(spark, sf_dir).select("country", "period", "impact_rebased")
+    df = df.withColumn("_split", (F.col("period") >= CUT).cast("int"))
+    return S.with_series_columns(
+        df, ["_split", "country"], "period",
+        lambda w: {"impact_lag1": S.lag1("impact_rebased", w)}, 1, 0
+    ).select("country", "period", "impact_lag1")
+
+
+@query("rolling_mean3", _wsql(f"avg(climate_impact_index) {_wover(R3)}", "impact_3yr_avg"))
+def q_rolling_mean3(spark, sf_dir):
+    """Mean of the last 3 rows, missing skipped."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    return _series(df, lambda w: {"impact_3yr_avg": S.rolling_mean(
+        "climate_impact_index", w, 3)}, 2, 0).drop("climate_impact_index")
+
+
+@query("rolling_mean3_zero", _wsql(f"coalesce(avg(total_affected) {_wover(R3)}, 0)",
+                                   "total_affected_3yr_avg"))
+def q_rolling_mean3_zero(spark, sf_dir):
+    """W3 for totals: all-missing window → 0."""
+    df = an(spark, sf_dir).select("country", "period", "total_affected")
+    return _series(df, lambda w: {"total_affected_3yr_avg": SC.fill_const(
+        S.rolling_mean("total_affected", w, 3), 0.0)}, 2, 0).drop("total_affected")
+
+
+@query("rolling_std5", _wsql(f"coalesce(stddev_samp(climate_impact_index) {_wover(R5)}, 0)",
+                             "impact_std_5yr"))
+def q_rolling_std5(spark, sf_dir):
+    """Sample std of the last 5 rows; one value → 0."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    return _series(df, lambda w: {"impact_std_5yr": S.rolling_std(
+        "climate_impact_index", w, 5)}, 4, 0).drop("climate_impact_index")
+
+
+@query("rolling_trend5", _sql(SP + [("x_l", f"""SELECT country, period,
+  list_filter(list(climate_impact_index) {_wover(R5)}, lambda x: x IS NOT NULL) AS l FROM a_set"""),
+    ("x", f"SELECT country, period, {O.slope_sql('l')} AS impact_trend_5yr FROM x_l")],
+    KEY + [("impact_trend_5yr", "d")], "x"))
+def q_rolling_trend5(spark, sf_dir):
+    """Least-squares slope over the last 5 rows, gaps renumbered."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    return _series(df, lambda w: {"impact_trend_5yr": S.rolling_trend(
+        "climate_impact_index", w, 5)}, 4, 0).drop("climate_impact_index")
+
+
+def _rank_sql(part: str) -> str:
+    over = f"PARTITION BY {part} " if part else ""
+    return _sql(SP + [("x", f"""SELECT country, period, climate_impact_index,
+  dense_rank() OVER ({over}ORDER BY round(climate_impact_index, {RANK_PLACES}) DESC) AS impact_rank
+FROM a_set WHERE climate_impact_index IS NOT NULL""")],
+        KEY + [("climate_impact_index", "d"), ("impact_rank", "i")], "x")
+
+
+def _ranked(spark, sf_dir, scope):
+    df = FL.drop_null(an(spark, sf_dir).select("country", "period", "climate_impact_index"),
+                      "climate_impact_index")
+    df = df.withColumn("_key", F.round("climate_impact_index", RANK_PLACES))
+    return dense_rank(df, "_key", "impact_rank", scope=scope).drop("_key")
+
+
+@query("rank_by_period", _rank_sql("period"))
+def q_rank_by_period(spark, sf_dir):
+    """Dense rank within each period (highest = 1), hot periods split."""
+    return _ranked(spark, sf_dir, ["period"])
+
+
+@query("rank_global", _rank_sql(""))
+def q_rank_global(spark, sf_dir):
+    """Global dense rank without a single-partition window."""
+    return _ranked(spark, sf_dir, [])
+
+
+@query("risk_bucket", _sql(SP + [("x_r", f"""SELECT country, period,
+  dense_rank() OVER (ORDER BY round(climate_impact_index, {RANK_PLACES}) DESC) AS impact_rank
+FROM a_set WHERE climate_impact_index IS NOT NULL"""),
+    ("x", f"SELECT *, {_bucket_sql('impact_rank')} AS risk_category FROM x_r")],
+    KEY + [("impact_rank", "i"), ("risk_category", "s")], "x"))
+def q_risk_bucket(spark, sf_dir):
+    """F8: rank → risk bucket (≤10, ≤20, ≤50, ≤100, >100)."""
+    return _ranked(spark, sf_dir, []).select(
+        "country", "period", "impact_rank",
+        SC.risk_bucket("impact_rank").alias("risk_category"))
+
+
+@query("latest_row", _sql(SP + [("x", f"""SELECT country, period, climate_impact_index FROM a_set
+WHERE period BETWEEN {YEAR['lo']} AND {YEAR['hi']} AND country IS NOT NULL
+  AND country IN (SELECT country FROM a_set WHERE period <= {CUT})
+QUALIFY row_number() OVER (PARTITION BY country ORDER BY period DESC) = 1""")],
+    KEY + [("climate_impact_index", "d")], "x"))
+def q_latest_row(spark, sf_dir):
+    """Per entity seen in train, the newest row in the window."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    return S.latest_in(df, "country", "period", YEAR["lo"], YEAR["hi"],
+                       entities=df.where(F.col("period") <= CUT))
+
+
+@query("recent_deviation", _sql(SP + TRAIN_MEANS + [("x", """SELECT a.country, a.period,
+  a.climate_impact_index - coalesce(e.cl, g.gl) AS country_recent_deviation
+FROM a_set a LEFT JOIN x_em e ON a.country = e.country CROSS JOIN x_gm g""")],
+    KEY + [("country_recent_deviation", "d")], "x"))
+def q_recent_deviation(spark, sf_dir):
+    """Index minus the entity's long-term train mean."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    df = _train_lookup(df, "climate_impact_index", "_lt")
+    return df.select("country", "period", S.deviation_from_mean(
+        "climate_impact_index", "_lt").alias("country_recent_deviation"))
+
+
+# -- O, U: sort, union, melt ---------------------------------------------------------
+
+@query("sort_keys", O.analysis_query("sparse"))
+def q_sort_keys(spark, sf_dir):
+    """O1: multi-key ascending sort, missing last (range-partitioned sort)."""
+    return analysis(spark, sf_dir, sort=True)
+
+
+@query("union_rows", _sql(O.standins("sparse") + [("x", """SELECT country, year, hazard, 'affected' AS measure,
+  affected AS value FROM aff UNION ALL
+SELECT country, year, hazard, 'death' AS measure, death AS value FROM dth""")],
+    [("country", "s"), ("year", "i"), ("hazard", "s"), ("measure", "s"), ("value", "d")], "x"))
+def q_union_rows(spark, sf_dir):
+    """Rows of both measure tables, concatenated by name."""
+    f = facts(spark, sf_dir)
+    return RS.union_rows([
+        D.affected(f).select("country", "year", "hazard", F.lit("affected").alias("measure"),
+                             F.col("affected").alias("value")),
+        D.death(f).select("country", "year", "hazard", F.lit("death").alias("measure"),
+                          F.col("death").alias("value"))])
+
+
+@query("melt", _sql(O.standins("sparse") + [("x", " UNION ALL ".join(
+    f"SELECT country, year, '{c}' AS hazard, {c} AS economic_damage_pct_gdp FROM dmg"
+    for c in O.DMG_COLS))],
+    [("country", "s"), ("year", "i"), ("hazard", "s"), ("economic_damage_pct_gdp", "d")], "x"))
+def q_melt(spark, sf_dir):
+    """Wide damage → long rows, missing values kept."""
+    return RS.melt(D.damage_wide(facts(spark, sf_dir)), ["country", "year"],
+                   DAMAGE_COLUMNS, "hazard", "economic_damage_pct_gdp")
+
+
+# -- F: scalar functions ----------------------------------------------------------
+
+@query("log1p", _sql(SP + [("x", """SELECT country, period, ln(1 + total_affected) AS log_total_affected,
+  ln(1 + total_deaths) AS log_total_death FROM a_set""")],
+    KEY + [("log_total_affected", "d"), ("log_total_death", "d")], "x"))
+def q_log1p(spark, sf_dir):
+    """log1p; missing stays missing."""
+    return an(spark, sf_dir).select("country", "period",
+                                    SC.log1p("total_affected").alias("log_total_affected"),
+                                    SC.log1p("total_deaths").alias("log_total_death"))
+
+
+@query("fill_const", _sql(SP + [("x", """SELECT country, period, coalesce(total_affected, 0) AS total_affected,
+  coalesce(climate_impact_index, 0) AS climate_impact_index FROM a_set""")],
+    KEY + [("total_affected", "d"), ("climate_impact_index", "d")], "x"))
+def q_fill_const(spark, sf_dir):
+    """missing → 0."""
+    return an(spark, sf_dir).select("country", "period",
+                                    SC.fill_const("total_affected", 0.0).alias("total_affected"),
+                                    SC.fill_const("climate_impact_index", 0.0)
+                                    .alias("climate_impact_index"))
+
+
+@query("fill_column", _sql(SP + [("x", """SELECT country, period,
+  coalesce(flood_impact, climate_impact_index) AS flood_impact FROM a_set""")],
+    KEY + [("flood_impact", "d")], "x"))
+def q_fill_column(spark, sf_dir):
+    """missing → another column."""
+    return an(spark, sf_dir).select("country", "period", SC.fill_column(
+        "flood_impact", "climate_impact_index").alias("flood_impact"))
+
+
+@query("fill_median", _sql(SP + [("x", """SELECT country, period, coalesce(climate_impact_index,
+  (SELECT quantile_cont(climate_impact_index, 0.5) FROM a_set), 0) AS climate_impact_index FROM a_set""")],
+    KEY + [("climate_impact_index", "d")], "x"))
+def q_fill_median(spark, sf_dir):
+    """missing → exact column median (0 when entirely missing)."""
+    df = an(spark, sf_dir).select("country", "period", "climate_impact_index")
+    med = column_medians(df, ["climate_impact_index"]).select(
+        F.col("climate_impact_index").alias("_med"))
+    return J.attach_global_stats(df, med).select(
+        "country", "period",
+        F.coalesce("climate_impact_index", "_med", F.lit(0.0)).alias("climate_impact_index"))
+
+
+OTHER3 = O.IMPACT_COLS[1:]
+
+
+@query("fill_row_mean", _sql(SP + [("x", f"""SELECT country, period,
+  coalesce(flood_impact, {O.row_mean_sql(OTHER3)}, 0) AS flood_impact FROM a_set""")],
+    KEY + [("flood_impact", "d")], "x"))
+def q_fill_row_mean(spark, sf_dir):
+    """missing → row mean of the other impacts → 0."""
+    return an(spark, sf_dir).select("country", "period", RW.fill_row_mean(
+        "flood_impact", IMPACTS[1:]).alias("flood_impact"))
