@@ -1102,3 +1102,95 @@ def q_fill_row_mean(spark, sf_dir):
     """missing → row mean of the other impacts → 0."""
     return an(spark, sf_dir).select("country", "period", RW.fill_row_mean(
         "flood_impact", IMPACTS[1:]).alias("flood_impact"))
+
+
+# -- S: sources and sinks -------------------------------------------------------------
+
+def _stage_dir(spark, name):
+    import uuid
+    from .session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/perilscope-io/{name}-{uuid.uuid4().hex}"
+
+
+AFF_HEADER = "Total number of people affected by floods per 100,000"
+
+
+@query("src_measure_csv", _sql(O.standins("sparse") + [("x", """SELECT country, year, affected
+FROM aff WHERE hazard = 'flood'""")], [("country", "s"), ("year", "i"), ("affected", "d")], "x"))
+def q_src_measure_csv(spark, sf_dir):
+    """A per-hazard measure written as the reference's CSV, read back
+    with an explicit schema and renamed."""
+    a = D.affected(facts(spark, sf_dir)).where(F.col("hazard") == "flood")
+    path = _stage_dir(spark, "measure")
+    IO.write_table(a.select(F.col("country").alias("Country name"),
+                            F.col("year").alias("Year"),
+                            F.col("affected").alias(AFF_HEADER)), path, fmt="csv")
+    return IO.read_measure(spark, path, "Country name", "Year", AFF_HEADER, "affected")
+
+
+@query("src_total_csv", _sql(O.standins("sparse") + [("x", """SELECT country, year, death
+FROM dth WHERE hazard = 'flood'""")], [("country", "s"), ("year", "i"), ("death", "d")], "x"))
+def q_src_total_csv(spark, sf_dir):
+    """A totals CSV (keys already country, year)."""
+    d = D.death(facts(spark, sf_dir)).where(F.col("hazard") == "flood")
+    path = _stage_dir(spark, "total")
+    IO.write_table(d.select("country", "year", F.col("death").alias("deaths_flood")),
+                   path, fmt="csv")
+    return IO.read_total(spark, path, "deaths_flood", "death")
+
+
+@query("src_wide", _sql(O.standins("sparse") + [("x", "SELECT country AS Entity, CAST(NULL AS VARCHAR) AS Code, "
+                                                  "year AS Year, " + ", ".join(O.DMG_COLS) + " FROM dmg")],
+                        [("Entity", "s"), ("Code", "s"), ("Year", "i")] + [(c, "d") for c in O.DMG_COLS], "x"))
+def q_src_wide(spark, sf_dir):
+    """S3: the wide damage CSV with an explicit schema."""
+    w = D.damage_wide(facts(spark, sf_dir))
+    path = _stage_dir(spark, "wide")
+    IO.write_table(w.select(F.col("country").alias("Entity"),
+                            F.lit(None).cast("string").alias("Code"),
+                            F.col("year").alias("Year"), *DAMAGE_COLUMNS), path, fmt="csv")
+    return IO.read_wide_damage(spark, path, DAMAGE_COLUMNS)
+
+
+@query("src_parquet", _sql(O.standins("sparse") + O.totals("m_full"), TOTAL_TAB_COLS, "t_tab"))
+def q_src_parquet(spark, sf_dir):
+    """A prior stage's parquet output read back (NaN → null)."""
+    tot = B.totals_table(B.merge_totals(B.hazard_total(measures(spark, sf_dir))))
+    path = _stage_dir(spark, "stage")
+    IO.write_table(tot, path)
+    return IO.read_table(spark, path)
+
+
+@query("sink_roundtrip", O.analysis_query("sparse"))
+def q_sink_roundtrip(spark, sf_dir):
+    """The analysis table written as CSV (full overwrite), read back
+    with its schema."""
+    df = analysis(spark, sf_dir)
+    path = _stage_dir(spark, "sink")
+    IO.write_table(df, path, fmt="csv")
+    return spark.read.schema(df.schema).option("header", True).csv(path)
+
+
+@query("drop_if_exists", _sql(O.standins("sparse"), [("country", "s"), ("year", "i")]
+                              + [(c, "d") for c in O.DMG_COLS], "dmg"))
+def q_drop_if_exists(spark, sf_dir):
+    """A table written with a row-index artefact column, which is
+    dropped on read when present."""
+    w = D.damage_wide(facts(spark, sf_dir)).withColumn("Unnamed: 0", F.lit(0))
+    path = _stage_dir(spark, "indexed")
+    IO.write_table(w, path, fmt="csv")
+    back = spark.read.option("header", True).schema(w.schema).csv(path)
+    return IO.drop_if_exists(back, "Unnamed: 0", "no_such_column")
+
+
+@query("read_or_build", _sql(O.standins("sparse") + O.totals("m_full"), TOTAL_TAB_COLS, "t_tab"))
+def q_read_or_build(spark, sf_dir):
+    """First call builds and stores, second call reads the stored
+    artefacts; the second call's rows are returned."""
+    paths = {"totals": _stage_dir(spark, "cache")}
+
+    def build():
+        return {"totals": B.totals_table(B.merge_totals(B.hazard_total(
+            measures(spark, sf_dir))))}
+    IO.read_or_build(spark, paths, build)
+    return IO.read_or_build(spark, paths, None)["totals"]
