@@ -5,8 +5,9 @@ Training runs on executors (tree learners aggregate split statistics
 per partition); the driver holds only the fitted trees and the grid of
 parameter draws. Folds are contiguous blocks of the rows sorted by
 ``(entity, period)`` — the unshuffled 3-fold split of the reference —
-computed with the distributed row index of :mod:`perilscope.operators.order`
-and passed to ``CrossValidator`` through ``foldCol``.
+computed with the distributed row index of :mod:`perilscope.operators.order`;
+every (draw, fold) fit is submitted as its own Spark job from a thread
+pool, so small fits do not leave the executors idle.
 
 Parameter mapping from the reference's learners: ``n_estimators`` →
 ``numTrees`` / ``maxIter``; ``max_depth`` → ``maxDepth`` (None → 30, Spark's
@@ -21,12 +22,13 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,20 +137,49 @@ def param_maps(est: Estimator, draws: list[dict]) -> list[dict]:
     return [mapper(est, d) for d in draws]
 
 
+@dataclass
+class SearchResult:
+    """Outcome of a search: the refit best model and the mean CV metric of
+    each parameter draw (same attribute names as Spark's CrossValidatorModel)."""
+    bestModel: object
+    avgMetrics: list
+    bestIndex: int
+
+
+def _fit_eval(est: Estimator, params: dict, train: DataFrame, valid: DataFrame,
+              evaluator: RegressionEvaluator) -> float:
+    return evaluator.evaluate(est.copy(params).fit(train).transform(valid))
+
+
+def cross_validate(data: DataFrame, est: Estimator, maps: list[dict], folds: int,
+                   fold_col: str = "fold", parallelism: int = 4) -> SearchResult:
+    """k-fold CV over ``fold_col`` with every (draw, fold) fit submitted as
+    its own Spark job from a thread pool, then the best draw refit on all
+    rows. With a single draw the refit runs alongside the fold fits.
+    Spark's ``CrossValidator`` runs folds one after another, which leaves
+    the cluster idle during small fits (boosting is one job per iteration)."""
+    evaluator = RegressionEvaluator(labelCol=TARGET, metricName="r2")
+    splits = [(data.where(F.col(fold_col) != k), data.where(F.col(fold_col) == k))
+              for k in range(folds)]
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        futures = [[pool.submit(_fit_eval, est, m, tr, va, evaluator)
+                    for tr, va in splits] for m in maps]
+        early = pool.submit(est.copy(maps[0]).fit, data) if len(maps) == 1 else None
+        metrics = [sum(f.result() for f in fs) / folds for fs in futures]
+        best = max(range(len(maps)), key=lambda i: metrics[i])
+        model = early.result() if early is not None else est.copy(maps[best]).fit(data)
+    return SearchResult(model, metrics, best)
+
+
 def random_search_cv(train: DataFrame, est: Estimator, grid: dict, n_iter: int,
                      folds: int = 3, order: Sequence[str] = ("country", "period"),
-                     seed: int = SEED, parallelism: int = 2):
+                     seed: int = SEED, parallelism: int = 4):
     """M5: ``n_iter`` grid draws, k-fold CV on R² over contiguous folds,
-    best draw refit on all rows. Returns ``(cv_model, draws)``."""
+    best draw refit on all rows. Returns ``(search_result, draws)``."""
     draws = draw_grid(grid, n_iter, seed)
     maps = param_maps(est, draws)
-    data = contiguous_folds(train, list(order), folds)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(labelCol=TARGET,
-                                                      metricName="r2"),
-                        foldCol="fold", numFolds=folds, parallelism=parallelism,
-                        seed=seed)
-    return cv.fit(data), draws
+    data = contiguous_folds(train, list(order), folds).persist()
+    return cross_validate(data, est, maps, folds, "fold", parallelism), draws
 
 
 def search_scores(spark: SparkSession, cv_model, draws: list[dict]) -> DataFrame:
@@ -236,21 +267,25 @@ def bakeoff(spark: SparkSession, prepared_train: DataFrame,
             n_iter: int = 2, folds: int = 3) -> DataFrame:
     """C17: search each learner on train, score test, compare. One row per
     model: CV R², test R², test RMSE, ordered by test R² (best first)."""
-    train = assemble_features(prepared_train, features, TARGET)
-    test = assemble_features(prepared_test, features, TARGET)
+    train = assemble_features(prepared_train, features, TARGET).persist()
+    test = assemble_features(prepared_test, features, TARGET).persist()
     specs = {"forest": (forest(), GRID_FOREST_BAKEOFF),
              "boosted": (boosted(), GRID_BOOSTED),
              "boosted_hist": (boosted(), GRID_BOOSTED_HIST)}
-    rows = []
-    for name in models:
+
+    def run(name):
         est, grid = specs[name]
         cvm, _ = random_search_cv(train, est, grid, n_iter, folds)
         scored = predict(cvm.bestModel, test, "_pred")
         m = regression_metrics(scored, TARGET, "_pred").first()
-        rows.append((name, float(max(cvm.avgMetrics)),
-                     None if m["r2"] is None else float(m["r2"]),
-                     None if m["rmse"] is None else float(m["rmse"]),
-                     int(m["n"])))
+        return (name, float(max(cvm.avgMetrics)),
+                None if m["r2"] is None else float(m["r2"]),
+                None if m["rmse"] is None else float(m["rmse"]),
+                int(m["n"]))
+
+    # The learners are independent searches: run them as concurrent jobs.
+    with ThreadPoolExecutor(len(models)) as pool:
+        rows = list(pool.map(run, models))
     schema = T.StructType([T.StructField("model", T.StringType()),
                            T.StructField("cv_r2", T.DoubleType()),
                            T.StructField("test_r2", T.DoubleType()),

@@ -1194,3 +1194,161 @@ def q_read_or_build(spark, sf_dir):
             measures(spark, sf_dir))))}
     IO.read_or_build(spark, paths, build)
     return IO.read_or_build(spark, paths, None)["totals"]
+
+
+# =============================================================================
+# Models (nation × quarter): M1–M9, C11, C17
+# =============================================================================
+
+Q = QUARTER
+# Random draws per learner in the registered searches; Spark's boosted trees
+# run one job per iteration, so the full searches (20 and 50 draws) are
+# parameters of M.random_search_cv / M.bakeoff rather than the default.
+FORECAST_DRAWS = 2
+BAKEOFF_DRAWS = 1
+
+
+def _model_frames(spark, sf_dir):
+    cli, stats = features_cli(spark, sf_dir, Q)
+    return cli, stats
+
+
+def _quarter_sql():
+    return O.composite(Q["grain"], Q["cutoff"], Q["excluded"])
+
+
+FEATURE_ROW_COLS = KEY + [(c, "i" if c == "hazard_count" else "d")
+                          for c in FEATURES_IMPROVED] + [(TARGET, "d")]
+
+
+@query("feature_rows", _sql(_quarter_sql(), FEATURE_ROW_COLS, "cli",
+                            f"period <= {Q['cutoff']} AND " + " AND ".join(
+                                f"{c} IS NOT NULL" for c in FEATURES_IMPROVED + [TARGET])))
+def q_feature_rows(spark, sf_dir):
+    """M1: complete train rows of the 18 features and the target (the
+    columns the vector is assembled from)."""
+    cli, _ = _model_frames(spark, sf_dir)
+    train = cli.where(F.col("period") <= Q["cutoff"])
+    return FL.complete_cases(train, FEATURES_IMPROVED + [TARGET]).select(
+        "country", "period", *FEATURES_IMPROVED, TARGET)
+
+
+@query("cv_folds", _sql(_quarter_sql() + [("x", f"""SELECT country, period,
+  ntile(3) OVER (ORDER BY country, period) - 1 AS fold FROM cli
+WHERE period <= {Q['cutoff']} AND """ + " AND ".join(
+    f"{c} IS NOT NULL" for c in FEATURES_IMPROVED + [TARGET]))],
+    KEY + [("fold", "i")], "x"))
+def q_cv_folds(spark, sf_dir):
+    """M5 folds: contiguous unshuffled 3-fold split of the sorted train rows."""
+    cli, _ = _model_frames(spark, sf_dir)
+    train = FL.complete_cases(cli.where(F.col("period") <= Q["cutoff"]),
+                              FEATURES_IMPROVED + [TARGET])
+    return M.contiguous_folds(train.select("country", "period"),
+                              ["country", "period"], 3)
+
+
+def _bakeoff_frames(spark, sf_dir, with_lag):
+    return M.bakeoff_frames(analysis(spark, sf_dir, Q["grain"]), Q["split"], with_lag)
+
+
+@query("regression_metrics", _sql(O.analysis(Q["grain"]) + [
+    ("x_t", f"""SELECT *, lead(impact_rebased) OVER (PARTITION BY country ORDER BY period) AS y,
+  lag(impact_rebased) OVER (PARTITION BY period >= {Q['split']}, country ORDER BY period) AS yhat
+FROM a_set"""),
+    ("x_r", f"SELECT y, yhat FROM x_t WHERE period >= {Q['split']} AND y IS NOT NULL AND yhat IS NOT NULL"),
+    ("x", """SELECT count(*) AS n, sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+  1 - sum((y - yhat) * (y - yhat)) / sum((y - (SELECT avg(y) FROM x_r)) * (y - (SELECT avg(y) FROM x_r))) AS r2
+FROM x_r""")],
+    [("n", "i"), ("rmse", "d"), ("r2", "d")], "x"))
+def q_regression_metrics(spark, sf_dir):
+    """M7: RMSE and R² of the persistence baseline (last value within the
+    split) for the next-period target on the test split."""
+    _, test = _bakeoff_frames(spark, sf_dir, with_lag=True)
+    return M.regression_metrics(test, TARGET, "impact_lag1")
+
+
+def _fit_predict(spark, sf_dir, est, draw):
+    train, test = _bakeoff_frames(spark, sf_dir, with_lag=True)
+    tr = M.assemble_features(train, FEATURES_BINNED)
+    te = M.assemble_features(test, FEATURES_BINNED)
+    params = M.param_maps(est, [draw])[0]
+    model = est.copy(params).fit(tr)
+    return M.predict(model, te, "prediction").select("country", "period", TARGET,
+                                                     "prediction")
+
+
+@query("forest_predict")
+def q_forest_predict(spark, sf_dir):
+    """M2, M6: random forest (seed 42) fit on train, scored on test."""
+    return _fit_predict(spark, sf_dir, M.forest(),
+                        {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 2,
+                         "max_features": "sqrt"})
+
+
+@query("boosted_predict")
+def q_boosted_predict(spark, sf_dir):
+    """M3: gradient-boosted trees fit on train, scored on test."""
+    return _fit_predict(spark, sf_dir, M.boosted(),
+                        {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3,
+                         "min_samples_leaf": 1, "subsample": 0.8})
+
+
+@query("boosted_hist_predict")
+def q_boosted_hist_predict(spark, sf_dir):
+    """M4: the regularised-boosting configuration re-aimed on GBT."""
+    return _fit_predict(spark, sf_dir, M.boosted(),
+                        {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 4,
+                         "min_child_weight": 3, "subsample": 0.8,
+                         "colsample_bytree": 0.8, "gamma": 0.1})
+
+
+def _forecast(spark, sf_dir, n_iter=FORECAST_DRAWS):
+    cli, stats = _model_frames(spark, sf_dir)
+    pin = FE.prediction_input(cli, Q["cutoff"], Q["lo"], Q["hi"])
+    pred, imp, cvm, draws = M.forecast(spark, cli, pin, Q["cutoff"], n_iter=n_iter)
+    scored = FE.score_latest(pred.drop(*FE.COMPONENTS, "CLI"), stats, Q["excluded"])
+    return scored, imp, cvm, draws
+
+
+@query("forecast")
+def q_forecast(spark, sf_dir):
+    """C11: next-period forecast per valid entity with its CLI."""
+    scored, _, _, _ = _forecast(spark, sf_dir)
+    return scored.select("country", "period", "CLI", *FE.COMPONENTS,
+                         "predicted_impact_rebased_2026")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """M9: forest importances, descending."""
+    return _forecast(spark, sf_dir)[1]
+
+
+@query("top_importance")
+def q_top_importance(spark, sf_dir):
+    """The 10 most important features."""
+    return _forecast(spark, sf_dir)[1].limit(10)
+
+
+@query("search_scores")
+def q_search_scores(spark, sf_dir):
+    """M5: mean CV R² of each random draw."""
+    _, _, cvm, draws = _forecast(spark, sf_dir)
+    return M.search_scores(spark, cvm, draws)
+
+
+@query("bakeoff")
+def q_bakeoff(spark, sf_dir):
+    """C17 / M8: forest vs boosting vs histogram-style boosting on the
+    continuous feature set; CV R², test R², test RMSE."""
+    train, test = _bakeoff_frames(spark, sf_dir, with_lag=False)
+    return M.bakeoff(spark, train, test, FEATURES_CONTINUOUS, n_iter=BAKEOFF_DRAWS)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """M8 / C17 on the binned feature set (with the within-split lag):
+    forest vs boosting, best test R² first."""
+    train, test = _bakeoff_frames(spark, sf_dir, with_lag=True)
+    return M.bakeoff(spark, train, test, FEATURES_BINNED,
+                     models=("forest", "boosted"), n_iter=BAKEOFF_DRAWS)
