@@ -2,7 +2,7 @@
 quantiles / median (A12) and top-k (O2–O4).
 
 A window with no ``partitionBy`` — or one whose partition is a hot key —
-moves the whole input into one task. Instead, the distinct values are
+moves the whole input into one task. For ranks, the distinct values are
 range-partitioned on ``(scope..., value)`` so a hot scope spans many
 partitions, each partition is ranked locally, and a small table of
 per-partition counts (at most one row per partition and scope) gives the
@@ -72,52 +72,95 @@ def dense_rank(df: DataFrame, value: str, out: str,
     return base.join(ranked, on=[*scope, value], how="left")
 
 
+APPROX_ACCURACY = 10000
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
-                    scope: Sequence[str] = (),
-                    num_partitions: int | None = None) -> DataFrame:
+                    scope: Sequence[str] = (), accuracy: int = APPROX_ACCURACY,
+                    broadcast_scopes: bool = True) -> DataFrame:
     """Exact quantiles with linear interpolation (the pandas / DuckDB
-    ``quantile_cont`` rule), missing values skipped.
-
-    Returns one row per scope with columns ``q0, q1, ...`` in ``qs`` order;
-    a scope with no values gives nulls. Duplicates are counted map-side
-    first, then the value counts are range-partitioned; no task holds more
-    than one range partition of distinct values.
+    ``quantile_cont`` rule), missing values skipped; one row per scope with
+    columns ``q0, q1, ...`` in ``qs`` order (nulls for a scope without
+    values).
+
+    Two passes, no sort of the data and no group held whole:
+
+    0. the narrow ``(scope, value)`` projection is staged once;
+    1. one aggregate per scope: count, min, max and ``percentile_approx`` at
+       ``q ± 2/accuracy``. Its rank error is at most ``n/accuracy``, so the
+       pair brackets the two order statistics the interpolation needs
+       (scopes with ``n <= 2·accuracy`` use the exact min and max);
+    2. rows are counted below the bracket, and values inside it are counted
+       per distinct value (a hot value collapses map-side). The bracket holds
+       about ``4n/accuracy`` distinct values, which a window then walks to
+       pick the order statistics exactly.
+
+    ``broadcast_scopes`` broadcasts the per-scope bracket table: right when
+    scopes come from a fixed list (columns, hazards), not for an unbounded
+    scope key.
     """
     scope = list(scope)
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*scope, value).agg(F.count("*").alias("_c")))
-    laid = _range_layout(counts, scope, [F.col(value).asc()],
-                         _partitions(df, num_partitions))
-    offsets = _offsets(laid, scope, F.col("_c"))
-    wl = (Window.partitionBy("_pid", *scope).orderBy(value)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    spans = (laid.withColumn("_before", F.coalesce(F.sum("_c").over(wl), F.lit(0)))
-             .join(offsets, on=["_pid", *scope])
-             .select(*scope, value,
-                     (F.col("_off") + F.col("_before")).alias("_first"),
-                     (F.col("_off") + F.col("_before") + F.col("_c") - 1).alias("_last")))
-    totals = counts.groupBy(*scope).agg(F.sum("_c").alias("_n"))
-    targets = totals
+    # The narrow (scope, value) projection is read by both passes: write it
+    # once instead of recomputing the input's plan for every branch.
+    src = stage(df.where(F.col(value).isNotNull())
+                .select(*scope, F.col(value).cast("double").alias("_v")), "quantile")
+    v = F.col("_v")
+    eps = 2.0 / accuracy
+    small = F.col("_n") <= 2 * accuracy
+    aggs = [F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max")]
+    for i, q in enumerate(qs):
+        aggs.append(F.percentile_approx(
+            v, [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias(f"_ap{i}"))
+    stats = src.groupBy(*scope).agg(*aggs) if scope else src.agg(*aggs)
+    cols = [*scope, "_n"]
     for i, q in enumerate(qs):
+        lo = F.col("_min") if q - eps <= 0 else F.when(small, F.col("_min")).otherwise(
+            F.col(f"_ap{i}")[0])
+        hi = F.col("_max") if q + eps >= 1 else F.when(small, F.col("_max")).otherwise(
+            F.col(f"_ap{i}")[1])
         pos = (F.col("_n") - 1) * F.lit(float(q))
-        targets = targets.withColumn(f"_lo{i}", F.floor(pos)).withColumn(
-            f"_hi{i}", F.ceil(pos)).withColumn(f"_fr{i}", pos - F.floor(pos))
-    picked = spans.join(targets, on=scope, how="inner") if scope else \
-        spans.crossJoin(F.broadcast(targets))
-    aggs = []
+        cols += [lo.cast("double").alias(f"_lo{i}"), hi.cast("double").alias(f"_hi{i}"),
+                 F.floor(pos).alias(f"_k{i}"), F.ceil(pos).alias(f"_j{i}"),
+                 (pos - F.floor(pos)).alias(f"_f{i}")]
+    brackets = stats.select(*cols)
+    side = F.broadcast(brackets) if broadcast_scopes or not scope else brackets
+    joined = src.join(side, on=scope) if scope else src.crossJoin(side)
+    out_cols = []
     for i in range(len(qs)):
-        hit_lo = (F.col("_first") <= F.col(f"_lo{i}")) & (F.col(f"_lo{i}") <= F.col("_last"))
-        hit_hi = (F.col("_first") <= F.col(f"_hi{i}")) & (F.col(f"_hi{i}") <= F.col("_last"))
-        aggs += [F.max(F.when(hit_lo, F.col(value))).alias(f"_vlo{i}"),
-                 F.max(F.when(hit_hi, F.col(value))).alias(f"_vhi{i}"),
-                 F.max(F.col(f"_fr{i}")).alias(f"_f{i}")]
-    got = picked.groupBy(*scope).agg(*aggs) if scope else picked.agg(*aggs)
-    outs = [(F.col(f"_vlo{i}") + (F.col(f"_vhi{i}") - F.col(f"_vlo{i}")) * F.col(f"_f{i}"))
-            .alias(f"q{i}") for i in range(len(qs))]
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        below = (joined.where(F.col("_v") < lo).groupBy(*scope)
+                 .agg(F.count(F.lit(1)).alias("_below")))
+        inside = (joined.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
+                  .groupBy(*scope, "_v").agg(F.count(F.lit(1)).alias("_c")))
+        w = (Window.partitionBy(*scope).orderBy("_v")
+             .rowsBetween(Window.unboundedPreceding, -1))
+        walk = inside.withColumn("_cb", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        walk = walk.join(brackets.select(*scope, f"_k{i}", f"_j{i}", f"_f{i}"), on=scope) \
+            if scope else walk.crossJoin(brackets.select(f"_k{i}", f"_j{i}", f"_f{i}"))
+        walk = walk.join(below, on=scope, how="left") if scope else \
+            walk.crossJoin(below)
+        first = F.coalesce(F.col("_below"), F.lit(0)) + F.col("_cb")
+        last = first + F.col("_c") - 1
+        hit_k = (first <= F.col(f"_k{i}")) & (F.col(f"_k{i}") <= last)
+        hit_j = (first <= F.col(f"_j{i}")) & (F.col(f"_j{i}") <= last)
+        picked = walk.groupBy(*scope).agg(
+            F.max(F.when(hit_k, F.col("_v"))).alias("_vk"),
+            F.max(F.when(hit_j, F.col("_v"))).alias("_vj"),
+            F.max(f"_f{i}").alias("_fr"))
+        res = picked.select(*scope, (F.col("_vk") + (F.col("_vj") - F.col("_vk"))
+                                     * F.col("_fr")).alias(f"q{i}"))
+        out_cols.append(res)
     if scope:
-        keys = df.select(*scope).distinct()
-        return keys.join(got.select(*scope, *outs), on=scope, how="left")
-    return got.select(*outs)
+        out = df.select(*scope).distinct()
+        for r in out_cols:
+            out = out.join(r, on=scope, how="left")
+        return out
+    # without a scope each result is one global-aggregate row (nulls when
+    # there are no values)
+    out = out_cols[0]
+    for r in out_cols[1:]:
+        out = out.crossJoin(r)
+    return out
 
 
 def column_medians(df: DataFrame, cols: Sequence[str],

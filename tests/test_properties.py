@@ -44,15 +44,25 @@ def test_dense_rank_ascending(skewed):
 def test_exact_quantiles(skewed):
     pdf, df = skewed
     qs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = OR.exact_quantiles(df, "v", qs, scope=["scope"], num_partitions=6).toPandas()
+    # a small accuracy forces the bracketed path (n > 2 * accuracy)
+    got = OR.exact_quantiles(df, "v", qs, scope=["scope"], accuracy=20).toPandas()
     for _, r in got.iterrows():
         vals = pdf.loc[pdf["scope"] == r["scope"], "v"].dropna()
         for i, q in enumerate(qs):
             assert abs(r[f"q{i}"] - vals.quantile(q)) < 1e-12
-    glob = OR.exact_quantiles(df, "v", [0.5], num_partitions=6).first()[0]
+    glob = OR.exact_quantiles(df, "v", [0.5], accuracy=20).first()[0]
     assert abs(glob - pdf["v"].dropna().median()) < 1e-12
 
 
+def test_exact_quantiles_exact_path_and_hot_median(spark):
+    vals = [0.0] * 500 + [1.0, 2.0, 3.0] + [-1.0] * 10
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for acc in (10, 10000):
+        got = OR.exact_quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], accuracy=acc).first()
+        exp = pd.Series(vals).quantile([0.0, 0.5, 0.99, 1.0]).tolist()
+        assert [round(x, 12) for x in got] == [round(x, 12) for x in exp]
+
+
 def test_column_medians_all_missing_column(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None), (2.0, None)], "a double, b double")
     r = OR.column_medians(df, ["a", "b"]).first()
