@@ -1352,3 +1352,44 @@ def q_model_comparison(spark, sf_dir):
     train, test = _bakeoff_frames(spark, sf_dir, with_lag=True)
     return M.bakeoff(spark, train, test, FEATURES_BINNED,
                      models=("forest", "boosted"), n_iter=BAKEOFF_DRAWS)
+
+
+# =============================================================================
+# Streaming re-expressions
+# =============================================================================
+
+from .streaming import incremental as ST  # noqa: E402
+
+
+def _facts_stream(spark, sf_dir, grain="sparse"):
+    f = facts(spark, sf_dir, grain)
+    src = f.inputFiles()[0].rsplit("/", 1)[0]
+    return ST.read_stream(spark, src, f, max_files=1)
+
+
+@query("stream_totals_binned", _sql(
+    O.standins("sparse") + O.totals("m_inner", size=5),
+    KEY + [("hazard", "s"), ("total_affected", "d"), ("total_deaths", "d")], "t_long"))
+def q_stream_totals_binned(spark, sf_dir):
+    """C2 as a stateful streaming aggregation over the stand-in measures
+    (file source, availableNow), equal to the batch builder."""
+    stream = D.measures_long(_facts_stream(spark, sf_dir), "inner")
+    paths = ST.stream_paths(spark, "totals-stream")
+    ST.run_available(ST.totals_stream(stream, period_size=5), paths["out"],
+                     paths["checkpoint"])
+    return spark.read.parquet(paths["out"])
+
+
+@query("stream_rebuild_analysis", O.analysis_query("sparse"))
+def q_stream_rebuild_analysis(spark, sf_dir):
+    """Rebuild-on-arrival: raw stand-in rows arrive as a stream; each
+    micro-batch is appended and the analysis table rebuilt from all rows."""
+    stream = _facts_stream(spark, sf_dir)
+    paths = ST.stream_paths(spark, "analysis-rebuild")
+
+    def build(all_facts):
+        return A.analysis_set_yearly(D.measures_long(all_facts, "full"),
+                                     D.damage_wide(all_facts), sort=False)
+    ST.rebuild_on_arrival(stream, paths["raw"], paths["out"], build,
+                          paths["checkpoint"])
+    return spark.read.parquet(paths["out"])

@@ -61,6 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for ``name`` under the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/perilscope-stages/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -71,7 +77,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the write loses nothing.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/perilscope-stages/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
