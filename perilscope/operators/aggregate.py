@@ -107,7 +107,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], scope=["column"])
+    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], scope=["column"],
+                         broadcast_scopes=True)
     return basic.join(qs.select("column", F.col("q0").alias("q25"),
                                 F.col("q1").alias("q50"),
                                 F.col("q2").alias("q75")),

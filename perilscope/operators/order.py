@@ -2,13 +2,13 @@
 quantiles / median (A12) and top-k (O2–O4).
 
 A window with no ``partitionBy`` — or one whose partition is a hot key —
-moves the whole input into one task. For ranks, the distinct values are
-range-partitioned on ``(scope..., value)`` so a hot scope spans many
-partitions, each partition is ranked locally, and a small table of
-per-partition counts (at most one row per partition and scope) gives the
-offset to add. The range layout is written to the session's shared
-checkpoint folder before it is used twice, so a recomputation after a lost
-executor cannot draw different range bounds for the two uses.
+moves the whole input into one task. For ranks, the rows are
+range-partitioned on ``(scope..., value, row hash)`` so a hot scope or a
+hot value spans many partitions, each partition is ranked locally, and a
+small per-partition summary gives the offset to add. The range layout is
+written to the session's shared checkpoint folder before it is used twice,
+so a recomputation after a lost executor cannot draw different range bounds
+for the two uses.
 """
 
 from __future__ import annotations
@@ -54,22 +54,45 @@ def dense_rank(df: DataFrame, value: str, out: str,
     """Dense rank of ``value`` within ``scope`` (highest = 1 when
     descending). Rows with a missing value get a null rank.
 
-    The input is checkpointed once so the ranked values and the rows they
-    are joined back to are the same doubles.
+    The rows themselves are range-partitioned on ``(scope, value, row
+    hash)``: the hash spreads a hot value over several partitions, so no
+    partition exceeds its share. The layout (rows + partition id) is written
+    once. A per-(partition, scope) summary — distinct count, first and last
+    value — gives each partition its offset: the distinct values of earlier
+    partitions minus the values shared across a partition boundary. The
+    rank is that offset plus the local dense rank; no join back, no
+    single-partition window (the summary has at most one row per partition
+    and scope).
     """
     scope = list(scope)
-    base = materialise(df)
-    d = base.where(F.col(value).isNotNull()).select(*scope, value).distinct()
-    vorder = F.col(value).desc() if descending else F.col(value).asc()
-    laid = _range_layout(d, scope, [vorder], _partitions(df, num_partitions))
-    offsets = _offsets(laid, scope, F.lit(1))
-    local = laid.withColumn(
-        "_loc", F.row_number().over(
-            Window.partitionBy("_pid", *scope).orderBy(vorder)))
-    ranked = (local.join(offsets, on=["_pid", *scope])
-              .select(*scope, value,
-                      (F.col("_off") + F.col("_loc")).cast("int").alias(out)))
-    return base.join(ranked, on=[*scope, value], how="left")
+    n = _partitions(df, num_partitions)
+    v = F.col(value)
+    vorder = v.desc_nulls_last() if descending else v.asc_nulls_last()
+    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    laid = materialise(
+        df.repartitionByRange(n, *[F.col(k) for k in scope], vorder, tiebreak)
+        .withColumn("_pid", F.spark_partition_id()), "rank-layout")
+    first = F.max(v) if descending else F.min(v)
+    last = F.min(v) if descending else F.max(v)
+    summary = (laid.groupBy("_pid", *scope)
+               .agg(F.countDistinct(v).alias("_d"), first.alias("_first"),
+                    last.alias("_last"))
+               .where(F.col("_d") > 0))
+    w = Window.partitionBy(*scope).orderBy("_pid")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    summary = summary.withColumn(
+        "_overlap", (F.lag("_last").over(w) == F.col("_first")).cast("int"))
+    offsets = summary.select(
+        "_pid", *scope,
+        (F.coalesce(F.sum("_d").over(before), F.lit(0))
+         - F.coalesce(F.sum("_overlap").over(upto), F.lit(0))).alias("_off"))
+    local = F.dense_rank().over(Window.partitionBy("_pid", *scope).orderBy(vorder))
+    ranked = laid.withColumn("_loc", local).join(
+        F.broadcast(offsets) if not scope else offsets, on=["_pid", *scope], how="left")
+    return ranked.withColumn(
+        out, F.when(v.isNotNull(), (F.col("_off") + F.col("_loc")).cast("int"))
+    ).drop("_pid", "_loc", "_off")
 
 
 APPROX_ACCURACY = 10000
@@ -77,7 +100,7 @@ APPROX_ACCURACY = 10000
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
                     scope: Sequence[str] = (), accuracy: int = APPROX_ACCURACY,
-                    broadcast_scopes: bool = True) -> DataFrame:
+                    broadcast_scopes: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (the pandas / DuckDB
     ``quantile_cont`` rule), missing values skipped; one row per scope with
     columns ``q0, q1, ...`` in ``qs`` order (nulls for a scope without
@@ -178,7 +201,8 @@ def column_medians(df: DataFrame, cols: Sequence[str],
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in cols])).alias("_kv")).select("_kv.column", "_kv.value")
-    med = exact_quantiles(long, "value", [0.5], scope=["column"])
+    med = exact_quantiles(long, "value", [0.5], scope=["column"],
+                          broadcast_scopes=True)
     return (med.groupBy().pivot("column", cols).agg(F.first("q0"))
             .select(*[F.col(c).alias(c) for c in cols]))
 

@@ -10,7 +10,8 @@ one group-by on ``(country, period, hazard)`` (they aggregate the same
 groups), the scaler's per-hazard statistics are a four-row broadcast, and
 impacts, totals and the melted damage rows are unioned and folded in one
 group-by on ``(country, period)``: two shuffles of the data instead of
-seven group-bys and two outer joins. Key presence reproduces the join
+seven group-bys and two outer joins. The folded table is written once to
+the checkpoint folder, since the global rebase reads it twice. Key presence reproduces the join
 types: yearly keeps every key of any part (full outer), binned keeps the
 keys that have impact rows (left outer from the impact table).
 """
@@ -28,6 +29,7 @@ from ..operators.filters import drop_all_null, having_min_events
 from ..operators.joins import attach_global_stats
 from ..operators.reshape import melt
 from ..operators.scale import rebase, zscore
+from ..session import stage
 from . import builders as B
 
 ANALYSIS_COLUMNS = [
@@ -111,7 +113,11 @@ def _fold(hazard_rows: DataFrame, damage_long: DataFrame,
 
 
 def _finish(folded: DataFrame, sort: bool) -> DataFrame:
-    idx = rebase(folded, "climate_impact_index", "impact_rebased")
+    # The global rebase reads the folded table twice (its minimum, then the
+    # rows); column pruning would make those two different plans, so the
+    # fold would run twice. It is written once instead.
+    idx = rebase(stage(folded, "analysis-fold"), "climate_impact_index",
+                 "impact_rebased")
     out = idx.select(
         "country", "period", *[f"{h}_impact" for h in HAZARDS],
         "climate_impact_index", "impact_rebased", "hazard_count",

@@ -35,6 +35,44 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executor_cores: int = 4,
+                 executor_memory_gb: int = 16, checkpoint_dir: str | None = None,
+                 target_partition_mb: int = 256, shuffle_fraction: float = 0.25,
+                 max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings for a cluster run sized to the input (e.g. 100 TB).
+
+    * scan splits of ``target_partition_mb`` (parquet row groups permitting);
+    * initial shuffle partitions = expected shuffle volume / target size. The
+      largest shuffle (the line-item pre-aggregate) carries four pruned
+      columns, about ``shuffle_fraction`` of the input, so each partition
+      fits in one task's share of executor memory; AQE then coalesces small
+      partitions and splits skewed ones;
+    * broadcast threshold left at a fixed byte size (never proportional to the
+      data), so only genuinely small sides are broadcast;
+    * a shared checkpoint folder for :func:`stage` (required off local mode).
+    """
+    target = target_partition_mb * 1024 * 1024
+    partitions = min(max_partitions,
+                     max(200, int(input_bytes * shuffle_fraction // target)))
+    per_task_mb = executor_memory_gb * 1024 // max(1, executor_cores)
+    conf = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.windowExec.buffer.spill.threshold": str(max(4096, per_task_mb * 64)),
+    }
+    if checkpoint_dir:
+        conf["spark.checkpoint.dir"] = checkpoint_dir
+    return conf
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
