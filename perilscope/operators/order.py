@@ -32,22 +32,6 @@ def materialise(df: DataFrame, name: str = "order") -> DataFrame:
     return stage(df, name)
 
 
-def _range_layout(d: DataFrame, scope: list[str], order: list[Column],
-                  n: int) -> DataFrame:
-    laid = (d.repartitionByRange(n, *[F.col(k) for k in scope], *order)
-            .withColumn("_pid", F.spark_partition_id()))
-    return materialise(laid)
-
-
-def _offsets(laid: DataFrame, scope: list[str], weight: Column) -> DataFrame:
-    """Per (partition, scope): total weight of earlier partitions."""
-    counts = laid.groupBy("_pid", *scope).agg(F.sum(weight).alias("_w"))
-    w = (Window.partitionBy(*scope).orderBy("_pid")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("_pid", *scope,
-                         F.coalesce(F.sum("_w").over(w), F.lit(0)).alias("_off"))
-
-
 def dense_rank(df: DataFrame, value: str, out: str,
                scope: Sequence[str] = (), descending: bool = True,
                num_partitions: int | None = None) -> DataFrame:

@@ -26,7 +26,6 @@ from ..functions.rowwise import row_mean
 from ..functions.scalar import bin_period, fill_const, log1p, scale, value_or_zero_ratio
 from ..operators.aggregate import not_null_keys
 from ..operators.filters import drop_all_null, having_min_events
-from ..operators.joins import attach_global_stats
 from ..operators.reshape import melt
 from ..operators.scale import rebase, zscore
 from ..session import stage

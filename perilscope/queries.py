@@ -38,6 +38,7 @@ from .plans import views as V
 from .session import stage
 from .sources import driver_tables as D
 from .sources import io as IO
+from .streaming import incremental as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1358,9 +1359,6 @@ def q_model_comparison(spark, sf_dir):
 # Streaming re-expressions
 # =============================================================================
 
-from .streaming import incremental as ST  # noqa: E402
-
-
 def _facts_stream(spark, sf_dir, grain="sparse"):
     f = facts(spark, sf_dir, grain)
     src = f.inputFiles()[0].rsplit("/", 1)[0]
