@@ -21,12 +21,6 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def materialise(df: DataFrame, name: str = "order") -> DataFrame:
     """Cut lineage: write to the shared checkpoint folder, read back."""
     return stage(df, name)
@@ -49,13 +43,16 @@ def dense_rank(df: DataFrame, value: str, out: str,
     and scope).
     """
     scope = list(scope)
-    n = _partitions(df, num_partitions)
     v = F.col(value)
     vorder = v.desc_nulls_last() if descending else v.asc_nulls_last()
     tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    laid = materialise(
-        df.repartitionByRange(n, *[F.col(k) for k in scope], vorder, tiebreak)
-        .withColumn("_pid", F.spark_partition_id()), "rank-layout")
+    keys = [*[F.col(k) for k in scope], vorder, tiebreak]
+    # Without an explicit count AQE sizes the range partitions (coalescing
+    # keeps them contiguous, so partition ids stay in key order).
+    spread = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    laid = materialise(spread.withColumn("_pid", F.spark_partition_id()),
+                       "rank-layout")
     first = F.max(v) if descending else F.min(v)
     last = F.min(v) if descending else F.max(v)
     summary = (laid.groupBy("_pid", *scope)
