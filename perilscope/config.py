@@ -19,6 +19,32 @@ TOTAL_ORDER = ["extreme_temp", "drought", "flood", "storms"]
 # Hazard columns of the wide economic-damage table, in melt order.
 DAMAGE_COLUMNS = ["drought", "flood", "storm", "extreme_temp"]
 
+# Column headers of the per-hazard input files.
+PER_CAPITA_AFFECTED = {
+    "drought": "Total number of people affected by drought per 100,000",
+    "flood": "Total number of people affected by floods per 100,000",
+    "storms": "Total number of people affected by storms per 100,000",
+    "extreme_temp": "Total number of people affected by extreme temperatures per 100,000",
+}
+PER_CAPITA_DEATH = {
+    "drought": "Death rates from drought",
+    "flood": "Death rates from floods",
+    "storms": "Death rates from storms",
+    "extreme_temp": "Death rates from extreme temperatures",
+}
+TOTAL_AFFECTED_COLUMN = {
+    "drought": "total_affected_drought",
+    "flood": "total_affected_flood",
+    "storms": "total_affected_storm",
+    "extreme_temp": "total_affected_temperature",
+}
+TOTAL_DEATHS_COLUMN = {
+    "drought": "deaths_drought",
+    "flood": "deaths_flood",
+    "storms": "deaths_storm",
+    "extreme_temp": "deaths_temperature",
+}
+
 # Aggregate rows that are not countries; removed on the forecast path only.
 EXCLUDED_ENTITIES = [
     "Asia", "Africa", "Europe", "North America", "South America", "Oceania",

@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from . import oracle as O
 from .config import (CLI_WEIGHTS, DAMAGE_COLUMNS, FEATURES_BINNED,
-                     FEATURES_CONTINUOUS, FEATURES_IMPROVED, HAZARDS, TARGET)
+                     FEATURES_CONTINUOUS, FEATURES_IMPROVED, HAZARDS,
+                     PER_CAPITA_AFFECTED, PER_CAPITA_DEATH, TARGET,
+                     TOTAL_AFFECTED_COLUMN, TOTAL_DEATHS_COLUMN)
 from .functions import rowwise as RW
 from .functions import scalar as SC
 from .operators import aggregate as AG
@@ -119,6 +121,8 @@ def _sql(body_ctes, cols, src, where=""):
 
 AC = O.ANALYSIS_COLS
 KEY = [("country", "s"), ("period", "i")]
+MCOLS = [("country", "s"), ("year", "i"), ("hazard", "s"), ("affected", "d"),
+         ("death", "d")]
 
 
 # =============================================================================
@@ -419,12 +423,14 @@ def _a(cols, where="", extra=None):
 
 # -- P: projection / filter -----------------------------------------------------
 
-@query("rename", _sql(O.standins("sparse") + [("x", """SELECT country, year, death AS deaths_flood
-FROM dth WHERE hazard = 'flood'""")], [("country", "s"), ("year", "i"), ("deaths_flood", "d")], "x"))
+@query("rename", _sql(O.standins("sparse") + [("x", """SELECT country AS "Country name",
+  year AS "Year", hazard, death AS "Death rate" FROM dth""")],
+    [('"Country name"', "s"), ('"Year"', "i"), ("hazard", "s"), ('"Death rate"', "d")], "x"))
 def q_rename(spark, sf_dir):
-    """A death measure renamed to the totals file's column name."""
-    d = D.death(facts(spark, sf_dir)).where(F.col("hazard") == "flood").drop("hazard")
-    return FL.rename(d, {"death": "deaths_flood"})
+    """The death measure's columns renamed to the per-capita file's
+    names (and back, in the readers)."""
+    return FL.rename(D.death(facts(spark, sf_dir)),
+                     {"country": "Country name", "year": "Year", "death": "Death rate"})
 
 
 @query("project", _a(KEY + [("climate_impact_index", "d"), ("hazard_count", "i")]))
@@ -434,10 +440,6 @@ def q_project(spark, sf_dir):
                                           "hazard_count"])
 
 
-MCOLS = [("country", "s"), ("year", "i"), ("hazard", "s"), ("affected", "d"),
-         ("death", "d")]
-
-
 @query("copy_col", _sql(O.standins("sparse") + [("x", "SELECT *, year AS period FROM m_full")],
                         MCOLS + [("period", "i")], "x"))
 def q_copy_col(spark, sf_dir):
@@ -1113,31 +1115,43 @@ def _stage_dir(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/perilscope-io/{name}-{uuid.uuid4().hex}"
 
 
-AFF_HEADER = "Total number of people affected by floods per 100,000"
+def _per_hazard_files(spark, f, name, keys, aff_head, death_head, read):
+    """Write the affected and death measures as one reference-format CSV per
+    hazard and measure, read each back with ``read``, full-join the two
+    files of each hazard on (country, year) (J1) and union the hazards.
+    The loop runs over the fixed hazard list, not over data."""
+    base = _stage_dir(spark, name)
+    parts = []
+    for h in HAZARDS:
+        frames = []
+        for src, value, heads in ((D.affected(f), "affected", aff_head),
+                                  (D.death(f), "death", death_head)):
+            path = f"{base}/{h}-{value}"
+            IO.write_table(src.where(F.col("hazard") == h).select(
+                F.col("country").alias(keys[0]), F.col("year").alias(keys[1]),
+                F.col(value).alias(heads[h])), path, fmt="csv")
+            frames.append(read(path, keys, heads[h], value))
+        parts.append(J.join_full(*frames).withColumn("hazard", F.lit(h)))
+    return RS.union_rows(parts).select("country", "year", "hazard", "affected", "death")
+
+
+@query("src_measure_csv", _sql(O.standins("sparse"), MCOLS, "m_full"))
+def q_src_measure_csv(spark, sf_dir):
+    """S1 (+ J1): per-capita files, two per hazard, in the reference's
+    format; explicit schema, renamed, full-joined per hazard."""
+    return _per_hazard_files(
+        spark, facts(spark, sf_dir), "measure", ("Country name", "Year"),
+        PER_CAPITA_AFFECTED, PER_CAPITA_DEATH,
+        lambda path, k, head, out: IO.read_measure(spark, path, k[0], k[1], head, out))
 
 
-@query("src_measure_csv", _sql(O.standins("sparse") + [("x", """SELECT country, year, affected
-FROM aff WHERE hazard = 'flood'""")], [("country", "s"), ("year", "i"), ("affected", "d")], "x"))
-def q_src_measure_csv(spark, sf_dir):
-    """A per-hazard measure written as the reference's CSV, read back
-    with an explicit schema and renamed."""
-    a = D.affected(facts(spark, sf_dir)).where(F.col("hazard") == "flood")
-    path = _stage_dir(spark, "measure")
-    IO.write_table(a.select(F.col("country").alias("Country name"),
-                            F.col("year").alias("Year"),
-                            F.col("affected").alias(AFF_HEADER)), path, fmt="csv")
-    return IO.read_measure(spark, path, "Country name", "Year", AFF_HEADER, "affected")
-
-
-@query("src_total_csv", _sql(O.standins("sparse") + [("x", """SELECT country, year, death
-FROM dth WHERE hazard = 'flood'""")], [("country", "s"), ("year", "i"), ("death", "d")], "x"))
+@query("src_total_csv", _sql(O.standins("sparse"), MCOLS, "m_full"))
 def q_src_total_csv(spark, sf_dir):
-    """A totals CSV (keys already country, year)."""
-    d = D.death(facts(spark, sf_dir)).where(F.col("hazard") == "flood")
-    path = _stage_dir(spark, "total")
-    IO.write_table(d.select("country", "year", F.col("death").alias("deaths_flood")),
-                   path, fmt="csv")
-    return IO.read_total(spark, path, "deaths_flood", "death")
+    """S2 (+ J1): totals files (keys already country, year), two per hazard."""
+    return _per_hazard_files(
+        spark, facts(spark, sf_dir), "total", ("country", "year"),
+        TOTAL_AFFECTED_COLUMN, TOTAL_DEATHS_COLUMN,
+        lambda path, k, head, out: IO.read_total(spark, path, head, out))
 
 
 @query("src_wide", _sql(O.standins("sparse") + [("x", "SELECT country AS Entity, CAST(NULL AS VARCHAR) AS Code, "
