@@ -104,11 +104,12 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
     scope key.
     """
     scope = list(scope)
-    # The narrow (scope, value) projection is read by both passes: write it
-    # once instead of recomputing the input's plan for every branch.
-    src = stage(df.where(F.col(value).isNotNull())
-                .select(*scope, F.col(value).cast("double").alias("_v")), "quantile")
+    # The narrow (scope, value) projection is read by both passes and for the
+    # scope keys: write it once instead of re-running the input's plan.
+    narrow = stage(df.select(*scope, F.col(value).cast("double").alias("_v")),
+                   "quantile")
     v = F.col("_v")
+    src = narrow.where(v.isNotNull())
     eps = 2.0 / accuracy
     small = F.col("_n") <= 2 * accuracy
     aggs = [F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max")]
@@ -155,7 +156,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
                                      * F.col("_fr")).alias(f"q{i}"))
         out_cols.append(res)
     if scope:
-        out = df.select(*scope).distinct()
+        out = narrow.select(*scope).distinct()
         for r in out_cols:
             out = out.join(r, on=scope, how="left")
         return out
