@@ -117,55 +117,50 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
         aggs.append(F.percentile_approx(
             v, [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias(f"_ap{i}"))
     stats = src.groupBy(*scope).agg(*aggs) if scope else src.agg(*aggs)
-    cols = [*scope, "_n"]
+    # One bracket row per (scope, quantile): the second pass handles every
+    # quantile at once.
+    per_q = []
     for i, q in enumerate(qs):
         lo = F.col("_min") if q - eps <= 0 else F.when(small, F.col("_min")).otherwise(
             F.col(f"_ap{i}")[0])
         hi = F.col("_max") if q + eps >= 1 else F.when(small, F.col("_max")).otherwise(
             F.col(f"_ap{i}")[1])
         pos = (F.col("_n") - 1) * F.lit(float(q))
-        cols += [lo.cast("double").alias(f"_lo{i}"), hi.cast("double").alias(f"_hi{i}"),
-                 F.floor(pos).alias(f"_k{i}"), F.ceil(pos).alias(f"_j{i}"),
-                 (pos - F.floor(pos)).alias(f"_f{i}")]
-    brackets = stats.select(*cols)
+        per_q.append(F.struct(F.lit(i).alias("_i"), lo.cast("double").alias("_lo"),
+                              hi.cast("double").alias("_hi"),
+                              F.floor(pos).alias("_k"), F.ceil(pos).alias("_j"),
+                              (pos - F.floor(pos)).alias("_f")))
+    brackets = stats.select(*scope, F.explode(F.array(*per_q)).alias("_b")).select(
+        *scope, "_b.*")
     side = F.broadcast(brackets) if broadcast_scopes or not scope else brackets
     joined = src.join(side, on=scope) if scope else src.crossJoin(side)
-    out_cols = []
-    for i in range(len(qs)):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        below = (joined.where(F.col("_v") < lo).groupBy(*scope)
-                 .agg(F.count(F.lit(1)).alias("_below")))
-        inside = (joined.where((F.col("_v") >= lo) & (F.col("_v") <= hi))
-                  .groupBy(*scope, "_v").agg(F.count(F.lit(1)).alias("_c")))
-        w = (Window.partitionBy(*scope).orderBy("_v")
-             .rowsBetween(Window.unboundedPreceding, -1))
-        walk = inside.withColumn("_cb", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        walk = walk.join(brackets.select(*scope, f"_k{i}", f"_j{i}", f"_f{i}"), on=scope) \
-            if scope else walk.crossJoin(brackets.select(f"_k{i}", f"_j{i}", f"_f{i}"))
-        walk = walk.join(below, on=scope, how="left") if scope else \
-            walk.crossJoin(below)
-        first = F.coalesce(F.col("_below"), F.lit(0)) + F.col("_cb")
-        last = first + F.col("_c") - 1
-        hit_k = (first <= F.col(f"_k{i}")) & (F.col(f"_k{i}") <= last)
-        hit_j = (first <= F.col(f"_j{i}")) & (F.col(f"_j{i}") <= last)
-        picked = walk.groupBy(*scope).agg(
-            F.max(F.when(hit_k, F.col("_v"))).alias("_vk"),
-            F.max(F.when(hit_j, F.col("_v"))).alias("_vj"),
-            F.max(f"_f{i}").alias("_fr"))
-        res = picked.select(*scope, (F.col("_vk") + (F.col("_vj") - F.col("_vk"))
-                                     * F.col("_fr")).alias(f"q{i}"))
-        out_cols.append(res)
+    keys = [*scope, "_i"]
+    below = (joined.groupBy(*keys)
+             .agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below")))
+    inside = (joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    w = (Window.partitionBy(*keys).orderBy("_v")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    walk = (inside.withColumn("_cb", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+            .join(brackets.select(*keys, "_k", "_j", "_f"), on=keys)
+            .join(below, on=keys, how="left"))
+    first = F.coalesce(F.col("_below"), F.lit(0)) + F.col("_cb")
+    last = first + F.col("_c") - 1
+    hit_k = (first <= F.col("_k")) & (F.col("_k") <= last)
+    hit_j = (first <= F.col("_j")) & (F.col("_j") <= last)
+    picked = walk.groupBy(*keys).agg(
+        F.max(F.when(hit_k, F.col("_v"))).alias("_vk"),
+        F.max(F.when(hit_j, F.col("_v"))).alias("_vj"),
+        F.max("_f").alias("_fr"))
+    vals = picked.select(*keys, (F.col("_vk") + (F.col("_vj") - F.col("_vk"))
+                                 * F.col("_fr")).alias("_q"))
+    wide = vals.groupBy(*scope).pivot("_i", list(range(len(qs)))).agg(F.first("_q"))
+    wide = wide.select(*scope, *[F.col(f"`{i}`").alias(f"q{i}") for i in range(len(qs))])
     if scope:
-        out = narrow.select(*scope).distinct()
-        for r in out_cols:
-            out = out.join(r, on=scope, how="left")
-        return out
-    # without a scope each result is one global-aggregate row (nulls when
-    # there are no values)
-    out = out_cols[0]
-    for r in out_cols[1:]:
-        out = out.crossJoin(r)
-    return out
+        return narrow.select(*scope).distinct().join(wide, on=scope, how="left")
+    # without a scope: one row, nulls when there are no values
+    one = narrow.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return one.join(wide.withColumn("_one", F.lit(1)), on="_one", how="left").drop("_one")
 
 
 def column_medians(df: DataFrame, cols: Sequence[str],
