@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stage
 
@@ -45,7 +46,9 @@ def dense_rank(df: DataFrame, value: str, out: str,
     scope = list(scope)
     v = F.col(value)
     vorder = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    hashable = [f.name for f in df.schema.fields
+                if not isinstance(f.dataType, T.MapType)]
+    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
     keys = [*[F.col(k) for k in scope], vorder, tiebreak]
     # Without an explicit count AQE sizes the range partitions (coalescing
     # keeps them contiguous, so partition ids stay in key order).

@@ -179,7 +179,10 @@ def random_search_cv(train: DataFrame, est: Estimator, grid: dict, n_iter: int,
     draws = draw_grid(grid, n_iter, seed)
     maps = param_maps(est, draws)
     data = contiguous_folds(train, list(order), folds).persist()
-    return cross_validate(data, est, maps, folds, "fold", parallelism), draws
+    try:
+        return cross_validate(data, est, maps, folds, "fold", parallelism), draws
+    finally:
+        data.unpersist()
 
 
 def search_scores(spark: SparkSession, cv_model, draws: list[dict]) -> DataFrame:
@@ -284,8 +287,12 @@ def bakeoff(spark: SparkSession, prepared_train: DataFrame,
                 int(m["n"]))
 
     # The learners are independent searches: run them as concurrent jobs.
-    with ThreadPoolExecutor(len(models)) as pool:
-        rows = list(pool.map(run, models))
+    try:
+        with ThreadPoolExecutor(len(models)) as pool:
+            rows = list(pool.map(run, models))
+    finally:
+        train.unpersist()
+        test.unpersist()
     schema = T.StructType([T.StructField("model", T.StringType()),
                            T.StructField("cv_r2", T.DoubleType()),
                            T.StructField("test_r2", T.DoubleType()),
