@@ -149,7 +149,7 @@ def q_hazard_impact_binned(spark, sf_dir):
     O.standins("sparse") + O.impact("m_inner", size=5, min_events=1, strict=True),
     KEY + [("hazard", "s"), ("impact", "d")], "i_imp"))
 def q_hazard_impact_strict(spark, sf_dir):
-    """C1 flood-notebook variant: groups with more than one event."""
+    """C1 strict variant: groups with more than one event."""
     return B.hazard_impact(measures(spark, sf_dir, "inner"), period_size=5,
                            min_events=1, strict=True)
 
