@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "perilscope") -> SparkSession:
+                  app: str = "perilscope", event_log: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -30,6 +30,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if event_log:
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_log))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -118,3 +121,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this library's staged tables under the checkpoint folder.
+
+    Staged tables back lazy DataFrames, so call this only when no DataFrame
+    built in the session is used again (end of a job or a bench run).
+    """
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    for sub in ("perilscope-stages", "perilscope-io"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{sub}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            fs.delete(path, True)
