@@ -9,6 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from perilscope.session import local_session
+    from perilscope.session import drop_stages
     s = local_session("*", shuffle_partitions=8)
     yield s
+    drop_stages(s)
     s.stop()
