@@ -72,6 +72,28 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 3,
 
 # -- estimators and parameter draws --------------------------------------------
 
+ROWS_PER_PARTITION = 200_000
+
+
+def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Cache ``df`` with partitions sized to its row count.
+
+    Tree learners run several jobs per tree level (boosting: per iteration),
+    each with one task per partition; a small training set spread over many
+    partitions only adds task overhead, and concurrent fits then compete
+    for cores. The count is one number on the cached data.
+    """
+    cached = df.persist()
+    n = cached.count()
+    want = max(1, -(-n // rows_per_partition))
+    if want >= cached.rdd.getNumPartitions():
+        return cached
+    sized = cached.coalesce(want).persist()
+    sized.count()
+    cached.unpersist()
+    return sized
+
+
 def forest(seed: int = SEED) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=TARGET,
                                  seed=seed)
@@ -178,7 +200,7 @@ def random_search_cv(train: DataFrame, est: Estimator, grid: dict, n_iter: int,
     best draw refit on all rows. Returns ``(search_result, draws)``."""
     draws = draw_grid(grid, n_iter, seed)
     maps = param_maps(est, draws)
-    data = contiguous_folds(train, list(order), folds).persist()
+    data = size_partitions(contiguous_folds(train, list(order), folds))
     try:
         return cross_validate(data, est, maps, folds, "fold", parallelism), draws
     finally:
@@ -270,8 +292,8 @@ def bakeoff(spark: SparkSession, prepared_train: DataFrame,
             n_iter: int = 2, folds: int = 3) -> DataFrame:
     """C17: search each learner on train, score test, compare. One row per
     model: CV R², test R², test RMSE, ordered by test R² (best first)."""
-    train = assemble_features(prepared_train, features, TARGET).persist()
-    test = assemble_features(prepared_test, features, TARGET).persist()
+    train = size_partitions(assemble_features(prepared_train, features, TARGET))
+    test = size_partitions(assemble_features(prepared_test, features, TARGET))
     specs = {"forest": (forest(), GRID_FOREST_BAKEOFF),
              "boosted": (boosted(), GRID_BOOSTED),
              "boosted_hist": (boosted(), GRID_BOOSTED_HIST)}
