@@ -39,9 +39,9 @@ def dense_rank(df: DataFrame, value: str, out: str,
     once. A per-(partition, scope) summary — distinct count, first and last
     value — gives each partition its offset: the distinct values of earlier
     partitions minus the values shared across a partition boundary. The
-    rank is that offset plus the local dense rank; no join back, no
-    single-partition window (the summary has at most one row per partition
-    and scope).
+    rank is that offset plus the local dense rank; no join back. The only
+    window without a data key runs over the summary, which has at most one
+    row per partition and scope.
     """
     scope = list(scope)
     v = F.col(value)
@@ -171,8 +171,9 @@ def column_medians(df: DataFrame, cols: Sequence[str],
     """One-row frame of medians, one column per input column.
 
     The columns are unpivoted into a long ``(column, value)`` frame so all
-    medians share one range layout; ``exact=False`` uses
-    ``percentile_approx`` instead (one pass, bounded memory).
+    medians share one staged projection and the same two passes of
+    :func:`exact_quantiles`; ``exact=False`` uses ``percentile_approx``
+    instead (one pass, bounded memory).
     """
     cols = list(cols)
     if not exact:
