@@ -56,23 +56,56 @@ def totals_part(measures_long: DataFrame,
     return wide.select("country", "period", "total_deaths", "total_affected")
 
 
-def _hazard_rows(measures: DataFrame, period_size: int | None,
-                 min_events: int) -> DataFrame:
-    """Impact and totals of each (country, period, hazard) from one group-by."""
+def _grouped(measures: DataFrame, period_size: int | None) -> DataFrame:
     d = drop_all_null(measures, ["affected", "death"])
     p = F.col("year") if period_size is None else bin_period("year", period_size)
     d = not_null_keys(d.withColumn("period", p), ["country", "period", "hazard"])
-    agg = d.groupBy("country", "period", "hazard").agg(
+    return d.groupBy("country", "period", "hazard")
+
+
+def _impact_rows(agg: DataFrame) -> DataFrame:
+    """log1p of the means → per-hazard z-scores (four-row broadcast) → sum."""
+    logs = agg.select("*", log1p("_am").alias("_a_log"), log1p("_dm").alias("_d_log"))
+    z = zscore(logs, {"_a_log": "_a_z", "_d_log": "_d_z"}, group=["hazard"])
+    return z.withColumn("impact", F.col("_a_z") + F.col("_d_z")).drop(
+        "_a_log", "_d_log", "_a_z", "_d_z", "_am", "_dm")
+
+
+def _hazard_rows(measures: DataFrame, period_size: int | None, min_events: int,
+                 total_measures: DataFrame | None = None) -> DataFrame:
+    """Impact and total rows of each (country, period, hazard).
+
+    With one measures input (the default) both builders aggregate the same
+    groups, so one group-by serves both. With a separate totals input (the
+    reference reads per-capita files for impacts and total-count files for
+    totals) the two are aggregated apart and flagged, so the fold can tell
+    a key that has only one of them.
+    """
+    if total_measures is None:
+        agg = _grouped(measures, period_size).agg(
+            F.avg("affected").alias("_am"), F.avg("death").alias("_dm"),
+            F.count("year").alias("events"),
+            F.coalesce(F.sum("affected"), F.lit(0.0)).alias("total_affected"),
+            F.coalesce(F.sum("death"), F.lit(0.0)).alias("total_deaths"))
+        rows = _impact_rows(having_min_events(agg, min_events))
+        return rows.select("country", "period", "hazard", "impact", "total_affected",
+                           "total_deaths", F.lit(1).alias("_mi"), F.lit(1).alias("_mt"))
+    imp = _grouped(measures, period_size).agg(
         F.avg("affected").alias("_am"), F.avg("death").alias("_dm"),
+        F.count("year").alias("events"))
+    imp = _impact_rows(having_min_events(imp, min_events)).select(
+        "country", "period", "hazard", "impact",
+        F.lit(None).cast("double").alias("total_affected"),
+        F.lit(None).cast("double").alias("total_deaths"),
+        F.lit(1).alias("_mi"), F.lit(0).alias("_mt"))
+    tot = _grouped(total_measures, period_size).agg(
         F.count("year").alias("events"),
         F.coalesce(F.sum("affected"), F.lit(0.0)).alias("total_affected"),
         F.coalesce(F.sum("death"), F.lit(0.0)).alias("total_deaths"))
-    agg = having_min_events(agg, min_events).select(
-        "country", "period", "hazard", "total_affected", "total_deaths",
-        log1p("_am").alias("_a_log"), log1p("_dm").alias("_d_log"))
-    z = zscore(agg, {"_a_log": "_a_z", "_d_log": "_d_z"}, group=["hazard"])
-    return z.select("country", "period", "hazard", "total_affected", "total_deaths",
-                    (F.col("_a_z") + F.col("_d_z")).alias("impact"))
+    tot = having_min_events(tot, min_events).select(
+        "country", "period", "hazard", F.lit(None).cast("double").alias("impact"),
+        "total_affected", "total_deaths", F.lit(0).alias("_mi"), F.lit(1).alias("_mt"))
+    return imp.unionByName(tot)
 
 
 def _fold(hazard_rows: DataFrame, damage_long: DataFrame,
@@ -83,22 +116,23 @@ def _fold(hazard_rows: DataFrame, damage_long: DataFrame,
                            "total_affected", "total_deaths",
                            F.lit(None).cast("string").alias("_dcol"),
                            F.lit(None).cast("double").alias("_dval"),
-                           F.lit(1).alias("_m"))
+                           "_mi", "_mt")
     d = damage_long.select("country", "period",
                            F.lit(None).cast("string").alias("hazard"),
                            F.lit(None).cast("double").alias("impact"),
                            F.lit(None).cast("double").alias("total_affected"),
                            F.lit(None).cast("double").alias("total_deaths"),
-                           "_dcol", "_dval", F.lit(0).alias("_m"))
+                           "_dcol", "_dval", F.lit(0).alias("_mi"), F.lit(0).alias("_mt"))
     u = m.unionByName(d)
-    has_m = F.sum("_m") > 0
+    has_i = F.sum("_mi") > 0
+    has_t = F.sum("_mt") > 0
     aggs = [F.max(F.when(F.col("hazard") == h, F.col("impact"))).alias(f"{h}_impact")
             for h in HAZARDS]
     aggs += [F.avg("impact").alias("climate_impact_index"),
-             F.when(has_m, F.count("impact")).alias("hazard_count"),
-             F.when(has_m, F.sum("total_deaths")).alias("total_deaths"),
-             F.when(has_m, F.sum("total_affected")).alias("total_affected"),
-             has_m.alias("_has_m")]
+             F.when(has_i, F.count("impact")).alias("hazard_count"),
+             F.when(has_t, F.sum("total_deaths")).alias("total_deaths"),
+             F.when(has_t, F.sum("total_affected")).alias("total_affected"),
+             has_i.alias("_has_i")]
     if binned:
         aggs += [F.avg(F.when(F.col("_dcol") == c, F.col("_dval"))).alias(f"_d_{c}")
                  for c in DAMAGE_COLUMNS]
@@ -106,7 +140,7 @@ def _fold(hazard_rows: DataFrame, damage_long: DataFrame,
         aggs.append(F.avg("_dval").alias("_damage"))
     out = u.groupBy("country", "period").agg(*aggs)
     if binned:
-        out = out.where("_has_m").withColumn(
+        out = out.where("_has_i").withColumn(
             "_damage", row_mean([f"_d_{c}" for c in DAMAGE_COLUMNS]))
     return out
 
@@ -138,19 +172,23 @@ def _damage_long(damage_wide: DataFrame, period_size: int | None) -> DataFrame:
 
 
 def analysis_set_yearly(full_measures: DataFrame, damage_wide: DataFrame,
-                        sort: bool = True, min_events: int = 1) -> DataFrame:
+                        sort: bool = True, min_events: int = 1,
+                        total_measures: DataFrame | None = None) -> DataFrame:
     """Impact ⟗ totals ⟗ damage on ``(country, period)``; rate 0 when
     nothing is affected; missing damage → 0. Rows without impacts keep a
-    null index and null ``hazard_count``."""
-    rows = _hazard_rows(full_measures, None, min_events)
+    null index and null ``hazard_count``. ``total_measures`` (default: the
+    same measures) feeds the totals builder."""
+    rows = _hazard_rows(full_measures, None, min_events, total_measures)
     return _finish(_fold(rows, _damage_long(damage_wide, None), binned=False), sort)
 
 
 def analysis_set_binned(inner_measures: DataFrame, damage_wide: DataFrame,
                         period_size: int = 5, sort: bool = True,
-                        min_events: int = 1) -> DataFrame:
+                        min_events: int = 1,
+                        total_measures: DataFrame | None = None) -> DataFrame:
     """Binned impact ⟕ binned totals ⟕ binned damage (mean of the
-    per-hazard means)."""
-    rows = _hazard_rows(inner_measures, period_size, min_events)
+    per-hazard means). ``total_measures`` (default: the same measures) feeds
+    the totals builder."""
+    rows = _hazard_rows(inner_measures, period_size, min_events, total_measures)
     folded = _fold(rows, _damage_long(damage_wide, period_size), binned=True)
     return _finish(folded, sort)
