@@ -92,3 +92,24 @@ def test_separate_totals_input_matches_builder_chain(spark, binned):
                       key=lambda r: tuple((v is None, str(v)) for v in r))
     a, b = rows(fused), rows(chain)
     assert len(a) == len(b) and a == b
+
+
+def test_single_hazard_frames_equal_long_form(spark):
+    """The reference's shape — one frame per hazard, merged by J3 — equals
+    the hazard-as-key path."""
+    from perilscope.config import HAZARDS
+    from perilscope.operators.reshape import merge_hazards
+    m = D.measures_long(D.order_facts(spark, SF, "sparse"))
+    frames = {h: B.hazard_impact(D.hazard_frame(m, h), hazard=None, name=h)
+              .withColumnRenamed(f"{h}_impact", "impact") for h in HAZARDS}
+    per_frame = merge_hazards(frames, ["country", "period"], {"impact": "{h}_impact"})
+    long_form = B.merge_impacts(B.hazard_impact(m))
+
+    def rows(df):
+        out = df.select("country", "period",
+                        *[F.round(f"{h}_impact", 9).alias(h) for h in HAZARDS])
+        return sorted((tuple(r) for r in out.collect()),
+                      key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert rows(per_frame) == rows(long_form)
+    tot = B.hazard_total(D.hazard_frame(m, "storms"), hazard=None, name="storm")
+    assert tot.columns == ["country", "period", "storm_total_affected", "storm_total_deaths"]
