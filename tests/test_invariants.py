@@ -113,3 +113,17 @@ def test_single_hazard_frames_equal_long_form(spark):
     assert rows(per_frame) == rows(long_form)
     tot = B.hazard_total(D.hazard_frame(m, "storms"), hazard=None, name="storm")
     assert tot.columns == ["country", "period", "storm_total_affected", "storm_total_deaths"]
+
+
+@pytest.mark.parametrize("grain,expected", [("sparse", (7000, 6, 1762)),
+                                            ("gappy", (1969, 285, 41)),
+                                            ("model", (675, 520, 1)),
+                                            ("dense", (175, 175, 0))])
+def test_standin_grains_match_fixture_counts(spark, grain, expected):
+    """(E,P) rows, rows with four impacts, rows with none — FIXTURES §3."""
+    from perilscope.plans import analysis as A
+    idx = A.impact_part(D.measures_long(D.order_facts(spark, SF, grain)))
+    r = idx.agg(F.count(F.lit(1)).alias("n"),
+                F.count_if(F.col("hazard_count") == 4).alias("complete"),
+                F.count_if(F.col("hazard_count") == 0).alias("none")).first()
+    assert (r["n"], r["complete"], r["none"]) == expected
