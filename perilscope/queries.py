@@ -35,6 +35,7 @@ from .operators.order import column_medians, dense_rank, top_k
 from .plans import analysis as A
 from .plans import builders as B
 from .plans import features as FE
+from .plans import jobs as JB
 from .plans import model as M
 from .plans import views as V
 from .session import stage
@@ -1405,3 +1406,52 @@ def q_stream_rebuild_analysis(spark, sf_dir):
     ST.rebuild_on_arrival(stream, paths["raw"], paths["out"], build,
                           paths["checkpoint"])
     return spark.read.parquet(paths["out"])
+
+
+# =============================================================================
+# End-to-end jobs over files
+# =============================================================================
+
+def write_raw_files(spark, f) -> JB.RawPaths:
+    """Write the stand-in measures as the reference's 17 raw files: per
+    hazard a per-capita affected and death file, a total-count affected
+    and deaths file, plus the wide damage file."""
+    base = _stage_dir(spark, "raw")
+    paths = {k: {} for k in ("per_capita_affected", "per_capita_death",
+                             "total_affected", "total_deaths")}
+    aff, dth = D.affected(f), D.death(f)
+    for h in HAZARDS:
+        for kind, src, value, keys, head in (
+                ("per_capita_affected", aff, "affected", ("Country name", "Year"),
+                 PER_CAPITA_AFFECTED[h]),
+                ("per_capita_death", dth, "death", ("Country name", "Year"),
+                 PER_CAPITA_DEATH[h]),
+                ("total_affected", aff, "affected", ("country", "year"),
+                 TOTAL_AFFECTED_COLUMN[h]),
+                ("total_deaths", dth, "death", ("country", "year"),
+                 TOTAL_DEATHS_COLUMN[h])):
+            path = f"{base}/{kind}/{h}"
+            IO.write_table(src.where(F.col("hazard") == h).select(
+                F.col("country").alias(keys[0]), F.col("year").alias(keys[1]),
+                F.col(value).alias(head)), path, fmt="csv")
+            paths[kind][h] = path
+    damage = f"{base}/damage"
+    IO.write_table(D.damage_wide(f).select(
+        F.col("country").alias("Entity"), F.lit(None).cast("string").alias("Code"),
+        F.col("year").alias("Year"), *DAMAGE_COLUMNS), damage, fmt="csv")
+    return JB.RawPaths(damage=damage, **paths)
+
+
+@query("build_analysis_job", O.analysis_query("sparse"))
+def q_build_analysis_job(spark, sf_dir):
+    """E1 as a job: 17 raw files (per-capita files feed impacts, total-count
+    files feed totals) → the yearly analysis table."""
+    raw = write_raw_files(spark, facts(spark, sf_dir))
+    return JB.build_analysis(spark, raw)
+
+
+@query("build_binned_job", O.analysis_query("sparse", binned=True))
+def q_build_binned_job(spark, sf_dir):
+    """E4 as a job: the same files → the 5-year binned analysis table."""
+    raw = write_raw_files(spark, facts(spark, sf_dir))
+    return JB.build_analysis(spark, raw, binned=True)
