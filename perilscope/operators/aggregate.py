@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .order import exact_quantiles
+from .reshape import dict_to_rows
 
 
 def not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,7 +144,8 @@ def share_of_total(df: DataFrame, entity: str, cols: dict[str, str],
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(lab) for lab, c in cols.items()])
     total = sums.select(entity, *labels, sum(
         (F.col(f"`{lab}`") for lab in labels), F.lit(0.0)).alias("_total"))
-    long = total.unpivot([entity, "_total"], labels, label, "_sum")
+    long = dict_to_rows(total, [entity, "_total"], {lab: lab for lab in labels},
+                        label, "_sum")
     return long.select(entity, label, F.col("_sum").alias("contribution"),
                        F.try_divide(F.col("_sum"), F.col("_total")).alias(out))
 

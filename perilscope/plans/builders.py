@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAMAGE_COLUMNS, HAZARDS, TOTAL_NAMES, TOTAL_ORDER
-from ..functions.rowwise import row_count_nonnull, row_mean, row_sum
+from ..functions.rowwise import row_count_nonnull, row_mean, row_sum_strict
 from ..functions.scalar import bin_period, fill_const, log1p
 from ..operators.aggregate import agg_mean, agg_mean_cols, agg_total
 from ..operators.filters import drop_all_null, having_min_events, having_more_than
@@ -105,15 +105,16 @@ def impact_index(wide: DataFrame, impact_cols: Sequence[str] = IMPACT_COLS) -> D
 
 
 def totals_table(wide: DataFrame, hazards: Sequence[str] = TOTAL_ORDER) -> DataFrame:
-    """C4: zero-fill the per-hazard totals, then add them up."""
+    """C4: zero-fill the per-hazard totals, then add them up (``+`` after the
+    fill, so the strict and the skip-missing sums agree)."""
     names = [TOTAL_NAMES[h] for h in hazards]
     value_cols = [f"{n}_{k}" for n in names for k in ("total_affected", "total_deaths")]
     filled = wide.select(*[c for c in wide.columns if c not in value_cols],
                          *[fill_const(c, 0.0).alias(c) for c in value_cols])
     return filled.select(
         "*",
-        row_sum([f"{n}_total_deaths" for n in names]).alias("total_deaths"),
-        row_sum([f"{n}_total_affected" for n in names]).alias("total_affected"))
+        row_sum_strict([f"{n}_total_deaths" for n in names]).alias("total_deaths"),
+        row_sum_strict([f"{n}_total_affected" for n in names]).alias("total_affected"))
 
 
 def damage_yearly(wide: DataFrame, entity: str = "country", year: str = "year",

@@ -67,7 +67,7 @@ def finish(df: DataFrame) -> DataFrame:
                                    T.LongType)):
             out.append(c.cast("bigint").alias(f.name))
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            out.append((F.round(c.cast("double"), 6) + F.lit(0.0)).alias(f.name))
+            out.append(SC.round_for_compare(c.cast("double")).alias(f.name))
         else:
             out.append(c)
     return df.select(*out)

@@ -25,8 +25,6 @@ map-side. All three measures come from that one fact table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,7 +196,3 @@ def hazard_frame(long: DataFrame, hazard: str) -> DataFrame:
     """One hazard's ``country, year, affected, death`` frame, as the
     reference reads it."""
     return long.where(F.col("hazard") == hazard).drop("hazard")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -22,6 +22,8 @@ def test_raw_paths_json_roundtrip(spark):
     assert again.damage == raw.damage and again.total_deaths == raw.total_deaths
     table = JB.build_analysis(spark, again)
     assert table.count() > 0
+    totals = JB.build_totals(spark, again)
+    assert "total_affected" in totals.columns and totals.count() > 0
 
 
 def test_train_and_predict_then_cached(spark):
