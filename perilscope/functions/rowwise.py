@@ -41,7 +41,7 @@ def row_sum_strict(cols: Sequence[Column | str]) -> Column:
 def row_mean(cols: Sequence[Column | str]) -> Column:
     """Mean of present values; all missing → null."""
     n = row_count_nonnull(cols)
-    return F.when(n > 0, row_sum(cols) / n)
+    return F.when(n > 0, F.try_divide(row_sum(cols), n))
 
 
 def row_argmax(cols: Sequence[str], labels: Sequence[str] | None = None) -> Column:

@@ -75,7 +75,7 @@ def dense_rank(df: DataFrame, value: str, out: str,
     ranked = laid.withColumn("_loc", local).join(
         F.broadcast(offsets) if not scope else offsets, on=["_pid", *scope], how="left")
     return ranked.withColumn(
-        out, F.when(v.isNotNull(), (F.col("_off") + F.col("_loc")).cast("int"))
+        out, F.when(v.isNotNull(), (F.col("_off") + F.col("_loc")).cast("long"))
     ).drop("_pid", "_loc", "_off")
 
 

@@ -54,7 +54,7 @@ def zscore(df: DataFrame, cols: dict[str, str],
                              F.col(f"_n{i}")).alias(f"_s{i}"))])
     out = _with_stats(df, stats, group)
     for i, (c, o) in enumerate(cols.items()):
-        out = out.withColumn(o, (F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}"))
+        out = out.withColumn(o, F.try_divide(F.col(c) - F.col(f"_m{i}"), F.col(f"_s{i}")))
     return out.drop(*[f"_{p}{i}" for i in range(len(cols)) for p in "ms"])
 
 

@@ -121,7 +121,7 @@ def rolling_trend(v: str, w: WindowSpec, rows: int) -> Column:
     nd = n.cast("double")
     sx = nd * (nd - 1) / 2
     sxx = (nd - 1) * nd * (2 * nd - 1) / 6
-    slope = (nd * sxy - sx * sy) / (nd * sxx - sx * sx)
+    slope = F.try_divide(nd * sxy - sx * sy, nd * sxx - sx * sx)
     return F.when(n >= 2, slope).otherwise(F.lit(0.0))
 
 

@@ -65,8 +65,8 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 3,
     q = F.floor(F.col("_n") / k)
     r = F.col("_n") - q * k
     big = r * (q + 1)
-    fold = F.when(i < big, F.floor(i / (q + 1))).otherwise(
-        r + F.floor((i - big) / q))
+    fold = F.when(i < big, F.floor(F.try_divide(i, q + 1))).otherwise(
+        r + F.floor(F.try_divide(i - big, q)))
     return ranked.withColumn(out, fold.cast("int")).drop("_okey", "_idx", "_n")
 
 
@@ -221,7 +221,7 @@ def predict(model, df: DataFrame, out: str) -> DataFrame:
 
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     """M7: RMSE and R² over rows with both values: ``sqrt(mean(err²))`` and
-    ``1 − SSres / SStot``. The label mean is a one-row frame broadcast
+    ``1 − SSres / SStot`` (null when the labels are constant). The label mean is a one-row frame broadcast
     beside the rows, so it is two aggregates and no window."""
     rows = df.where(F.col(label).isNotNull() & F.col(pred).isNotNull())
     mean = rows.agg(F.avg(label).alias("_mean"))
@@ -229,7 +229,8 @@ def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     return attach_global_stats(rows, mean).agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(err)).alias("rmse"),
-        (1 - F.sum(err) / F.sum(F.pow(F.col(label) - F.col("_mean"), 2))).alias("r2"))
+        (1 - F.try_divide(F.sum(err), F.sum(F.pow(F.col(label) - F.col("_mean"), 2))))
+        .alias("r2"))
 
 
 def feature_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:

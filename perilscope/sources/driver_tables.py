@@ -158,7 +158,7 @@ def damage_wide(facts: DataFrame) -> DataFrame:
     stand-in). One pivot with an explicit value list, so no extra pass."""
     long = (facts.where(F.col("disc_n") > 0)
             .select("country", "year", "hazard",
-                    (F.col("disc_sum") / F.col("disc_n") * 100).alias("pct")))
+                    (F.try_divide(F.col("disc_sum"), F.col("disc_n")) * 100).alias("pct")))
     wide = (long.groupBy("country", "year")
             .pivot("hazard", HAZARDS)
             .agg(F.max("pct")))
