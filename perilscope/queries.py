@@ -1455,3 +1455,56 @@ def q_build_binned_job(spark, sf_dir):
     """E4 as a job: the same files → the 5-year binned analysis table."""
     raw = write_raw_files(spark, facts(spark, sf_dir))
     return JB.build_analysis(spark, raw, binned=True)
+
+
+# =============================================================================
+# Page views on the page's own inputs: the 5-year binned analysis table and
+# the binned totals (nation grain)
+# =============================================================================
+
+def _binned_sql():
+    return O.analysis(DENSE["grain"], binned=True)
+
+
+def analysis_binned_dense(spark, sf_dir):
+    f = facts(spark, sf_dir, DENSE["grain"])
+    return A.analysis_set_binned(D.measures_long(f, "inner"), D.damage_wide(f), sort=False)
+
+
+@query("period_ranking_binned", _sql(_binned_sql() + _ranking_ctes(), RANKING_COLS, "v_out"))
+def q_period_ranking_binned(spark, sf_dir):
+    """C12 on the binned analysis table (period end = period + 4)."""
+    return V.period_ranking(analysis_binned_dense(spark, sf_dir), rank_places=RANK_PLACES)
+
+
+@query("dominant_hazard_binned", _sql(
+    _binned_sql() + [("v_m", "SELECT country, " + ", ".join(
+        f"abs(avg({c})) AS {c}" for c in O.IMPACT_COLS)
+        + " FROM a_set WHERE country IS NOT NULL GROUP BY country"),
+        ("v_dom", f"SELECT *, {DOM_LABEL_SQL} AS hazard_prone FROM v_m")],
+    [("country", "s")] + [(c, "d") for c in O.IMPACT_COLS] + [("hazard_prone", "s")],
+    "v_dom"))
+def q_dominant_hazard_binned(spark, sf_dir):
+    """C13 on the binned analysis table."""
+    return V.dominant_hazard(analysis_binned_dense(spark, sf_dir))
+
+
+@query("entity_trend_binned", _sql(
+    _binned_sql() + [("v_t", """SELECT country, period, climate_impact_index,
+  climate_impact_index - min(climate_impact_index) OVER (PARTITION BY country) AS impact_rebased,
+  economic_damage_pct_gdp FROM a_set""")],
+    KEY + [("climate_impact_index", "d"), ("impact_rebased", "d"),
+           ("economic_damage_pct_gdp", "d")], "v_t"))
+def q_entity_trend_binned(spark, sf_dir):
+    """C14 on the binned analysis table."""
+    return V.entity_trend(analysis_binned_dense(spark, sf_dir))
+
+
+@query("hazard_share_binned", _sql(
+    O.standins(DENSE["grain"]) + O.totals("m_inner", size=5) + SHARE_SQL,
+    [("country", "s"), ("Hazard", "s"), ("contribution", "d"), ("share", "d")], "v_sh"))
+def q_hazard_share_binned(spark, sf_dir):
+    """C15 on the binned totals table the page reads (inner-joined measures)."""
+    tot = B.totals_table(B.merge_totals(B.hazard_total(
+        measures(spark, sf_dir, "inner", DENSE["grain"]), period_size=5)))
+    return V.hazard_share(tot)
