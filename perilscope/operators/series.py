@@ -46,9 +46,12 @@ def with_series_columns(df: DataFrame, entity: str | Sequence[str],
     ents = _keys(entity)
     cols = df.columns
     base = df.withColumn("_chunk", F.floor(F.col(period) / F.lit(chunk_periods)))
-    wc = Window.partitionBy(*ents, "_chunk")
-    pos = (base.withColumn("_rn", F.row_number().over(wc.orderBy(period)))
-           .withColumn("_rd", F.count(F.lit(1)).over(wc) - F.col("_rn") + 1))
+    # One window spec (same partition and order) for both columns, so one
+    # sort serves the row number and the chunk size.
+    wc = Window.partitionBy(*ents, "_chunk").orderBy(period)
+    whole = wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pos = (base.withColumn("_rn", F.row_number().over(wc))
+           .withColumn("_rd", F.count(F.lit(1)).over(whole) - F.col("_rn") + 1))
     edges = pos.where((F.col("_rd") <= lookback)
                       | (F.col("_rn") <= max(lookahead, 1)))
     wu = Window.partitionBy(*ents).orderBy(period)
