@@ -120,7 +120,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # The schema is the one just written: no footer reads to infer it.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> None:
