@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.llm import bpe, jaccard_join, quality_rules
+from perilscope.llm import bpe, decontam, jaccard_join, quality_rules, secret_scan
 from perilscope.llm.queries import ranks_path, ship, table, token_digests
 from perilscope.session import stage
 
@@ -44,6 +44,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             .dropDuplicates(["doc_id", "__t"]).select(*COLUMNS))
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """10: documents that hold a benchmark item go."""
+    docs = docs.select(*COLUMNS)
+    leaks = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return (decontam.mark(docs, leaks).where(F.size("leaked_items") == 0)
+            .select(*COLUMNS))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """9: every secret is replaced by a mask; ``n_chars`` follows the text."""
+    docs = docs.select(*COLUMNS)
+    found = stage(secret_scan.scan(docs, []), "pipeline-secret-tokens")
+    least = secret_scan.discoveries(found)
+    spans = secret_scan.all_spans(least)
+    text = secret_scan.redact(F.col("text"), F.col("spans"))
+    return (secret_scan.scan(docs, COLUMNS).withColumn("spans", spans)
+            .select("doc_id", text.alias("text"), "lang", "source", "spans", "n_chars")
+            .withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars"))
+                        .otherwise(F.length("text")).cast("bigint"))
+            .select(*COLUMNS))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """6: the ids of every text, with their count and the digests of the ids and
     of the decoded bytes."""
@@ -55,10 +77,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
     ("byte-level bpe", tokens),
 ]
 
-# The join and the tokenizer have no SQL form; tests compare with brute force.
+# The join and the tokenizer have no SQL form; tests check the stages.
 ORACLE_SQL = None
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, quality_rules
+from . import bpe, decontam, jaccard_join, quality_rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +105,26 @@ def op6(spark, sf_dir):
     ranks = ranks_path()
     return token_digests(bpe.decode(
         bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+
+
+@query("op9_secret_scan")
+def op9(spark, sf_dir):
+    """Counts and spans of secrets of all documents."""
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.render(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.render(F.col("spans")).alias("spans"))
+
+
+@query("op10_decontaminate")
+def op10(spark, sf_dir):
+    """The benchmark items that each document leaks."""
+    docs = table(spark, sf_dir, "documents")
+    leaks = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.mark(docs.select("doc_id", "text"), leaks).select(
+        "doc_id", F.size("leaked_items").cast("bigint").alias("n_items"),
+        F.col("leaked_items").alias("item_ids"),
+        (F.size("leaked_items") > 0).alias("contaminated"))
