@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, quality_rules, secret_scan
+from . import (bpe, chat_format, decontam, jaccard_join, license_scan, quality_cnn,
+               quality_rules, secret_scan, suffix_dedup, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,13 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@query("op1_warc")
+def op1(spark, sf_dir):
+    """All pages written to seekable bundles and read back."""
+    index, folder = warc.archive(spark, table(spark, sf_dir, "pages"))
+    return warc.digests(warc.read_bundles(index, folder))
+
+
 @query("op2_jaccard_join")
 def op2(spark, sf_dir):
     """Near-duplicate classes and exact link counts of all documents."""
@@ -71,6 +79,16 @@ def op2(spark, sf_dir):
         "doc_id", "class_id", "copy_id", "n_links")
 
 
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    """Passages of 50 words or more that other documents hold too."""
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("spans").cast("bigint").alias("n_spans"), "n_repeated",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(
+            ":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+
+
 @query("op4_quality_rules")
 def op4(spark, sf_dir):
     """Rule measures and verdicts of all documents."""
@@ -80,6 +98,31 @@ def op4(spark, sf_dir):
         "n_repeat_words", "base_failed", "kept")
 
 
+# A conversation whose texts look like control strings.
+TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"),
+          (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op5_chat_format")
+def op5(spark, sf_dir):
+    """All conversations formatted, and what the formatted texts say."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    chats = chats.unionByName(spark.createDataFrame(
+        TRICKY, "conv_id bigint, turn bigint, role string, text string"))
+    read = (chat_format.format_chats(chats)
+            .withColumn("turns", chat_format.parse(F.col("formatted"))))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]),
+                                    lambda s: chat_format.unescape(s["text"])), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
+
+
 def token_digests(decoded: DataFrame) -> DataFrame:
     """Counts and digests of ``ids`` and ``decoded``."""
     id_type = dict(decoded.dtypes)["doc_id"]
@@ -107,6 +150,23 @@ def op6(spark, sf_dir):
         bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
 
 
+@query("op7_license_scan")
+def op7(spark, sf_dir):
+    """Licences recognised in all documents."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"),
+                        F.array_join("licenses", ",").alias("licenses"), "n_unmatched")
+
+
+@query("op8_quality_cnn")
+def op8(spark, sf_dir):
+    """Quality probability of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_cnn.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"),
+                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op9_secret_scan")
 def op9(spark, sf_dir):
     """Counts and spans of secrets of all documents."""
