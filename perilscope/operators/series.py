@@ -58,7 +58,9 @@ def with_series_columns(df: DataFrame, entity: str | Sequence[str],
     whole = wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pos = (base.withColumn("_rn", F.row_number().over(wc))
            .withColumn("_rd", F.count(F.lit(1)).over(whole) - F.col("_rn") + 1))
-    edges = pos.where((F.col("_rd") <= lookback)
+    # A chunk's first and last row are always edges: they are the marks by
+    # which the halo of a neighbouring chunk is recognised.
+    edges = pos.where((F.col("_rd") <= max(lookback, 1))
                       | (F.col("_rn") <= max(lookahead, 1)))
     wu = Window.partitionBy(*ents).orderBy(period)
     targets = []
