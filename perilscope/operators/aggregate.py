@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import exact_quantiles
+from .order import column_summary
 from .reshape import dict_to_rows
 
 
@@ -101,19 +101,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     and exact (``DataFrame.summary`` returns strings and approximate
     quartiles). Long form: one row per column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-        for c in cols])).alias("_kv")).select("_kv.column", "_kv.value")
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], scope=["column"],
-                         broadcast_scopes=True)
-    return basic.join(qs.select("column", F.col("q0").alias("q25"),
-                                F.col("q1").alias("q50"),
-                                F.col("q2").alias("q75")),
-                      on="column", how="left")
+    rows = [(x["column"], x["count"], x["mean"], x["std"], x["min"], x["max"], *x["q"])
+            for x in column_summary(df, cols, [0.25, 0.5, 0.75])]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count bigint, mean double, std double, min double, "
+              "max double, q25 double, q50 double, q75 double")
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

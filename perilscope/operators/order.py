@@ -13,6 +13,7 @@ for the two uses.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,26 +167,109 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
     return one.join(wide.withColumn("_one", F.lit(1)), on="_one", how="left").drop("_one")
 
 
+BRACKET_ROWS = 1_000_000
+
+
+def column_summary(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                   accuracy: int = APPROX_ACCURACY,
+                   bracket_rows: int = BRACKET_ROWS) -> list[dict]:
+    """Per column ``count, mean, std, min, max`` and the exact
+    interpolated quantiles ``qs`` (key ``q``, a list; None without values).
+
+    Rows stay wide: one pass over the narrow projection takes the plain
+    statistics and, per quantile, a bracket from ``percentile_approx``
+    (rank error at most ``n / accuracy``); a second counts the values below
+    and inside every bracket. A bracket that misses its order statistics is
+    widened to the column's range, one with more than ``bracket_rows`` values
+    is narrowed by a further approximate pass over its own values, until
+    every bracket is small. Only the values inside brackets are then taken
+    apart, counted per distinct value and walked. The driver sees a fixed
+    number of figures per column and pass.
+    """
+    cols, qs = list(cols), list(qs)
+    narrow = stage(df.select(*[F.col(c).cast("double").alias(f"c{i}")
+                               for i, c in enumerate(cols)]), "summary")
+    eps = 2.0 / accuracy
+    share = [x for q in qs for x in (max(0.0, q - eps), min(1.0, q + eps))]
+    first = narrow.agg(*[e for i in range(len(cols)) for e in (
+        F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"mean{i}"),
+        F.stddev_samp(f"c{i}").alias(f"std{i}"), F.min(f"c{i}").alias(f"min{i}"),
+        F.max(f"c{i}").alias(f"max{i}"),
+        F.percentile_approx(f"c{i}", share, accuracy).alias(f"p{i}"))]).first()
+    out, brackets = [], {}
+    for i, c in enumerate(cols):
+        out.append({"column": c, "count": first[f"n{i}"], "mean": first[f"mean{i}"],
+                    "std": first[f"std{i}"], "min": first[f"min{i}"],
+                    "max": first[f"max{i}"], "q": [None] * len(qs)})
+        n = first[f"n{i}"]
+        for j, q in enumerate(qs if n else []):
+            pos = (n - 1) * q
+            lo, hi = first[f"p{i}"][2 * j:2 * j + 2]
+            if n <= 2 * accuracy:
+                lo, hi = first[f"min{i}"], first[f"max{i}"]
+            brackets[i, j] = {"lo": lo, "hi": hi, "k": int(pos), "up": math.ceil(pos),
+                              "part": pos - int(pos)}
+    if not brackets:
+        return out
+    inside = lambda i, b: (F.col(f"c{i}") >= b["lo"]) & (F.col(f"c{i}") <= b["hi"])
+    while True:
+        counts = narrow.agg(*[e for (i, j), b in brackets.items() for e in (
+            F.count_if(F.col(f"c{i}") < b["lo"]).alias(f"b{i}_{j}"),
+            F.count_if(inside(i, b)).alias(f"i{i}_{j}"))]).first()
+        narrower = {}
+        for (i, j), b in brackets.items():
+            b["below"], b["in"] = counts[f"b{i}_{j}"], counts[f"i{i}_{j}"]
+            if b["k"] < b["below"] or b["up"] >= b["below"] + b["in"]:
+                b["lo"], b["hi"] = out[i]["min"], out[i]["max"]
+                narrower[i, j] = None
+            elif b["in"] > bracket_rows and b["lo"] < b["hi"]:
+                at = [(x - b["below"]) / b["in"] for x in (b["k"], b["up"])]
+                narrower[i, j] = [max(0.0, at[0] - eps), min(1.0, at[1] + eps)]
+        asked = {k: v for k, v in narrower.items() if v is not None}
+        if asked:
+            row = narrow.agg(*[F.percentile_approx(
+                F.when(inside(i, brackets[i, j]), F.col(f"c{i}")), v, accuracy)
+                .alias(f"p{i}_{j}") for (i, j), v in asked.items()]).first()
+            moved = False
+            for i, j in asked:
+                b, (lo, hi) = brackets[i, j], row[f"p{i}_{j}"]
+                moved |= (lo, hi) != (b["lo"], b["hi"])
+                b["lo"], b["hi"] = lo, hi
+            if not moved and len(asked) == len(narrower):
+                break       # a few distinct values, however many rows
+        elif not narrower:
+            break
+    parts = F.array(*[F.when(inside(i, b), F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("v")))
+        for (i, j), b in brackets.items()])
+    counted = (narrow.select(F.explode(F.array_compact(parts)).alias("x")).select("x.*")
+               .groupBy("i", "j", "v").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    walk = counted.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    rank = lambda key: F.create_map(*[x for (i, j), b in brackets.items()
+                                      for x in (F.lit(f"{i}_{j}"), F.lit(b[key] - b["below"]))]
+                                    )[F.concat_ws("_", "i", "j")]
+    hit = lambda key: F.max(F.when((F.col("before") <= rank(key)) & (
+        rank(key) < F.col("before") + F.col("c")), F.col("v")))
+    for r in walk.groupBy("i", "j").agg(hit("k").alias("a"), hit("up").alias("z")).collect():
+        part = brackets[r["i"], r["j"]]["part"]
+        out[r["i"]]["q"][r["j"]] = r["a"] + (r["z"] - r["a"]) * part
+    return out
+
+
 def column_medians(df: DataFrame, cols: Sequence[str],
                    exact: bool = True) -> DataFrame:
-    """One-row frame of medians, one column per input column.
-
-    The columns are unpivoted into a long ``(column, value)`` frame so all
-    medians share one staged projection and the same two passes of
-    :func:`exact_quantiles`; ``exact=False`` uses ``percentile_approx``
+    """One-row frame of medians, one column per input column (see
+    :func:`column_summary`); ``exact=False`` uses ``percentile_approx``
     instead (one pass, bounded memory).
     """
     cols = list(cols)
     if not exact:
         return df.agg(*[F.percentile_approx(c, 0.5).cast("double").alias(c)
                         for c in cols])
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-        for c in cols])).alias("_kv")).select("_kv.column", "_kv.value")
-    med = exact_quantiles(long, "value", [0.5], scope=["column"],
-                          broadcast_scopes=True)
-    return (med.groupBy().pivot("column", cols).agg(F.first("q0"))
-            .select(*[F.col(c).alias(c) for c in cols]))
+    found = column_summary(df, cols, [0.5])
+    return df.sparkSession.range(1).select(
+        *[F.lit(x["q"][0]).cast("double").alias(x["column"]) for x in found])
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

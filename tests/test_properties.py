@@ -63,6 +63,28 @@ def test_exact_quantiles_exact_path_and_hot_median(spark):
         assert [round(x, 12) for x in got] == [round(x, 12) for x in exp]
 
 
+@pytest.mark.parametrize("accuracy,limit", [(10_000, 10 ** 6), (20, 10 ** 6), (20, 40), (5, 3)])
+def test_column_summary_equals_pandas(spark, accuracy, limit):
+    """Small and bracketed columns, hot values, narrowing until a bracket is small."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": np.round(rng.lognormal(size=n), 1),
+                        "c": np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)),
+                        "d": np.full(n, np.nan), "e": np.full(n, 7.0)})
+    pdf.loc[rng.random(n) < 0.2, "a"] = np.nan
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    df = spark.createDataFrame(pdf)
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in pdf.columns])
+    for x in OR.column_summary(df, list(pdf.columns), qs, accuracy, limit):
+        col = pdf[x["column"]].dropna()
+        assert x["count"] == len(col)
+        if len(col):
+            assert np.allclose(x["q"], col.quantile(qs), atol=1e-12)
+            assert np.isclose(x["mean"], col.mean()) and np.isclose(x["std"], col.std())
+        else:
+            assert x["q"] == [None] * len(qs)
+
+
 def test_column_medians_all_missing_column(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None), (2.0, None)], "a double, b double")
     r = OR.column_medians(df, ["a", "b"]).first()
@@ -92,6 +114,27 @@ def test_chunked_windows_equal_plain_windows(spark, chunk):
     pd.testing.assert_frame_equal(a, b, check_exact=False, atol=1e-9)
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 7])
+@pytest.mark.parametrize("back,ahead", [(0, 1), (1, 0), (2, 0), (4, 0), (4, 1)])
+def test_every_halo_equals_plain_windows(spark, back, ahead, chunk):
+    """Each reach on its own, over chunk boundaries, gaps and one-row chunks."""
+    rng = np.random.default_rng(10 * back + ahead)
+    recs = [(e, int(p), float(np.round(rng.normal(), 3)))
+            for e, n in [("hot", 60), ("x", 5), ("z", 1)]
+            for p in np.sort(rng.choice(np.arange(0, 150), n, replace=False))]
+    df = spark.createDataFrame(recs, "e string, p int, v double")
+
+    def cols(w):
+        out = {f"lag{i}": F.lag("v", i).over(w) for i in range(1, back + 1)}
+        return out | {f"lead{i}": F.lead("v", i).over(w) for i in range(1, ahead + 1)}
+
+    got, want = (S.with_series_columns(df, "e", "p", cols, back, ahead, size).toPandas()
+                 .sort_values(["e", "p"]).reset_index(drop=True)
+                 for size in (chunk, 10 ** 9))
+    assert len(got) == len(recs)
+    pd.testing.assert_frame_equal(got, want)
+
+
 def test_contiguous_folds_match_ntile(spark):
     n = 100
     df = spark.createDataFrame([(f"c{i // 7}", i % 7) for i in range(n)],
