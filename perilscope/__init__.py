@@ -15,13 +15,13 @@ from .plans.builders import (damage_binned, damage_yearly, hazard_impact, hazard
 from .plans.features import composite_index, feature_table, prediction_input, score_latest
 from .plans.jobs import RawPaths, build_analysis, page_views, train_and_predict
 from .plans.views import (dominant_hazard, entity_trend, hazard_share, period_ranking,
-                          ranked_scores)
+                          rank_scores, top_scores)
 
 __all__ = [
     "analysis_set_binned", "analysis_set_yearly", "build_analysis", "column_medians",
     "composite_index", "damage_binned", "damage_yearly", "dense_rank", "dominant_hazard",
     "entity_trend", "exact_quantiles", "feature_table", "hazard_impact", "hazard_share",
     "hazard_total", "impact_index", "latest_in", "page_views", "period_ranking",
-    "prediction_input", "ranked_scores", "RawPaths", "score_latest", "top_k",
-    "totals_table", "train_and_predict", "with_series_columns",
+    "prediction_input", "rank_scores", "RawPaths", "score_latest", "top_k",
+    "top_scores", "totals_table", "train_and_predict", "with_series_columns",
 ]

@@ -26,7 +26,11 @@ IMPACT_COLS = [f"{h}_impact" for h in HZ]
 
 
 def with_(ctes: list[tuple[str, str]], body: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes) + "\n" + body
+    """CTEs and body. The analysis table is used by several of its consumers,
+    so it is computed once."""
+    return "WITH " + ",\n".join(
+        f"{n} AS {'MATERIALIZED ' if n == 'a_set' else ''}(\n{s}\n)"
+        for n, s in ctes) + "\n" + body
 
 
 def rd(expr: str, alias: str, places: int = 6) -> str:
@@ -70,7 +74,6 @@ def _hazard_case() -> str:
 def standins(grain: str) -> list[tuple[str, str]]:
     """CTEs ``aff, dth, dmg`` (wide damage), ``m_full``, ``m_inner``."""
     level, unit = GRAINS[grain]
-    prios = ", ".join(f"'{p}'" for p in PRIORITY_HAZARD)
     if level == "customer":
         ent_join = "JOIN customer c ON o.o_custkey = c.c_custkey"
         ent = "c.c_name"
@@ -82,17 +85,16 @@ def standins(grain: str) -> list[tuple[str, str]]:
     aff = f"""SELECT {ent} AS country, {per} AS year, {hz} AS hazard,
   CAST(sum(l.l_quantity) AS DOUBLE) AS affected
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey {ent_join}
-WHERE l.l_returnflag <> 'N' AND o.o_orderpriority IN ({prios})
+WHERE l.l_returnflag <> 'N'
 GROUP BY 1, 2, 3"""
     dth = f"""SELECT {ent} AS country, {per} AS year, {hz} AS hazard,
   CAST(count(*) AS DOUBLE) AS death
 FROM orders o {ent_join}
-WHERE o.o_orderstatus <> 'P' AND o.o_orderpriority IN ({prios})
+WHERE o.o_orderstatus <> 'P'
 GROUP BY 1, 2, 3"""
     dmg_long = f"""SELECT {ent} AS country, {per} AS year, {hz} AS hazard,
   avg(l.l_discount) * 100 AS pct
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey {ent_join}
-WHERE o.o_orderpriority IN ({prios})
 GROUP BY 1, 2, 3"""
     hz_of = {v: k for k, v in DMG_OF_HZ.items()}
     dmg = ("SELECT country, year, "

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..config import (DAMAGE_COLUMNS, EXCLUDED_ENTITIES, HAZARDS, PER_CAPITA_AFFECTED,
                       PER_CAPITA_DEATH, TOTAL_AFFECTED_COLUMN, TOTAL_DEATHS_COLUMN)
-from ..operators.joins import join_full, join_inner
+from ..operators.joins import join_on_keys
 from ..operators.reshape import union_rows
+from ..session import stage
 from ..sources import io as IO
 from . import analysis as A
 from . import builders as B
@@ -54,12 +55,11 @@ class RawPaths:
 
 def read_measures(spark: SparkSession, raw: RawPaths, how: str = "full",
                   totals: bool = False) -> DataFrame:
-    """Per hazard, read its affected and death files and join them on
-    (country, year) (J1 full / J2 inner); union the hazards as long rows
-    ``(country, year, hazard, affected, death)``. The loop runs over the
-    four hazards, each a lazy read."""
-    join = join_full if how == "full" else join_inner
-    parts = []
+    """Read every hazard's affected and death files, tag them with the hazard
+    and join the two families once on (country, year, hazard) (J1 full / J2
+    inner): rows ``(country, year, hazard, affected, death)``. The loop runs
+    over the four hazards, each a lazy read."""
+    affected, death = [], []
     for h in HAZARDS:
         if totals:
             aff = IO.read_total(spark, raw.total_affected[h],
@@ -71,8 +71,11 @@ def read_measures(spark: SparkSession, raw: RawPaths, how: str = "full",
                                   "Year", raw.affected_headers[h], "affected")
             dth = IO.read_measure(spark, raw.per_capita_death[h], "Country name",
                                   "Year", raw.death_headers[h], "death")
-        parts.append(join(aff, dth).withColumn("hazard", F.lit(h)))
-    return union_rows(parts)
+        affected.append(aff.withColumn("hazard", F.lit(h)))
+        death.append(dth.withColumn("hazard", F.lit(h)))
+    return join_on_keys(union_rows(affected), union_rows(death),
+                        ["country", "year", "hazard"], how).select(
+        "country", "year", "hazard", "affected", "death")
 
 
 def read_damage(spark: SparkSession, raw: RawPaths) -> DataFrame:
@@ -117,7 +120,8 @@ def train_and_predict(spark: SparkSession, analysis: DataFrame, out_dir: str,
     paths = {"predictions": f"{out_dir}/predictions", "importance": f"{out_dir}/importance"}
 
     def build() -> dict[str, DataFrame]:
-        ft = FE.feature_table(analysis, cutoff, excluded)
+        # Read by the statistics, the medians, the training rows and the result.
+        ft = stage(FE.feature_table(analysis, cutoff, excluded), "features")
         stats = FE.component_stats(ft, cutoff)
         cli = FE.apply_components(ft, stats)
         pin = FE.prediction_input(cli, cutoff, lo, hi)
@@ -139,7 +143,8 @@ def page_views(analysis: DataFrame, totals: DataFrame,
         "hazard_share": V.hazard_share(totals),
     }
     if predictions is not None:
-        views["top20"] = V.ranked_scores(predictions, k=20)
+        views["ranked_scores"] = V.rank_scores(predictions)
+        views["top20"] = V.top_scores(views["ranked_scores"], 20)
     if importance is not None:
         views["top_importance"] = importance.orderBy(F.col("importance").desc()).limit(10)
     return views

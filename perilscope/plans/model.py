@@ -14,8 +14,9 @@ Parameter mapping from the reference's learners: ``n_estimators`` →
 cap); ``min_samples_leaf`` / ``min_child_weight`` → ``minInstancesPerNode``;
 ``max_features`` / ``colsample_bytree`` → ``featureSubsetStrategy``;
 ``learning_rate`` → ``stepSize``; ``subsample`` → ``subsamplingRate``;
-``gamma`` → ``minInfoGain``. ``min_samples_split`` and the L1/L2 leaf
-penalties have no Spark equivalent and are ignored.
+``gamma`` → ``minInfoGain``. Parameters without a Spark equivalent are not
+part of the grids, so every draw is a different fit. Splits use up to
+``MAX_BINS`` histogram bins per feature.
 """
 
 from __future__ import annotations
@@ -72,35 +73,35 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 3,
 
 # -- estimators and parameter draws --------------------------------------------
 
-ROWS_PER_PARTITION = 200_000
+TRAINING_PARTITIONS = 8
+MAX_BINS = 256
 
 
-def size_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Cache ``df`` with partitions sized to its row count.
+def training_rows(df: DataFrame, partitions: int = TRAINING_PARTITIONS) -> DataFrame:
+    """Cache ``df`` in a fixed number of partitions.
 
-    Tree learners run several jobs per tree level (boosting: per iteration),
-    each with one task per partition; a small training set spread over many
-    partitions only adds task overhead, and concurrent fits then compete
-    for cores. The count is one number on the cached data.
+    The learners sample per partition, so the layout is part of the model: it
+    is a parameter, never a count of rows. Rows are dealt by their key, so
+    equal input gives an equal layout. For a large training set pass a number
+    that keeps a partition in a task's memory.
     """
-    cached = df.persist()
-    n = cached.count()
-    want = max(1, -(-n // rows_per_partition))
-    if want >= cached.rdd.getNumPartitions():
-        return cached
-    sized = cached.coalesce(want).persist()
-    sized.count()
-    cached.unpersist()
-    return sized
+    keys = [c for c in ("country", "period") if c in df.columns]
+    dealt = df.repartition(partitions, *keys) if keys else df.repartition(partitions)
+    if keys:
+        dealt = dealt.sortWithinPartitions(*keys)
+    cached = dealt.persist()
+    cached.count()
+    return cached
 
 
 def forest(seed: int = SEED) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=TARGET,
-                                 seed=seed)
+                                 seed=seed, maxBins=MAX_BINS)
 
 
 def boosted(seed: int = SEED) -> GBTRegressor:
-    return GBTRegressor(featuresCol=FEATURES_COL, labelCol=TARGET, seed=seed)
+    return GBTRegressor(featuresCol=FEATURES_COL, labelCol=TARGET, seed=seed,
+                        maxBins=MAX_BINS)
 
 
 def _depth(v):
@@ -195,12 +196,13 @@ def cross_validate(data: DataFrame, est: Estimator, maps: list[dict], folds: int
 
 def random_search_cv(train: DataFrame, est: Estimator, grid: dict, n_iter: int,
                      folds: int = 3, order: Sequence[str] = ("country", "period"),
-                     seed: int = SEED, parallelism: int = 4):
+                     seed: int = SEED, parallelism: int = 4,
+                     partitions: int = TRAINING_PARTITIONS):
     """M5: ``n_iter`` grid draws, k-fold CV on R² over contiguous folds,
     best draw refit on all rows. Returns ``(search_result, draws)``."""
     draws = draw_grid(grid, n_iter, seed)
     maps = param_maps(est, draws)
-    data = size_partitions(contiguous_folds(train, list(order), folds))
+    data = training_rows(contiguous_folds(train, list(order), folds), partitions)
     try:
         return cross_validate(data, est, maps, folds, "fold", parallelism), draws
     finally:
@@ -241,10 +243,15 @@ def feature_importance(spark: SparkSession, model, names: Sequence[str]) -> Data
     return df.orderBy(F.col("importance").desc(), F.col("feature").asc())
 
 
+# Draws of the searches: forecast, and per learner of the bake-off.
+FORECAST_DRAWS = 20
+BAKEOFF_DRAWS = {"forest": 20, "boosted": 20, "boosted_hist": 50}
+
+
 # -- C11: forecast ------------------------------------------------------------------
 
 def forecast(spark: SparkSession, features_cli: DataFrame, pred_input: DataFrame,
-             cutoff: int, n_iter: int = 2, folds: int = 3,
+             cutoff: int, n_iter: int = FORECAST_DRAWS, folds: int = 3,
              grid: dict = GRID_FOREST_FORECAST,
              features: Sequence[str] = FEATURES_IMPROVED,
              period: str = "period"):
@@ -290,21 +297,27 @@ def bakeoff_frames(analysis: DataFrame, cutoff: int, with_lag: bool,
 def bakeoff(spark: SparkSession, prepared_train: DataFrame,
             prepared_test: DataFrame, features: Sequence[str],
             models: Sequence[str] = ("forest", "boosted", "boosted_hist"),
-            n_iter: int = 2, folds: int = 3) -> DataFrame:
+            n_iter: int | dict[str, int] = BAKEOFF_DRAWS, folds: int = 3,
+            partitions: int = TRAINING_PARTITIONS) -> DataFrame:
     """C17: search each learner on train, score test, compare. One row per
-    model: CV R², test R², test RMSE, ordered by test R² (best first)."""
-    train = size_partitions(assemble_features(prepared_train, features, TARGET))
-    test = size_partitions(assemble_features(prepared_test, features, TARGET))
+    model: draws tried, CV R², best parameters, test R², test RMSE, ordered by
+    test R² (best first). The folds are computed once for all learners."""
+    folded = contiguous_folds(assemble_features(prepared_train, features, TARGET),
+                              ["country", "period"], folds)
+    train = training_rows(folded, partitions)
+    test = training_rows(assemble_features(prepared_test, features, TARGET), partitions)
+    draws_of = n_iter if isinstance(n_iter, dict) else {m: n_iter for m in models}
     specs = {"forest": (forest(), GRID_FOREST_BAKEOFF),
              "boosted": (boosted(), GRID_BOOSTED),
              "boosted_hist": (boosted(), GRID_BOOSTED_HIST)}
 
     def run(name):
         est, grid = specs[name]
-        cvm, _ = random_search_cv(train, est, grid, n_iter, folds)
+        draws = draw_grid(grid, draws_of[name])
+        cvm = cross_validate(train, est, param_maps(est, draws), folds)
         scored = predict(cvm.bestModel, test, "_pred")
         m = regression_metrics(scored, TARGET, "_pred").first()
-        return (name, float(max(cvm.avgMetrics)),
+        return (name, len(draws), float(max(cvm.avgMetrics)), repr(draws[cvm.bestIndex]),
                 None if m["r2"] is None else float(m["r2"]),
                 None if m["rmse"] is None else float(m["rmse"]),
                 int(m["n"]))
@@ -317,7 +330,9 @@ def bakeoff(spark: SparkSession, prepared_train: DataFrame,
         train.unpersist()
         test.unpersist()
     schema = T.StructType([T.StructField("model", T.StringType()),
+                           T.StructField("draws", T.LongType()),
                            T.StructField("cv_r2", T.DoubleType()),
+                           T.StructField("best_params", T.StringType()),
                            T.StructField("test_r2", T.DoubleType()),
                            T.StructField("test_rmse", T.DoubleType()),
                            T.StructField("n_test", T.LongType())])

@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DOMINANT_LABELS, HAZARDS, PERIOD_CLAMP, SHARE_LABELS
+from ..config import (DOMINANT_LABELS, HAZARDS, PERIOD_CLAMP, RANK_PLACES,
+                      SHARE_LABELS)
 from ..functions.rowwise import row_argmax
 from ..functions.scalar import risk_bucket
 from ..operators.aggregate import feature_abs_mean, share_of_total
@@ -30,7 +31,7 @@ def rank_key(value: str, places: int | None) -> Column:
 
 def period_ranking(analysis: DataFrame, period: str = "period",
                    value: str = "climate_impact_index",
-                   span: int = 5, rank_places: int | None = None) -> DataFrame:
+                   span: int = 5, rank_places: int | None = RANK_PLACES) -> DataFrame:
     """C12 for every period: rebase within the period, dense rank (highest
     impact = 1), risk bucket, period end. Rows without a value are dropped
     (the reference cannot rank them)."""
@@ -52,7 +53,7 @@ def selected_period(analysis: DataFrame, period: str = "period",
 
 
 def period_ranking_selected(analysis: DataFrame, period: str = "period",
-                            rank_places: int | None = None) -> DataFrame:
+                            rank_places: int | None = RANK_PLACES) -> DataFrame:
     """C12 at the page's default selection, without a driver round trip:
     the one-row selection is broadcast beside the rows and filters them."""
     sel = selected_period(analysis, period)
@@ -89,13 +90,15 @@ def hazard_share(totals: DataFrame, entity: str = "country",
                           out="share")
 
 
-def ranked_scores(scores: DataFrame, value: str = "CLI", k: int = 20,
-                  entity: str = "country",
-                  rank_places: int | None = None) -> DataFrame:
-    """Rows with a score → global dense rank → risk bucket → the k
-    best ranks (ties by entity name)."""
+def rank_scores(scores: DataFrame, value: str = "CLI", entity: str = "country",
+                rank_places: int | None = RANK_PLACES) -> DataFrame:
+    """Every row with a score, its global dense rank and risk bucket."""
     df = drop_null(scores, value).withColumn("_key", rank_key(value, rank_places))
     df = dense_rank(df, "_key", "CLI_rank")
-    df = df.select(entity, "CLI_rank", value,
-                   risk_bucket("CLI_rank").alias("risk_category"))
-    return top_k(df, [F.col("CLI_rank").asc(), F.col(entity).asc()], k)
+    return df.select(entity, "CLI_rank", value,
+                     risk_bucket("CLI_rank").alias("risk_category"))
+
+
+def top_scores(ranked: DataFrame, k: int = 20, entity: str = "country") -> DataFrame:
+    """O2 on C16: the k best ranks (ties by entity name)."""
+    return top_k(ranked, [F.col("CLI_rank").asc(), F.col(entity).asc()], k)

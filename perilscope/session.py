@@ -40,8 +40,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 def cluster_conf(input_bytes: int, executor_cores: int = 4,
                  executor_memory_gb: int = 16, checkpoint_dir: str | None = None,
-                 target_partition_mb: int = 256, shuffle_fraction: float = 0.25,
-                 max_partitions: int = 100_000) -> dict[str, str]:
+                 target_partition_mb: int = 256, shuffle_fraction: float = 0.25
+                 ) -> dict[str, str]:
     """Settings for a cluster run sized to the input (e.g. 100 TB).
 
     * scan splits of ``target_partition_mb`` (parquet row groups permitting);
@@ -55,8 +55,7 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4,
     * a shared checkpoint folder for :func:`stage` (required off local mode).
     """
     target = target_partition_mb * 1024 * 1024
-    partitions = min(max_partitions,
-                     max(200, int(input_bytes * shuffle_fraction // target)))
+    partitions = max(200, int(input_bytes * shuffle_fraction // target))
     per_task_mb = executor_memory_gb * 1024 // max(1, executor_cores)
     conf = {
         "spark.sql.adaptive.enabled": "true",
@@ -82,24 +81,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Reads ``spark.checkpoint.dir`` (or a folder already set on the context).
     Only when none is set and the master is local does it create one under
     the system temp folder; on a cluster an unset folder is an error, because
-    a machine-local folder does not survive the loss of an executor.
+    a machine-local folder does not survive the loss of an executor. The
+    result is always the sub-folder that Spark itself uses, so stages of one
+    application share one root.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; set it to a shared folder")
-    path = tempfile.mkdtemp(prefix="perilscope-ckpt-",
-                            dir=os.environ.get("TMPDIR", "/tmp"))
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; set it to a shared folder")
+        path = tempfile.mkdtemp(prefix="perilscope-ckpt-",
+                                dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
-    return path
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

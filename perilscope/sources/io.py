@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .schema import measure_schema, normalise_nan, wide_damage_schema
@@ -74,16 +75,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def _read_stored(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame] | None:
+    """The stored tables, or None when one is missing, unfinished or unreadable."""
+    if not all(path_exists(spark, f"{p.rstrip('/')}/_SUCCESS") for p in paths.values()):
+        return None
+    try:
+        return {k: read_table(spark, p) for k, p in paths.items()}
+    except (AnalysisException, PySparkException):
+        return None
+
+
 def read_or_build(spark: SparkSession, paths: dict[str, str],
                   build: Callable[[], dict[str, DataFrame]] | None,
                   use_cache: bool = True) -> dict[str, DataFrame]:
-    """Return stored artefacts when all exist, else build and store.
+    """Return stored artefacts when all are complete and readable, else
+    build and store.
 
-    With ``build=None`` this is the loader-only variant: missing artefacts
-    raise ``FileNotFoundError``.
+    A folder counts as complete when its write has finished (``_SUCCESS``)
+    and its schema can be read. With ``build=None`` this is the loader-only
+    variant: missing artefacts raise ``FileNotFoundError``.
     """
-    if use_cache and all(path_exists(spark, p) for p in paths.values()):
-        return {k: read_table(spark, p) for k, p in paths.items()}
+    stored = _read_stored(spark, paths) if use_cache else None
+    if stored is not None:
+        return stored
     if build is None:
         raise FileNotFoundError(
             "artefacts not found: " + ", ".join(sorted(paths.values())))

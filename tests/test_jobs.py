@@ -39,3 +39,22 @@ def test_train_and_predict_then_cached(spark):
     totals = JB.B.totals_table(JB.B.merge_totals(JB.B.hazard_total(D.measures_long(f))))
     views = JB.page_views(analysis, totals, second["predictions"], second["importance"])
     assert views["top20"].count() <= 20 and views["hazard_share"].count() > 0
+    assert views["ranked_scores"].count() >= views["top20"].count()
+
+
+def test_unfinished_artefacts_are_rebuilt(spark):
+    from perilscope.sources import io as IO
+    out = tempfile.mkdtemp(prefix="perilscope-io-", dir="/tmp")
+    paths = {"a": f"{out}/a", "b": f"{out}/b"}
+    built = []
+
+    def build():
+        built.append(1)
+        return {k: spark.range(3) for k in paths}
+
+    IO.read_or_build(spark, paths, build)
+    IO.read_or_build(spark, paths, build)
+    assert len(built) == 1
+    os.unlink(f"{out}/b/_SUCCESS")              # as after a crash in the write
+    assert IO.read_or_build(spark, paths, build)["b"].count() == 3
+    assert len(built) == 2

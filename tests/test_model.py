@@ -42,6 +42,27 @@ def test_boosted_and_metrics(spark, frame):
     assert perfect["rmse"] == 0.0 and perfect["r2"] == 1.0
 
 
+def test_bakeoff_reports_draws_and_parameters(spark, frame):
+    got = M.bakeoff(spark, frame.where("period < 9"), frame.where("period >= 9"),
+                    ["x1", "x2"], models=("forest",), n_iter=2, partitions=2).collect()
+    assert got[0]["draws"] == 2 and "max_depth" in got[0]["best_params"]
+
+
+def test_layout_does_not_follow_the_row_count(frame):
+    small = M.training_rows(M.assemble_features(frame, ["x1", "x2"]).limit(5), 3)
+    assert small.rdd.getNumPartitions() == 3
+    small.unpersist()
+
+
+def test_every_grid_entry_changes_the_fit():
+    from perilscope import config as C
+    for est, grid in ((M.forest(), C.GRID_FOREST_FORECAST), (M.forest(), C.GRID_FOREST_BAKEOFF),
+                      (M.boosted(), C.GRID_BOOSTED), (M.boosted(), C.GRID_BOOSTED_HIST)):
+        maps = M.param_maps(est, M.draw_grid(grid, 50))
+        assert len({repr(sorted((p.name, str(v)) for p, v in m.items())) for m in maps}) \
+            == len(maps)
+
+
 def test_draw_grid_is_seeded_subset():
     grid = {"a": [1, 2, 3], "b": ["x", "y"]}
     d1, d2 = M.draw_grid(grid, 3, 42), M.draw_grid(grid, 3, 42)
