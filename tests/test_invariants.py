@@ -115,9 +115,9 @@ def test_single_hazard_frames_equal_long_form(spark):
     assert tot.columns == ["country", "period", "storm_total_affected", "storm_total_deaths"]
 
 
-@pytest.mark.parametrize("grain,expected", [("sparse", (7000, 6, 1762)),
-                                            ("gappy", (1969, 285, 41)),
-                                            ("model", (675, 520, 1)),
+@pytest.mark.parametrize("grain,expected", [("sparse", (7820, 14, 1722)),
+                                            ("gappy", (1974, 380, 17)),
+                                            ("model", (675, 565, 1)),
                                             ("dense", (175, 175, 0))])
 def test_standin_grains_match_fixture_counts(spark, grain, expected):
     """(E,P) rows, rows with four impacts, rows with none — FIXTURES §3."""
