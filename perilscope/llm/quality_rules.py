@@ -83,13 +83,15 @@ def _measure(s: K.Slice) -> list[np.ndarray]:
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row plus :data:`MEASURES` (long)."""
-    src = docs.select(*keep, F.col(text).alias("__text"))
+    own = text in keep          # the text travels once
+    src = docs.select(*keep) if own else docs.select(*keep, F.col(text).alias("__text"))
+    column = text if own else "__text"
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes),
                         *(f"{m} bigint" for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in K.slices(b, "__text"):
+            for s in K.slices(b, column):
                 cols = [s.batch.column(i) for i in range(len(keep))]
                 cols += [pa.array(m.astype(np.int64)) for m in _measure(s)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *MEASURES])
