@@ -387,18 +387,19 @@ def jaccard_join(docs: DataFrame, text: str = "text") -> DataFrame:
     # pair of blocks is a cell.
     many = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("bigint")
-    # Block b meets the blocks b..B-1 as left side, 0..b-1 as right side.
+    # A block meets itself and later ones as the left side, earlier ones as the right.
     placed = (groups.join(many, "component")
               .join(nodes.select("node", "rep", "copies", "size"), "node")
-              .withColumn("B", blocks)
-              .withColumn("b", F.pmod(F.xxhash64("node"), F.col("B")))
+              .withColumn("n_blocks", blocks)
+              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
               .withColumn("meet", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                       F.col("B") - 1)))
+                                                       F.col("n_blocks") - 1)))
               .select("node", "rep", "copies", "size",
-                      F.xxhash64("component", F.least("b", "meet"),
-                                 F.greatest("b", "meet")).alias("cell"),
-                      F.when(F.col("meet") >= F.col("b"), 0).otherwise(1).alias("side"),
-                      F.when(F.col("B") == 1, 0).when(F.col("meet") == F.col("b"), 1)
+                      F.xxhash64("component", F.least("block", "meet"),
+                                 F.greatest("block", "meet")).alias("cell"),
+                      F.when(F.col("meet") >= F.col("block"), 0).otherwise(1).alias("side"),
+                      F.when(F.col("n_blocks") == 1, 0)
+                      .when(F.col("meet") == F.col("block"), 1)
                       .otherwise(2).alias("grid")))
     texts = src.where(F.col("__text").isNotNull())
     sets = (texts.join(placed, texts["doc_id"].eqNullSafe(placed["rep.doc_id"])
