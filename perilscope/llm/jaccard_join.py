@@ -12,15 +12,15 @@ are split again. ``RUNS`` independent runs bring the recall to the target.
 
 Comparing inside a bucket uses 64 minhash bytes per node and a cut so far
 below the threshold that a true pair passes it (4 standard deviations). A
-bucket that is still too large after ``LEVELS`` choices links all its members
+bucket that is still too large after that links all its members
 to one of them, which loses nothing. The links form groups; inside a group
 all sets meet once and are compared exactly, in blocks when it is large, so
 every reported link is exact and a pair missed by the buckets is still found
 if its texts landed in one group.
 
 Recall of a pair at exactly the threshold: one run finds it with probability
-0.63 at one split, 0.47 at two, 0.37 at three, so ``RUNS`` = 12 gives at
-least 0.996; any higher similarity has more.
+0.63 by one choice and 0.37 by three, so ``RUNS`` = 12 gives at least 0.996;
+any higher similarity has more.
 
 Defined results: null or word-free texts have no shingles and link to
 nothing; repeated rows and equal sets are one node; a null doc_id is an id
@@ -43,7 +43,8 @@ from .components import connected_components
 THRESHOLD = 0.8
 SHINGLE = 5
 RUNS = 12
-LEVELS = 3
+LEVELS = 2            # splits: one choice, then SPLIT2 more at once
+SPLIT2 = 2
 LIMIT = 64            # nodes that a bucket may hold to be brute-forced
 SKETCH = 64           # minhash bytes per node
 SKETCH_CUT = 0.6
@@ -52,7 +53,7 @@ BLOCK = 384           # sets that one exact comparison holds on either side
 U64 = np.uint64
 _rng = np.random.default_rng(20240501)
 _RUN_SEED = _rng.integers(0, 1 << 63, RUNS, dtype=np.uint64)
-_STEP_MULT = _rng.integers(0, 1 << 63, LEVELS, dtype=np.uint64) | U64(1)
+_STEP_MULT = _rng.integers(0, 1 << 63, 1 + SPLIT2, dtype=np.uint64) | U64(1)
 _HASH_MULT = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -116,9 +117,7 @@ def _nodes(s: K.Slice):
     limit = np.where(keep >= 1.0, U64(2**64 - 1),
                      (np.minimum(keep, 0.999999) * 2.0**64).astype(U64))
     if len(full):
-        root_row = np.repeat(full, RUNS)
-        root = np.tile(_RUN_SEED, len(full))
-        # Level 1 needs no expansion by path: every run looks at all shingles.
+        # The first split needs no expansion by path: every run sees all shingles.
         owner = np.repeat(np.arange(rows), size)
         paths, owners = [], []
         for seed in _RUN_SEED:
@@ -127,23 +126,23 @@ def _nodes(s: K.Slice):
             paths.append(K.mix(draw[kept] + seed))
             owners.append(owner[kept])
         path, row = np.concatenate(paths), np.concatenate(owners)
-        del root, root_row
     else:
         path, row = np.zeros(0, U64), np.zeros(0, np.int64)
     o = np.argsort(row, kind="stable")
     path, row = path[o], row[o]
     lists.append((path, row, None))
-    for level in range(1, LEVELS):
-        start = np.searchsorted(row, np.arange(rows))
+    # The second split takes SPLIT2 more choices at once, below each first path.
+    root = path
+    for level in range(1, 1 + SPLIT2):
         step = max(1, (4 << 20) // max(1, int(size.max(initial=1))))
         got = [_choose(g, first, limit, path[i:i + step], row[i:i + step], level)
                for i in range(0, len(path), step)]
-        up = (np.concatenate([x[1] + i * step for i, x in enumerate(got)])
-              if got else np.zeros(0, np.int64))
-        new = np.concatenate([x[0] for x in got]) if got else np.zeros(0, U64)
-        new_row = np.concatenate([x[2] for x in got]) if got else np.zeros(0, np.int64)
-        lists.append((new, new_row, path[up] if len(up) else np.zeros(0, U64)))
-        path, row = new, new_row
+        if not got:
+            break
+        up = np.concatenate([x[1] + i * step for i, x in enumerate(got)])
+        path, row = np.concatenate([x[0] for x in got]), np.concatenate([x[2] for x in got])
+        root = root[up]
+    lists.append((path, row, root))
     return size, f1, f2, sketch, lists
 
 
@@ -341,8 +340,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             rows = (nodes.select("node", F.explode(F.arrays_zip(
                         F.col(f"p{level}").alias("path"), F.col(f"q{level}").alias("up")))
                         .alias("x")).select("node", "x.path", "x.up"))
-            rows = rows.join(hot.withColumnRenamed("path", "up"), "up", "left_semi"
-                             ).select("node", "path")
+            rows = stage(rows.join(hot.withColumnRenamed("path", "up"), "up", "left_semi"
+                                   ).select("node", "path"), f"paths-{level}-rows")
         count = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"),
                                                F.min("node").alias("low"))
                       .where("n > 1"), f"paths-{level}")
