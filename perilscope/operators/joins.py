@@ -65,9 +65,10 @@ def attach_global_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def attach_group_stats(df: DataFrame, stats: DataFrame,
                        keys: Sequence[str]) -> DataFrame:
-    """J10 per group: statistics keyed by a small explicit list of groups
-    (e.g. the four hazards), so the broadcast side is bounded by that list."""
-    return df.join(F.broadcast(stats), on=list(keys), how="left")
+    """J10 per group: one row of statistics per group, joined by size: Spark
+    broadcasts it below its threshold (the four hazards always are) and
+    shuffles otherwise."""
+    return df.join(stats, on=list(keys), how="left")
 
 
 def lookup(df: DataFrame, stats: DataFrame, key: str | Sequence[str],

@@ -84,8 +84,67 @@ APPROX_ACCURACY = 10000
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
-                    scope: Sequence[str] = (), accuracy: int = APPROX_ACCURACY,
-                    broadcast_scopes: bool = False) -> DataFrame:
+                    scope: Sequence[str] = (), accuracy: int = APPROX_ACCURACY
+                    ) -> DataFrame:
+    """Exact quantiles with linear interpolation (the pandas / DuckDB
+    ``quantile_cont`` rule), missing values skipped; one row per scope with
+    columns ``q0, q1, ...`` in ``qs`` order (nulls for a scope without
+    values).
+
+    Two passes, no sort of the data and no group held whole:
+
+    0. the narrow ``(scope, value)`` projection is staged once;
+    1. one aggregate per scope: count, min, max and ``percentile_approx`` at
+       ``q ± 2/accuracy``. Its rank error is at most ``n/accuracy``, so the
+       pair brackets the two order statistics the interpolation needs
+       (scopes with ``n <= 2·accuracy`` use the exact min and max);
+    2. rows are counted below the bracket, and values inside it are counted
+       per distinct value (a hot value collapses map-side). The bracket holds
+       about ``4n/accuracy`` distinct values, which a window then walks to
+       pick the order statistics exactly.
+    """
+    scope = list(scope)
+    v = F.col(value)
+    vorder = v.desc_nulls_last() if descending else v.asc_nulls_last()
+    hashable = [f.name for f in df.schema.fields
+                if not isinstance(f.dataType, T.MapType)]
+    tiebreak = F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
+    keys = [*[F.col(k) for k in scope], vorder, tiebreak]
+    # Without an explicit count AQE sizes the range partitions (coalescing
+    # keeps them contiguous, so partition ids stay in key order).
+    spread = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    laid = materialise(spread.withColumn("_pid", F.spark_partition_id()),
+                       "rank-layout")
+    first = F.max(v) if descending else F.min(v)
+    last = F.min(v) if descending else F.max(v)
+    summary = (laid.groupBy("_pid", *scope)
+               .agg(F.countDistinct(v).alias("_d"), first.alias("_first"),
+                    last.alias("_last"))
+               .where(F.col("_d") > 0))
+    w = Window.partitionBy(*scope).orderBy("_pid")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    summary = summary.withColumn(
+        "_overlap", (F.lag("_last").over(w) == F.col("_first")).cast("int"))
+    offsets = summary.select(
+        "_pid", *scope,
+        (F.coalesce(F.sum("_d").over(before), F.lit(0))
+         - F.coalesce(F.sum("_overlap").over(upto), F.lit(0))).alias("_off"))
+    local = F.dense_rank().over(Window.partitionBy("_pid", *scope).orderBy(vorder))
+    ranked = laid.withColumn("_loc", local).join(
+        F.broadcast(offsets) if not scope else offsets, on=["_pid", *scope], how="left")
+    return ranked.withColumn(
+        out, F.when(v.isNotNull(), (F.col("_off") + F.col("_loc")).cast("long"))
+    ).drop("_pid", "_loc", "_off")
+
+
+APPROX_ACCURACY = 10000
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
+                    scope: Sequence[str] = (), accuracy: int = APPROX_ACCURACY
+                    ) -> DataFrame:
     """Exact quantiles with linear interpolation (the pandas / DuckDB
     ``quantile_cont`` rule), missing values skipped; one row per scope with
     columns ``q0, q1, ...`` in ``qs`` order (nulls for a scope without
@@ -136,7 +195,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
                               (pos - F.floor(pos)).alias("_f")))
     brackets = stats.select(*scope, F.explode(F.array(*per_q)).alias("_b")).select(
         *scope, "_b.*")
-    side = F.broadcast(brackets) if broadcast_scopes or not scope else brackets
+    side = brackets if scope else F.broadcast(brackets)     # one row per quantile
     joined = src.join(side, on=scope) if scope else src.crossJoin(side)
     keys = [*scope, "_i"]
     below = (joined.groupBy(*keys)

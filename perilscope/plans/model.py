@@ -73,7 +73,7 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 3,
 
 # -- estimators and parameter draws --------------------------------------------
 
-TRAINING_PARTITIONS = 8
+TRAINING_PARTITIONS = 2
 MAX_BINS = 256
 
 
@@ -175,7 +175,7 @@ def _fit_eval(est: Estimator, params: dict, train: DataFrame, valid: DataFrame,
 
 
 def cross_validate(data: DataFrame, est: Estimator, maps: list[dict], folds: int,
-                   fold_col: str = "fold", parallelism: int = 4) -> SearchResult:
+                   fold_col: str = "fold", parallelism: int = 8) -> SearchResult:
     """k-fold CV over ``fold_col`` with every (draw, fold) fit submitted as
     its own Spark job from a thread pool, then the best draw refit on all
     rows. With a single draw the refit runs alongside the fold fits.
@@ -196,7 +196,7 @@ def cross_validate(data: DataFrame, est: Estimator, maps: list[dict], folds: int
 
 def random_search_cv(train: DataFrame, est: Estimator, grid: dict, n_iter: int,
                      folds: int = 3, order: Sequence[str] = ("country", "period"),
-                     seed: int = SEED, parallelism: int = 4,
+                     seed: int = SEED, parallelism: int = 8,
                      partitions: int = TRAINING_PARTITIONS):
     """M5: ``n_iter`` grid draws, k-fold CV on R² over contiguous folds,
     best draw refit on all rows. Returns ``(search_result, draws)``."""

@@ -77,10 +77,10 @@ def entity_trend(analysis: DataFrame, entity: str = "country",
                  period: str = "period",
                  value: str = "climate_impact_index") -> DataFrame:
     """C14 for every entity: its series with the index rebased within the
-    entity, and the damage series beside it."""
+    entity, and the damage series beside it, in order of period."""
     df = rebase(analysis, value, "impact_rebased", scope=[entity])
     return df.select(entity, period, value, "impact_rebased",
-                     "economic_damage_pct_gdp")
+                     "economic_damage_pct_gdp").orderBy(entity, period)
 
 
 def hazard_share(totals: DataFrame, entity: str = "country",
