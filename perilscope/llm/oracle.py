@@ -42,11 +42,14 @@ WITH t AS (
 ), w AS (
   SELECT *, regexp_extract_all(text, '{_W}') AS words, string_split(text, chr(10)) AS lines
   FROM t
+), word AS (
+  SELECT rid, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w
 ), grams AS (
-  SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3
+  SELECT rid, i, a, lead(a) OVER (PARTITION BY rid ORDER BY i) AS b,
+         lead(a, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM word
 ), keyed AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n
-  FROM grams
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM grams
+  WHERE c IS NOT NULL
 ), covered AS (
   SELECT DISTINCT rid, i + unnest([0, 1, 2]) AS p FROM keyed WHERE n > 1
 ), repeats AS (
