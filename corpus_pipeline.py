@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.llm import bpe, decontam, jaccard_join, quality_rules, secret_scan
-from perilscope.llm.queries import ranks_path, ship, table, token_digests
+from perilscope.llm import decontam, jaccard_join, quality_rules, secret_scan
+from perilscope.llm.queries import ship, table, token_digests
 from perilscope.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -70,8 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """6: the ids of every text, with their count and the digests of the ids and
     of the decoded bytes."""
     ship(spark)
-    ranks = ranks_path()
-    return token_digests(bpe.decode(bpe.encode(docs, ranks), ranks))
+    return token_digests(docs)
 
 
 STAGES = [

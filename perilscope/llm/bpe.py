@@ -23,19 +23,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
 
 CHUNK = 1 << 16       # code points of a chunk
 OVERLAP = 1 << 10     # code points that a chunk shares with the one before
-CACHE = 400_000       # merged pieces that a worker keeps
+CACHE = 200_000       # merged pieces that a worker keeps
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -44,13 +45,14 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 def _classes() -> np.ndarray:
     """Class of every code point, from the pattern's own character classes."""
     import regex
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    at = np.array(points, np.int64)
     table = np.zeros(0x110000, np.uint8)
-    for code, cls in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(cls, every):
-            table[at[m.start():m.end()]] = code
+    for low in range(0, 0x110000, 1 << 14):
+        points = [c for c in range(low, low + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        every = "".join(map(chr, points))
+        at = np.array(points, np.int64)
+        for code, cls in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(cls, every):
+                table[at[m.start():m.end()]] = code
     return table
 
 
@@ -64,14 +66,15 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             by_id[rank] = token
         self.tokens = pa.array(by_id, pa.large_binary())
-        self.merged: dict[bytes, np.ndarray] = {}
+        self.merged: dict[bytes, bytes] = {}
 
-    def merge(self, piece: bytes) -> np.ndarray:
+    def merge(self, piece: bytes) -> bytes:
+        """Ids of a piece, packed as 32-bit integers."""
         got = self.merged.get(piece)
         if got is None:
             if len(self.merged) >= CACHE:
                 self.merged.clear()
-            got = np.array(self._merge(piece), np.int32)
+            got = np.array(self._merge(piece), np.int32).tobytes()
             if len(piece) <= 64:
                 self.merged[piece] = got
         return got
@@ -188,8 +191,8 @@ def _encode(data: np.ndarray, cut: np.ndarray, vocab: Vocabulary):
         None, pa.py_buffer(np.ascontiguousarray(cut, np.int64)), pa.py_buffer(data)])
     coded = pieces.dictionary_encode()
     merged = [vocab.merge(p) for p in coded.dictionary.to_pylist()]
-    length = np.array([len(m) for m in merged], np.int64)
-    flat = np.concatenate(merged)
+    length = np.array([len(m) for m in merged], np.int64) // 4
+    flat = np.frombuffer(b"".join(merged), np.int32)
     begin = np.cumsum(length) - length
     index = coded.indices.to_numpy()
     count = length[index]
@@ -273,7 +276,12 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]]) -> tuple[str, np.ndarray]:
     return "".join(whole), np.concatenate([*done, marks])
 
 
-def _join_chunks(raw):
+# What a caller does with the ids of a batch inside the task: from the ids (a
+# list array) and the vocabulary to further columns.
+Finish = Callable[[pa.Array, Vocabulary], list[pa.Array]]
+
+
+def _join_chunks(raw, finish: Finish, names: list[str]):
     def run(t: pa.Table) -> pa.Table:
         vocab = _vocabulary(raw.value)
         t = t.sort_by("k")
@@ -287,22 +295,25 @@ def _join_chunks(raw):
         data = np.frombuffer(text.encode(), np.uint8)
         points, at, _ = _code_points(data, np.array([0, len(data)]))
         ids, _ = _encode(data, np.append(at[found], len(data)), vocab)
-        ids = pa.array([ids] * copies, pa.list_(pa.int32()))
-        return pa.table({"doc_id": pa.chunked_array([t.column("doc_id").combine_chunks()
-                                                     .slice(0, 1)] * copies),
-                         "ids": ids})
+        cols = finish(_list_array(ids, np.array([0, len(ids)])), vocab)
+        own = t.column("doc_id").combine_chunks().slice(0, 1)
+        return pa.table([pa.chunked_array([c] * copies) for c in (own, *cols)], names=names)
     return run
 
 
-def encode(docs: DataFrame, ranks: str, text: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id`` and ``ids`` (array<int>) of every row, by the rank file at the
-    path ``ranks`` (read on the driver, sent to the tasks once)."""
+def encode_with(docs: DataFrame, ranks: str, finish: Finish, fields: str,
+                text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id`` and the columns ``fields`` that ``finish`` makes of every row's
+    ids, in the task that has encoded them (one Python process per task, and
+    the ids do not travel). The rank file at the path ``ranks`` is read on the
+    driver and sent to the tasks once."""
     spark = docs.sparkSession
     with open(ranks, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     src = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = dict(src.dtypes)["doc_id"]
+    schema = f"doc_id {id_type}, {fields}"
+    names = StructType.fromDDL(schema).names
     # Bytes bound code points from above and cost no decoding.
     is_long = F.octet_length("text") > chunk
 
@@ -311,9 +322,8 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", chunk: int = CHUNK,
         for b in batches:
             for s in K.slices(b, "text"):
                 yield pa.RecordBatch.from_arrays(
-                    [s.batch.column(0), _encode_rows(s, vocab)], names=["doc_id", "ids"])
+                    [s.batch.column(0), *finish(_encode_rows(s, vocab), vocab)], names=names)
 
-    schema = f"doc_id {id_type}, ids array<int>"
     whole = src.where(~is_long).mapInArrow(short, schema)
     parts = (src.where(is_long)
              .select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -324,10 +334,18 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", chunk: int = CHUNK,
              .mapInArrow(_pre_tokenise,
                          f"doc_id {id_type}, text_hash bigint, k int, start bigint, "
                          "part string, marks binary"))
-    joined = parts.groupBy("doc_id", "text_hash").applyInArrow(_join_chunks(raw), schema)
+    joined = parts.groupBy("doc_id", "text_hash").applyInArrow(
+        _join_chunks(raw, finish, names), schema)
     return whole.unionByName(joined)
 
 
+def encode(docs: DataFrame, ranks: str, text: str = "text", chunk: int = CHUNK,
+           overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id`` and ``ids`` (array<int>) of every row."""
+    return encode_with(docs, ranks, lambda ids, vocab: [ids], "ids array<int>", text,
+                       chunk, overlap)
+
+
 def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     """``tokens`` with ``decoded``: the raw bytes of its ids, back to back."""
     with open(ranks, "rb") as f:
@@ -339,17 +357,22 @@ def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _vocabulary(raw.value)
         for big in batches:
-            step = max(1, min(256, big.num_rows))
-            for i in range(0, big.num_rows, step):
-                b = big.slice(i, step)
-                out = [decode_ids(row.values.to_numpy(zero_copy_only=False), vocab)
-                       if row.is_valid else b"" for row in b.column(at)]
+            for i in range(0, big.num_rows, 256):
+                b = big.slice(i, 256)
+                out = list(decode_rows(b.column(at), vocab))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())],
                                                  names=names)
 
     return tokens.mapInArrow(run, ", ".join([*keep, "decoded binary"]))
 
 
+def decode_rows(ids: pa.Array, vocab: Vocabulary) -> Iterator[bytes]:
+    """The raw bytes of every row of a list array (empty for null)."""
+    for row in ids:
+        yield (decode_ids(row.values.to_numpy(zero_copy_only=False), vocab)
+               if row.is_valid else b"")
+
+
 def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> bytes:
     if not len(ids):
         return b""

@@ -12,7 +12,7 @@ import hashlib
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -123,31 +123,24 @@ def op5(spark, sf_dir):
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
 
 
-def token_digests(decoded: DataFrame) -> DataFrame:
-    """Counts and digests of ``ids`` and ``decoded``."""
-    id_type = dict(decoded.dtypes)["doc_id"]
+def _digests(ids: pa.Array, vocab: bpe.Vocabulary) -> list[pa.Array]:
+    """Length, digest of the ids and digest of the decoded bytes of every row."""
+    packed = [hashlib.sha256(r.values.to_numpy().astype("<u4").tobytes()).hexdigest()
+              for r in ids]
+    back = [hashlib.sha256(raw).hexdigest() for raw in bpe.decode_rows(ids, vocab)]
+    return [pc.list_value_length(ids).cast(pa.int64()), pa.array(packed), pa.array(back)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, raw = b.column("ids"), b.column("decoded")
-            packed = [hashlib.sha256(r.values.to_numpy().astype("<u4").tobytes()).hexdigest()
-                      for r in ids]
-            back = [hashlib.sha256(r.as_buffer()).hexdigest() for r in raw]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()),
-                 pa.array(packed), pa.array(back)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, "
-                                   "ids_sha256 string, decoded_sha256 string")
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Every text encoded and decoded; counts and digests of both."""
+    return bpe.encode_with(docs, ranks_path(), _digests, "n_tokens bigint, "
+                           "ids_sha256 string, decoded_sha256 string")
 
 
 @query("op6_byte_bpe")
 def op6(spark, sf_dir):
     """Every document encoded and decoded, with digests of both."""
-    ranks = ranks_path()
-    return token_digests(bpe.decode(
-        bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+    return token_digests(table(spark, sf_dir, "documents"))
 
 
 @query("op7_license_scan")
