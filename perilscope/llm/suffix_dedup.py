@@ -70,17 +70,23 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = K.Prefix(w.hash, K._WORD_BASE).ranges(at, at + BLOCK)
             off = np.searchsorted(w.row[at], np.arange(rows + 1)).astype(np.int32)
             place = (at - w.first[w.row[at]]).astype(np.int32)
+            # A text that repeats itself has a block many times; it counts once.
+            _, one = np.unique(np.stack([w.row[at].astype(U64), block]), axis=1,
+                               return_index=True)
+            own = np.searchsorted(w.row[at][one], np.arange(rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [s.batch.column(0), s.batch.column(1),
                  pa.array(np.diff(w.first).astype(np.int64)),
                  pa.ListArray.from_arrays(pa.array(off), pa.array(block.view(np.int64))),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(place))],
-                names=["doc_id", "text_hash", "n_words", "blocks", "places"])
+                 pa.ListArray.from_arrays(pa.array(off), pa.array(place)),
+                 pa.ListArray.from_arrays(pa.array(own), pa.array(block[one].view(np.int64)))],
+                names=["doc_id", "text_hash", "n_words", "blocks", "places", "distinct"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every wanted suffix, the hashes of the windows around it: entry l is
-    the window that starts l words to the left (0 where the text ends)."""
+    the window that starts l words to the left (0 where the text ends). Places
+    of one text with equal windows (a text that repeats itself) share a row."""
     for b in batches:
         for s in K.slices(b, "text"):
             w = K.words_of(s.data, s.offsets)
@@ -100,12 +106,22 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             place = (at - w.first[row]).astype(np.int32)
             hot = np.concatenate([np.asarray(x.as_py(), bool)
                                   for x in s.batch.column("hot")]) if len(at) else at > 0
-            off = pa.array(np.arange(0, (len(at) + 1) * SPLITS, SPLITS, dtype=np.int32))
+            key = K.Prefix(out.ravel(), K._WORD_BASE).ranges(
+                np.arange(len(at)) * SPLITS, np.arange(1, len(at) + 1) * SPLITS)
+            o = np.lexsort((place, key, texts))
+            new = np.ones(len(o), bool)
+            new[1:] = (key[o][1:] != key[o][:-1]) | (texts[o][1:] != texts[o][:-1])
+            first = np.flatnonzero(new)
+            one = o[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.view(np.int64)), pa.array(texts), pa.array(place),
-                 pa.array(hot),
-                 pa.ListArray.from_arrays(off, pa.array(out.ravel().view(np.int64)))],
-                names=["block", "text_hash", "place", "hot", "windows"])
+                [pa.array(block[one].view(np.int64)), pa.array(texts[one]),
+                 pa.ListArray.from_arrays(pa.array(np.append(first, len(o)).astype(np.int32)),
+                                          pa.array(place[o])),
+                 pa.array(hot[one]),
+                 pa.ListArray.from_arrays(
+                     pa.array(np.arange(0, (len(one) + 1) * SPLITS, SPLITS, dtype=np.int32)),
+                     pa.array(out[one].ravel().view(np.int64)))],
+                names=["block", "text_hash", "places", "hot", "windows"])
 
 
 def _matched(block: np.ndarray, text: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -125,40 +141,49 @@ def _matched(block: np.ndarray, text: np.ndarray, windows: np.ndarray) -> np.nda
     return hit
 
 
-def _spans(text, place, hit) -> pa.RecordBatch:
+_HIT = "text_hash bigint, places array<int>, near int, far int"
+
+
+def _hits(t: pa.Table) -> pa.RecordBatch | None:
+    """Rows with a match, and their least and greatest left extension."""
+    t = t.combine_chunks()
+    if not t.num_rows:
+        return None
+    windows = t.column("windows").chunk(0).flatten().to_numpy().view(U64)
+    hit = _matched(t.column("block").to_numpy(), t.column("text_hash").to_numpy(),
+                   windows.reshape(-1, SPLITS))
     some = np.flatnonzero(hit.any(axis=1))
-    near = hit[some].argmax(axis=1)                       # least left extension
-    far = SPLITS - 1 - hit[some][:, ::-1].argmax(axis=1)  # greatest
-    start = place[some] - far
+    if not len(some):
+        return None
+    part = t.take(pa.array(some)).combine_chunks()
+    near = hit[some].argmax(axis=1)
+    far = SPLITS - 1 - hit[some][:, ::-1].argmax(axis=1)
     return pa.RecordBatch.from_arrays(
-        [pa.array(text[some]), pa.array(start.astype(np.int32)),
-         pa.array((place[some] - near + MIN_WORDS).astype(np.int32))],
-        names=["text_hash", "start", "end"])
+        [part.column("text_hash").chunk(0), part.column("places").chunk(0),
+         pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32))],
+        names=["text_hash", "places", "near", "far"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the suffixes of whole blocks; rows come sorted by block."""
-    held: list[tuple] = []
-
-    def ready(cols):
-        if len(cols[0]):
-            yield _spans(cols[1], cols[2], _matched(cols[0], cols[1], cols[3]))
-
+    """Matches of the suffixes of whole blocks; rows come sorted by block."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        windows = b.column(3).flatten().to_numpy().view(U64).reshape(-1, SPLITS)
-        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(),
-                b.column(2).to_numpy().astype(np.int64), windows]
-        held.append(cols)
-        if cols[0][0] == cols[0][-1] and sum(len(h[0]) for h in held) < HOT:
+        held.append(b)
+        block = b.column(0).to_numpy()
+        if block[0] == block[-1] and sum(h.num_rows for h in held) < HOT:
             continue
-        cols = [np.concatenate(x) for x in zip(*held)]
-        last = np.searchsorted(cols[0], cols[0][-1])
-        yield from ready([c[:last] for c in cols])
-        held = [[c[last:] for c in cols]]
+        t = pa.Table.from_batches(held)
+        last = int(np.searchsorted(t.column("block").to_numpy(), block[-1]))
+        out = _hits(t.slice(0, last))
+        if out is not None:
+            yield out
+        held = t.slice(last).combine_chunks().to_batches()
     if held:
-        yield from ready([np.concatenate(x) for x in zip(*held)])
+        out = _hits(pa.Table.from_batches(held))
+        if out is not None:
+            yield out
 
 
 def _merge(spans):
@@ -185,12 +210,13 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     id_type = dict(src.dtypes)["doc_id"]
     kept = stage(src.select("doc_id", "text_hash", "text").mapInArrow(
         _suffix_rows, f"doc_id {id_type}, text_hash bigint, n_words bigint, "
-                      "blocks array<bigint>, places array<int>"), "suffixes")
+                      "blocks array<bigint>, places array<int>, distinct array<bigint>"),
+        "suffixes")
     texts = (kept.groupBy("text_hash")
              .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     suffixes = kept.select("text_hash", F.explode(F.arrays_zip("blocks", "places"))
                            .alias("x")).select("text_hash", "x.blocks", "x.places")
-    shared = (suffixes.groupBy(F.col("blocks").alias("block"))
+    shared = (kept.select("text_hash", F.explode("distinct").alias("block")).groupBy("block")
               .agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"),
                    F.count(F.lit(1)).alias("n"))
               .where("a <> b").select("block", (F.col("n") > HOT).alias("hot")))
@@ -205,22 +231,26 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
         src.join(wanted, src["doc_id"].eqNullSafe(wanted["rep"])
                  & (src["text_hash"] == wanted["__h"]))
         .select("text_hash", "places", "hot", "text")
-        .mapInArrow(_context_rows, "block bigint, text_hash bigint, place int, "
+        .mapInArrow(_context_rows, "block bigint, text_hash bigint, places array<int>, "
                                    "hot boolean, windows array<bigint>"), "suffix-contexts")
-    found = (contexts.where("not hot").select("block", "text_hash", "place", "windows")
+    found = (contexts.where("not hot").select("block", "text_hash", "places", "windows")
              .repartition("block").sortWithinPartitions("block")
-             .mapInArrow(_compare, "text_hash bigint, start int, end int"))
+             .mapInArrow(_compare, _HIT))
     # Hot blocks: every window by itself, summed up before the shuffle.
     windows = (contexts.where("hot")
-               .select("text_hash", "place", F.posexplode("windows").alias("left", "window"))
+               .select("text_hash", "places", F.posexplode("windows").alias("left", "window"))
                .where("window <> 0"))
     several = (windows.groupBy("window")
                .agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
                .where("a <> b").select("window"))
     hot = (windows.join(several, "window")
-           .select("text_hash", (F.col("place") - F.col("left")).alias("start"),
-                   (F.col("place") - F.col("left") + MIN_WORDS).alias("end")))
-    spans = (found.unionByName(hot).groupBy(F.col("text_hash").alias("__h"))
+           .select("text_hash", "places", F.col("left").alias("near"),
+                   F.col("left").alias("far")))
+    spans = (found.unionByName(hot)
+             .select("text_hash", "near", "far", F.explode("places").alias("place"))
+             .select("text_hash", (F.col("place") - F.col("far")).alias("start"),
+                     (F.col("place") - F.col("near") + MIN_WORDS).alias("end"))
+             .groupBy(F.col("text_hash").alias("__h"))
              .agg(_merge(F.collect_set(F.struct("start", "end"))).alias("spans")))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
