@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash windows, with DataFrame functions only.
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.
-A document window has the size of an item (in words) and lies where the item
-would lie if one of their common word 5-grams were aligned; windows without a
-common 5-gram have similarity 0 with every item, so nothing else can match.
-Windows with equal words are one *content*.
+A document window has the size of an item (in words) and may start anywhere.
+Similarity 0.8 with an item takes at least 0.8 of the item's word 5-grams, so
+windows are cut at every start where so many of the window's 5-grams are ones
+of items of that size, in any order; no other window can match. Windows with
+equal words are one *content*.
 
 Contents and items get a 64-bit SimHash of their words. Fingerprints are cut
 into ``RADIUS + 1`` blocks; two fingerprints within ``RADIUS`` bits agree in
@@ -92,6 +93,21 @@ def _blocks(fingerprint: Column) -> Column:
     return F.explode(F.array(*parts))
 
 
+def _least(n: Column) -> Column:
+    """Common 5-grams that similarity THRESHOLD with an item of ``n`` words takes."""
+    return F.ceil(F.lit(THRESHOLD) * (n - (SHINGLE - 1))).cast("int")
+
+
+def _starts(places: Column, n: Column) -> Column:
+    """Starts (below 0: clipped) of all windows of ``n`` words that hold at least
+    ``_least(n)`` of the sorted places."""
+    span, least = n - SHINGLE, _least(n)
+    first = F.filter(F.sequence(F.lit(0), F.size(places) - least),
+                     lambda j: F.get(places, j + least - 1) - F.get(places, j) <= span)
+    return F.array_distinct(F.flatten(F.transform(first, lambda j: F.sequence(
+        F.get(places, j + least - 1) - span, F.get(places, j)))))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Contaminated texts: ``doc_id``, ``text_hash``, ``item_ids`` (sorted)."""
     items = stage(
@@ -100,26 +116,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
         .where(F.size("w") >= SHINGLE).distinct()
         .withColumn("n", F.size("w")).withColumn("s", shingles(F.col("w")))
         .withColumn("fp", simhash(F.col("w"))), "decontam-items")
-    keys = stage(items.select("n", F.posexplode("s").alias("j", "shingle")).distinct(),
+    keys = stage(items.select("n", F.explode("s").alias("shingle")).distinct(),
                  "decontam-keys")
     if keys.count() <= BROADCAST_SHINGLES:
         keys = F.broadcast(keys)
-    # Where a 5-gram of an item stands, the item's window is cut.
-    grams = (docs.where(F.col(text).isNotNull())
+    # Only places and 5-grams travel; the words follow once per leaking text.
+    texts = (docs.where(F.col(text).isNotNull())
              .select("doc_id", F.xxhash64(F.col(text)).alias("text_hash"),
-                     word_hashes(F.col(text)).alias("w"))
+                     F.col(text).alias("t")))
+    grams = (texts.select("doc_id", "text_hash", word_hashes(F.col("t")).alias("w"))
              .where(F.size("w") >= SHINGLE)
-             .select("doc_id", "text_hash", "w",
-                     F.posexplode(shingles(F.col("w"))).alias("i", "shingle")))
-    begin = F.greatest(F.col("i") - F.col("j"), F.lit(0))
-    length = F.col("n") + F.least(F.col("i") - F.col("j"), F.lit(0))
-    cut = (grams.join(keys, "shingle")
-           .select("doc_id", "text_hash", "n", begin.alias("at"),
-                   F.slice("w", begin + 1, length).alias("w"))
-           .where(F.size("w") >= SHINGLE))
-    windows = stage(cut.groupBy("doc_id", "text_hash", "n", "at")
-                    .agg(F.first("w").alias("w"))
-                    .withColumn("content", F.xxhash64("n", "w")), "decontam-windows")
+             .select("doc_id", "text_hash", F.posexplode(shingles(F.col("w")))
+                     .alias("i", "shingle")))
+    hits = (grams.join(keys, "shingle").groupBy("doc_id", "text_hash", "n")
+            .agg(F.sort_array(F.collect_set("i")).alias("p"))
+            .where(F.size("p") >= _least(F.col("n"))))
+    starts = stage(hits.withColumn("at", _starts(F.col("p"), F.col("n"))).drop("p")
+                   .where(F.size("at") > 0), "decontam-starts")
+    leaky = starts.select("text_hash").distinct()
+    if leaky.count() <= BROADCAST_SHINGLES:
+        leaky = F.broadcast(leaky)
+    words = (texts.join(leaky, "text_hash", "left_semi")
+             .dropDuplicates(["doc_id", "text_hash"])
+             .select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"),
+                     word_hashes(F.col("t")).alias("w")))
+    cut = (starts.join(words, F.col("doc_id").eqNullSafe(F.col("d"))
+                       & (F.col("text_hash") == F.col("h")))
+           .select("doc_id", "text_hash", "n", "w", F.explode("at").alias("at"))
+           .select("doc_id", "text_hash", "n",
+                   F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1,
+                           F.col("n") + F.least(F.col("at"), F.lit(0))).alias("w")))
+    windows = stage(cut.withColumn("content", F.xxhash64("n", "w")), "decontam-windows")
     contents = (windows.groupBy("content", "n").agg(F.first("w").alias("w"))
                 .withColumn("fp", simhash(F.col("w"))))
     contents = stage(contents, "decontam-contents")

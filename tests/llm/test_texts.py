@@ -298,6 +298,27 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.decontaminate(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_with_swapped_parts_equal_brute_force(spark):
+    """The item's 5-grams stand at other offsets than in the item."""
+    rng = random.Random(12)
+    items = [(i, H.prose(rng, 40 + 5 * i, 300)) for i in range(8)]
+    docs = []
+    for _, text in items:
+        w = text.split()
+        for cut in (len(w) // 2, len(w) // 3):
+            docs.append(" ".join([H.prose(rng, 30, 300), *w[cut:], *w[:cut],
+                                  H.prose(rng, 20, 300)]))
+        docs += [" ".join(w[k:] + w[:k]) for k in (7, len(w) // 2)]
+        docs += [" ".join(w[k:]) + " " + H.prose(rng, 9, 300) for k in (2, 4, 6)]
+    docs = list(enumerate(docs))
+    want = brute_leaks(docs, items)
+    assert len(want) >= 24
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontam.decontaminate(df, bench).collect()}
+    assert got == want
+
+
 def test_large_benchmarks_take_the_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", 0)
     item = H.prose(random.Random(1), 40, 300)
