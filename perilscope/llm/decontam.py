@@ -10,13 +10,13 @@ equal words are one *content*.
 Contents and items get a 64-bit SimHash of their words. Fingerprints are cut
 into ``RADIUS + 1`` blocks; two fingerprints within ``RADIUS`` bits agree in
 at least one block, so joining on (size, block number, block value) finds
-every pair within the radius. Each found pair is then compared exactly: the
-Jaccard similarity of the two bags of 5-grams, sum of minimum counts over sum
-of maximum counts, at or above ``THRESHOLD``.
-
-One changed word in 40 moves a fingerprint by 4.6 bits on average, and at
-similarity 0.8 hardly more than one word in 45 differs, so a radius of 11
-passes such pairs (3 standard deviations).
+every pair within the radius. A changed run at the start or end of an item
+can move a fingerprint further (about 10% of the words may differ, 9 bits on
+average, deviation 2.8), so pairs are also found in an exact way: a window of
+similarity ``THRESHOLD`` misses at most a fifth of the item's 5-grams and so
+has one of the item's rarest fifth and one more. Each pair that either finds
+is then compared exactly: the Jaccard similarity of the two bags of 5-grams,
+sum of minimum counts over sum of maximum counts, at or above ``THRESHOLD``.
 
 Defined results: null texts and items, and items of fewer than 5 words, match
 nothing; a window is clipped at the ends of its document; repeated documents
@@ -108,6 +108,18 @@ def _starts(places: Column, n: Column) -> Column:
         F.get(places, j + least - 1) - span, F.get(places, j)))))
 
 
+def _rarest(items: DataFrame) -> DataFrame:
+    """The 5-grams of each item that the fewest items of its size have, one more
+    than a window of similarity THRESHOLD can miss: it has at least one of them."""
+    own = items.select("item_id", "n", F.explode(F.array_distinct("s")).alias("shingle"))
+    known = own.groupBy("n", "shingle").agg(F.count(F.lit(1)).alias("owners"))
+    each = (own.join(known, ["n", "shingle"]).groupBy("item_id", "n")
+            .agg(F.sort_array(F.collect_set(F.struct("owners", "shingle"))).alias("by")))
+    spare = F.col("n") - (SHINGLE - 1) - _least(F.col("n"))
+    return (each.select("item_id", "n", F.explode(F.slice("by", F.lit(1), spare + 1)).alias("x"))
+            .select("item_id", "n", "x.shingle"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Contaminated texts: ``doc_id``, ``text_hash``, ``item_ids`` (sorted)."""
     items = stage(
@@ -157,14 +169,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
                   .select("item_id", "n", "item_fp", "b.block", "b.value"),
                   ["n", "block", "value"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-            .select("content", "n", "item_id").distinct())
+            .select("content", "n", "item_id"))
+    bags = stage(contents.select("content", "n", F.explode(shingles(F.col("w"))).alias("shingle"))
+                 .groupBy("content", "n", "shingle").agg(F.count(F.lit(1)).alias("c")),
+                 "decontam-bags")
+    # The exact way, for pairs whose fingerprints lie further apart.
+    shared = bags.join(_rarest(items), ["n", "shingle"]).select("content", "n", "item_id")
+    near = stage(near.union(shared).distinct(), "decontam-pairs")
     # Exact comparison of bags: the maxima follow from the sizes and the minima.
-    # Only windows that a fingerprint has found are taken apart.
-    have = (near.join(contents.select("content", "n", "w"), ["content", "n"])
-            .select("content", "n", "item_id",
-                    F.explode(shingles(F.col("w"))).alias("shingle"))
-            .groupBy("content", "n", "item_id", "shingle")
-            .agg(F.count(F.lit(1)).alias("c")))
+    have = near.join(bags, ["content", "n"])
     want = (items.select("item_id", F.explode("s").alias("shingle"))
             .groupBy("item_id", "shingle").agg(F.count(F.lit(1)).alias("k")))
     sizes = (near.join(contents.select("content", "n", F.size("w").alias("len")),

@@ -319,6 +319,26 @@ def test_leaks_with_swapped_parts_equal_brute_force(spark):
     assert got == want
 
 
+def test_leaks_beyond_the_radius_are_found(spark):
+    """Items with the longest head or tail replaced that keeps similarity 0.8."""
+    rng = random.Random(13)
+    items = [(i, H.prose(rng, 50, 5000)) for i in range(80)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        other = H.prose(rng, 5, 5000).split()
+        docs += [(2 * i, " ".join(other + w[5:])), (2 * i + 1, " ".join(w[:-5] + other))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    prints = [{r[0]: r[1] for r in d.select(d.columns[0], decontam.simhash(
+        decontam.word_hashes(F.col("text")))).collect()} for d in (df, bench)]
+    far = [d for d, f in prints[0].items()
+           if ((f ^ prints[1][d // 2]) & (1 << 64) - 1).bit_count() > decontam.RADIUS]
+    assert far
+    got = {r.doc_id: list(r.item_ids) for r in decontam.decontaminate(df, bench).collect()}
+    assert got == {d: [d // 2] for d, _ in docs}
+
+
 def test_large_benchmarks_take_the_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", 0)
     item = H.prose(random.Random(1), 40, 300)
