@@ -13,7 +13,8 @@ Everything is a column expression on the row, so nothing is shuffled. Texts
 without any cue word, which every known sentence has, skip the work.
 
 Defined results: null and empty texts have no licences; a licence named twice
-is listed twice; repeated rows are scanned each; extra columns are ignored.
+is listed twice; each known value of an SPDX line is a licence, any other one
+is unmatched; repeated rows are scanned each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,11 +69,30 @@ SENTENCES = {
     "spdx": "spdx license identifier",
     "reserved": "all rights reserved",
 }
+# Licences whose SPDX values are known; a line becomes one sentence
+# a value (see spdx_lines), "-only", "-or-later" and "+" left out.
+SPDX = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0",
+        "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0",
+        "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+        "CC-BY-ND-4.0", "CC-BY-4.0"]
+SENTENCES |= {f"spdx {x}": f"spdx license identifier {x.lower().replace('-', ' ')} spdx"
+              for x in SPDX}
 # A sentence that names the version is not also the unversioned name.
-INCLUDED = {"gpl-name": ["gpl3-name", "gpl2-name"]}
+INCLUDED = {"gpl-name": ["gpl3-name", "gpl2-name"], "spdx": [f"spdx {x}" for x in SPDX]}
+
+# GNU notices: the version stands before the name, or after it when a ";" cuts
+# the sentence; the whole notice goes on with the warranty and the name again.
+GNU = [(licence, ["gpl-free", *order, *["gpl-hope"][:rest], *[name] * (rest - 1)])
+       for rest in (3, 2, 1, 0)
+       for licence, version, name in (("GPL-3.0", "gpl-v3", "gpl-name"),
+                                      ("GPL-2.0", "gpl-v2", "gpl-name"),
+                                      ("LGPL-3.0", "gpl-v3", "lgpl-name"),
+                                      ("AGPL-3.0", "gpl-v3", "agpl-name"))
+       for order in ([version, name], [name, version])]
 
 # Ordered rules, licence -> identifiers in order.
 RULES = [
+    *((x, [f"spdx {x}"]) for x in SPDX),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-asis"]),
     ("Apache-2.0", ["apache2-name", "apache2-use", "apache2-copy", "apache2-asis",
@@ -81,10 +101,7 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-asis", "mit-liable"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("ISC", ["isc-grant"]),
-    ("GPL-3.0", ["gpl-free", "gpl-v3", "gpl-name"]),
-    ("GPL-2.0", ["gpl-free", "gpl-v2", "gpl-name"]),
-    ("LGPL-3.0", ["gpl-free", "gpl-v3", "lgpl-name"]),
-    ("AGPL-3.0", ["gpl-free", "gpl-v3", "agpl-name"]),
+    *GNU,
     ("Unlicense", ["unlicense-free"]),
     ("LGPL", ["lgpl-name"]),
     ("AGPL", ["agpl-name"]),
@@ -109,6 +126,11 @@ RULES = [
 CUE = "(?i)" + "|".join(c.replace(" ", r"[^A-Za-z0-9]+") for c in CUES)
 # A sentence ends at a mark before white space, or at a blank line.
 SENTENCE_END = r"[.!?;:]+(?=\s|$)|\n\s*\n"
+# "SPDX-License-Identifier:" and its values, which AND and OR connect; the
+# exceptions after WITH are not licences.
+SPDX_LINE = (r"(?i)(?:\bspdx[^A-Za-z0-9]+license[^A-Za-z0-9]+identifier[ \t]*:[ \t]*|(?!^)\G)"
+             r"\(*([A-Za-z0-9][A-Za-z0-9.+-]*?)(?:-only|-or-later|\+)?(?![A-Za-z0-9+-]|\.[A-Za-z0-9])"
+             r"\)*(?:[ \t]+(?-i:WITH)[ \t]+[A-Za-z0-9.-]+\)*)?(?:[ \t]+(?-i:AND|OR)[ \t]+)?")
 
 
 def normalise(sentence: Column) -> Column:
@@ -119,23 +141,29 @@ def normalise(sentence: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.translate(plain, "\u0001", ".")), F.lit(" "))
 
 
+def spdx_lines(text: Column) -> Column:
+    """Every value of an SPDX line as a sentence of its own."""
+    return F.when(text.rlike("(?i)spdx"), F.regexp_replace(
+        text, SPDX_LINE, "\n\nSPDX-License-Identifier $1 SPDX\n\n")).otherwise(text)
+
+
 def identifiers(text: Column) -> Column:
     """Numbers of the known sentences in order, -1 for every other sentence."""
     number = {name: k for k, name in enumerate(SENTENCES)}
 
-    def one(sentence: Column) -> Column:
+    def one(sentence: Column, spdx: bool) -> Column:
         has = {name: F.contains(normalise(sentence), F.lit(f" {phrase} "))
-               for name, phrase in SENTENCES.items()}
+               for name, phrase in SENTENCES.items() if spdx or not name.startswith("spdx")}
         for name, over in INCLUDED.items():
-            for x in over:
+            for x in over if name in has else []:
                 has[name] = has[name] & ~has[x]
         found = F.array_compact(F.array(*[F.when(h, number[n]) for n, h in has.items()]))
         return F.when(F.size(found) == 0, F.array(F.lit(-1))).otherwise(found)
 
     # Sentences without a cue cannot be known ones.
     other = F.array(F.lit(-1))
-    return F.flatten(F.transform(F.split(text, SENTENCE_END), lambda s: F.when(
-        s.rlike(CUE), one(s)).otherwise(other)))
+    return F.flatten(F.transform(F.split(spdx_lines(text), SENTENCE_END), lambda s: F.when(
+        s.rlike("(?i)spdx"), one(s, True)).when(s.rlike(CUE), one(s, False)).otherwise(other)))
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -182,6 +182,47 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0), ["doc_id"]).count() == 0
 
 
+def notice(name, version, mark):
+    """The standard notice of a GNU licence."""
+    return f"""This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation{mark} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details.
+
+You should have received a copy of the GNU {name}
+along with this program; if not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_gnu_notices_and_spdx_lines(spark):
+    gnu = [("General Public License", 2, "GPL-2.0"), ("General Public License", 3, "GPL-3.0"),
+           ("Lesser General Public License", 3, "LGPL-3.0"),
+           ("Affero General Public License", 3, "AGPL-3.0")]
+    rows = [(text, licence, 0) for name, version, licence in gnu for mark in ";,"
+            for whole in [notice(name, version, mark)]
+            for text in (whole, whole.split("\n\n")[0])]
+    line = "SPDX-License-Identifier: "
+    rows += [
+        (line + "MIT", "MIT", 0), (f"// {line}MIT\n#include <x.h>\nint mit;", "MIT", 0),
+        (f"/* {line}GPL-2.0-only */ int a;", "GPL-2.0", 0), (line + "GPL-3.0+.", "GPL-3.0", 0),
+        (f"# {line}(Apache-2.0 OR MIT) AND BSD-3-Clause\nimport x",
+         "Apache-2.0,MIT,BSD-3-Clause", 0),
+        (f"# {line}LGPL-3.0-or-later\n# {line}CC-BY-NC-4.0\n", "LGPL-3.0,CC-BY-NC-4.0", 0),
+        (line + "GPL-2.0 WITH Classpath-exception-2.0 OR ISC and more", "GPL-2.0,ISC", 0),
+        (line + "BSD-3-Clause-Clear", "", 1), (line + "Other-1.0", "", 1),
+        ("MIT is not named by spdx here", "", 0),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)],
+                               "doc_id bigint, text string")
+    got = {r.doc_id: (",".join(r.licenses), r.n_unmatched)
+           for r in license_scan.scan(df, ["doc_id"]).collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
 def test_every_known_sentence_has_a_cue():
     cue = re.compile(license_scan.CUE)
     assert all(cue.search(p) for p in license_scan.SENTENCES.values())
