@@ -1222,11 +1222,6 @@ def q_read_or_build(spark, sf_dir):
 # =============================================================================
 
 Q = QUARTER
-# Draws per learner in the registered bake-offs. Boosting runs one job per
-# iteration, so the full bake-off (M.BAKEOFF_DRAWS: 20, 20 and 50 draws) is
-# left to M.bakeoff's default; the README gives figures. The forecast's search
-# is registered in full.
-BAKEOFF_DRAWS = 2
 
 
 def _model_frames(spark, sf_dir):
@@ -1367,21 +1362,31 @@ def q_search_scores(spark, sf_dir):
     return M.search_scores(spark, cvm, draws)
 
 
+_BAKEOFFS: dict = {}
+
+
+def _bakeoff(spark, sf_dir, with_lag, *args, **options):
+    """A bake-off with all its draws, which runs once per application, input
+    folder and feature set."""
+    key = (spark.sparkContext.applicationId, sf_dir, with_lag)
+    if key not in _BAKEOFFS:
+        train, test = _bakeoff_frames(spark, sf_dir, with_lag)
+        _BAKEOFFS[key] = M.bakeoff(spark, train, test, *args, **options)
+    return _BAKEOFFS[key]
+
+
 @query("bakeoff")
 def q_bakeoff(spark, sf_dir):
     """C17 / M8: forest vs boosting vs histogram-style boosting on the
     continuous feature set; CV R², test R², test RMSE."""
-    train, test = _bakeoff_frames(spark, sf_dir, with_lag=False)
-    return M.bakeoff(spark, train, test, FEATURES_CONTINUOUS, n_iter=BAKEOFF_DRAWS)
+    return _bakeoff(spark, sf_dir, False, FEATURES_CONTINUOUS)
 
 
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
     """M8 / C17 on the binned feature set (with the within-split lag):
     forest vs boosting, best test R² first."""
-    train, test = _bakeoff_frames(spark, sf_dir, with_lag=True)
-    return M.bakeoff(spark, train, test, FEATURES_BINNED,
-                     models=("forest", "boosted"), n_iter=BAKEOFF_DRAWS)
+    return _bakeoff(spark, sf_dir, True, FEATURES_BINNED, models=("forest", "boosted"))
 
 
 # =============================================================================

@@ -1,5 +1,7 @@
 """Model operators: rows-only in the oracle, so properties here."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,22 @@ def test_draw_grid_is_seeded_subset():
     grid = {"a": [1, 2, 3], "b": ["x", "y"]}
     d1, d2 = M.draw_grid(grid, 3, 42), M.draw_grid(grid, 3, 42)
     assert d1 == d2 and len(d1) == 3 and all(d in M.draw_grid(grid, 99) for d in d1)
+
+
+def test_registered_bakeoffs_try_all_draws(spark, monkeypatch):
+    """The queries leave the draws at the default of 20, 20 and 50."""
+    from perilscope import queries as Qs
+    tried, full = [], M.bakeoff
+
+    def record(*args, **options):
+        call = inspect.signature(full).bind(*args, **options)
+        call.apply_defaults()
+        tried.append({m: call.arguments["n_iter"][m] for m in call.arguments["models"]})
+        return len(tried)
+    monkeypatch.setattr(M, "bakeoff", record)
+    monkeypatch.setattr(Qs, "_bakeoff_frames", lambda *a, **k: (None, None))
+    monkeypatch.setattr(Qs, "_BAKEOFFS", {}, raising=False)
+    for _ in range(2):
+        assert (Qs.q_bakeoff(spark, "d"), Qs.q_model_comparison(spark, "d")) == (1, 2)
+    assert tried == [{"forest": 20, "boosted": 20, "boosted_hist": 50},
+                     {"forest": 20, "boosted": 20}]
