@@ -388,6 +388,27 @@ def test_large_benchmarks_take_the_shuffle_join(spark, monkeypatch):
     assert [tuple(r[0::2]) for r in decontam.decontaminate(df, bench).collect()] == [(1, [9])]
 
 
+def test_shuffled_five_grams_travel_without_the_words(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", 0)
+    rng = random.Random(3)
+    item = H.prose(rng, 40, 300)
+    text = " ".join([H.prose(rng, 1500, 300), item, H.prose(rng, 1500, 300), item])
+    df = spark.createDataFrame([(1, text), (2, H.prose(rng, 3000, 300)), (None, text)],
+                               "doc_id bigint, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id bigint, text string")
+    kind, sent = type(df), []
+    join = kind.join
+
+    def record(self, other, on=None, how=None):
+        if isinstance(on, str) and on == "shingle":
+            sent.append(self.columns)
+        return join(self, other, on, how)
+    monkeypatch.setattr(kind, "join", record)
+    got = [(r.doc_id, list(r.item_ids)) for r in decontam.decontaminate(df, bench).collect()]
+    assert sorted(got, key=str) == [(1, [9]), (None, [9])]
+    assert sent == [["doc_id", "text_hash", "i", "shingle"]]
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     """Any RADIUS changed bits leave one block whole."""
     rng = random.Random(6)
