@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat_format, decontam, jaccard_join, license_scan, quality_cnn,
-               quality_rules, secret_scan, suffix_dedup, warc)
+from . import (bpe, chat_format, decontam, hard_negatives, jaccard_join, license_scan,
+               quality_cnn, quality_rules, secret_scan, suffix_dedup, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +181,14 @@ def op10(spark, sf_dir):
         "doc_id", F.size("leaked_items").cast("bigint").alias("n_items"),
         F.col("leaked_items").alias("item_ids"),
         (F.size("leaked_items") > 0).alias("contaminated"))
+
+
+@query("op11_hard_negatives")
+def op11(spark, sf_dir):
+    """Hard negatives of every 50th vector, against all vectors; every seventh
+    label is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.usable(rows, "vec_id", "embedding", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
