@@ -166,3 +166,28 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
   AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
 QUALIFY rank <= 3
 """
+
+ORACLE["op13_embedding_join"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+), ok AS (
+  SELECT rid, e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.95
+), reach AS (
+  SELECT rid, rid AS other FROM v
+  UNION
+  SELECT r.rid, l.b FROM reach r JOIN link l ON l.a = r.other
+), low AS (
+  SELECT r.rid, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rid = r.other GROUP BY r.rid
+), n AS (
+  SELECT a AS rid, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id,
+       v.vec_id IS NOT DISTINCT FROM low.component_id AS kept
+FROM v JOIN low USING (rid) LEFT JOIN n USING (rid)
+"""

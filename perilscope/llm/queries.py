@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat_format, decontam, hard_negatives, jaccard_join, license_scan,
-               quality_cnn, quality_rules, secret_scan, suffix_dedup, warc)
+from . import (bpe, chat_format, decontam, embedding_join, hard_negatives, jaccard_join,
+               license_scan, quality_cnn, quality_rules, secret_scan, suffix_dedup, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,3 +192,9 @@ def op11(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     rows = hard_negatives.usable(rows, "vec_id", "embedding", label)
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_embedding_join")
+def op13(spark, sf_dir):
+    """Links and components of all vectors with cosine 0.95 or more."""
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
