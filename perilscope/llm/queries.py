@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat_format, decontam, embedding_join, hard_negatives, jaccard_join,
-               license_scan, quality_cnn, quality_rules, secret_scan, suffix_dedup, warc)
+from . import (bpe, chat_format, conversation_repair, decontam, embedding_join,
+               hard_negatives, jaccard_join, license_scan, quality_cnn, quality_rules,
+               secret_scan, suffix_dedup, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,6 +195,13 @@ def op11(spark, sf_dir):
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    """A damaged copy of all conversations, and its cheapest repair."""
+    chats = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(chats), chats)
+
+
 @query("op13_embedding_join")
 def op13(spark, sf_dir):
     """Links and components of all vectors with cosine 0.95 or more."""
