@@ -101,7 +101,7 @@ FEATURES_CONTINUOUS = [
 ]
 TARGET = "impact_rebased_next"
 
-# Search spaces of the forecast and the model bake-off.
+# Search spaces of the forecast and the model bake-off (fixed values).
 GRID_FOREST_FORECAST = {
     "n_estimators": [200, 300],
     "max_depth": [5, 10, 15, None],
@@ -124,6 +124,8 @@ GRID_BOOSTED_HIST = {
     "subsample": [0.6, 0.8, 1.0],
     "colsample_bytree": [0.6, 0.8, 1.0],
     "gamma": [0, 0.1, 0.2],
+    "reg_alpha": [0, 0.1, 0.5],
+    "reg_lambda": [1, 1.5, 2],
 }
 SEED = 42
 

@@ -2,9 +2,11 @@
 the hazard merge (J3).
 
 J3 in the reference is a chain of three full outer joins on
-``(country, period)``. Because each input is unique per key, the same
-result comes from one union of long rows and one pivot with an explicit
-value list: a single shuffle instead of three, and no join-order question.
+``(country, period)``. The same result comes from one union of long rows and
+one pivot with an explicit value list: a single shuffle instead of three, and
+no join-order question. The pivot counts the rows of each cell: a key that a
+hazard holds more than once is an error, or, when asked for, gives one row per
+combination, as the joins would.
 """
 
 from __future__ import annotations
@@ -37,32 +39,49 @@ def dict_to_rows(df: DataFrame, ids: Sequence[str], named: dict[str, str],
 
 def merge_long(long: DataFrame, keys: Sequence[str], hazard: str,
                hazards: Sequence[str], values: dict[str, str],
-               spelling: dict[str, str] | None = None) -> DataFrame:
+               spelling: dict[str, str] | None = None,
+               repeats: str = "raise") -> DataFrame:
     """Long ``(keys, hazard, value...)`` rows → one wide row per key.
 
     ``values`` maps a value column → output name pattern with ``{h}`` for
-    the hazard name (``spelling`` may rename a hazard in output names).
-    Inputs must be unique per ``(keys, hazard)``; the pivot keeps a key when
-    any hazard has a row, as the outer chain does.
+    the hazard name (``spelling`` may rename a hazard in output names). The
+    pivot keeps a key when any hazard has a row, as the outer chain does; rows
+    of a null key belong together.
+
+    ``repeats`` says what happens to a key with several rows of one hazard:
+    ``"raise"`` fails when the row is computed (the count of each cell is part
+    of the same aggregate), ``"multiply"`` returns a row for every combination
+    of the hazards' rows, which is what the chain of joins returns.
     """
     spelling = spelling or {}
     names = list(hazards)
-    aggs = [F.max(v).alias(v) for v in values]
-    wide = long.groupBy(*keys).pivot(hazard, names).agg(*aggs)
-    out = []
-    for h in names:
-        for v, pattern in values.items():
-            src = h if len(values) == 1 else f"{h}_{v}"
-            out.append(F.col(f"`{src}`").alias(
-                pattern.format(h=spelling.get(h, h))))
-    return wide.select(*keys, *out)
+    label = lambda h, v: values[v].format(h=spelling.get(h, h))
+    cells = long.groupBy(*keys).pivot(hazard, names)
+    if repeats == "multiply":
+        wide = cells.agg(F.collect_list(F.struct(*values)).alias("_rows"),
+                         F.lit(0).alias("_pad"))
+        for h in names:
+            wide = wide.withColumn(h, F.explode_outer(f"`{h}__rows`"))
+        return wide.select(*keys, *[F.col(f"`{h}`.`{v}`").alias(label(h, v))
+                                    for h in names for v in values])
+    if repeats != "raise":
+        raise ValueError(f"repeats must be 'raise' or 'multiply', not {repeats!r}")
+    wide = cells.agg(*[F.max(v).alias(v) for v in values], F.count(F.lit(1)).alias("_rows"))
+
+    def once(h: str, v: str):
+        key = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+        return F.when(F.col(f"`{h}__rows`") > 1, F.raise_error(F.concat(
+            F.lit(f"more than one row of {h} for "), key))).otherwise(F.col(f"`{h}_{v}`"))
+
+    return wide.select(*keys, *[once(h, v).alias(label(h, v)) for h in names for v in values])
 
 
 def merge_hazards(frames: dict[str, DataFrame], keys: Sequence[str],
-                  values: dict[str, str]) -> DataFrame:
+                  values: dict[str, str], repeats: str = "raise") -> DataFrame:
     """J3 for per-hazard frames (the reference's shape): tag each frame with
-    its hazard, union, pivot. ``values`` as in :func:`merge_long`, and each
-    frame carries its value columns under the plain names."""
+    its hazard, union, pivot. ``values`` and ``repeats`` as in
+    :func:`merge_long`, and each frame carries its value columns under the plain
+    names."""
     long = union_rows([f.select(*keys, *values, F.lit(h).alias("_hazard"))
                        for h, f in frames.items()])
-    return merge_long(long, keys, "_hazard", list(frames), values)
+    return merge_long(long, keys, "_hazard", list(frames), values, repeats=repeats)

@@ -34,19 +34,48 @@ def population_scale(var: Column, mean: Column, n: Column) -> Column:
     return F.when(constant, F.lit(1.0)).otherwise(F.sqrt(var))
 
 
-def zscore(df: DataFrame, cols: dict[str, str],
-           group: Sequence[str] = ()) -> DataFrame:
+def moments(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Per group and column ``c`` a struct ``c`` of count, mean and ``m2`` (sum of
+    squared deviations), which :func:`merge_moments` adds up."""
+    return df.groupBy(*group).agg(*[F.struct(
+        F.count(c).alias("n"), F.avg(c).alias("mean"),
+        (F.var_pop(c) * F.count(c)).alias("m2")).alias(c) for c in cols])
+
+
+def merge_moments(parts: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Moments of all rows from the moments of disjoint parts, by the pairwise
+    update (no sums of squares that cancel). A group should have few parts: one
+    per arrival or period, never one per row."""
+    def join(a, p):
+        n = a["n"] + p["n"]
+        gap = p["mean"] - a["mean"]
+        some = F.struct(n.alias("n"), (a["mean"] + gap * p["n"] / n).alias("mean"),
+                        (a["m2"] + p["m2"] + gap * gap * a["n"] * p["n"] / n).alias("m2"))
+        return F.when(p["n"] == 0, a).when(a["n"] == 0, p).otherwise(some)
+
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean"),
+                    F.lit(None).cast("double").alias("m2"))
+    return parts.groupBy(*group).agg(*[
+        F.aggregate(F.sort_array(F.collect_list(c)), none, join).alias(c) for c in cols])
+
+
+def zscore(df: DataFrame, cols: dict[str, str], group: Sequence[str] = (),
+           fitted: DataFrame | None = None) -> DataFrame:
     """Z-score fit on all rows (within ``group``) with the population
     std; missing values are ignored by the fit and stay missing.
 
-    ``cols`` maps input column → output column.
+    ``cols`` maps input column → output column; ``fitted`` are :func:`moments`
+    kept from before, instead of a pass over the rows.
     """
     group = list(group)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"_m{i}"), F.var_pop(c).alias(f"_v{i}"),
-                 F.count(c).alias(f"_n{i}")]
-    stats = df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
+    if fitted is not None:
+        stats = fitted.select(*group, *[x for i, c in enumerate(cols) for x in (
+            F.col(c)["mean"].alias(f"_m{i}"), F.try_divide(F.col(c)["m2"], F.col(c)["n"]).alias(f"_v{i}"),
+            F.col(c)["n"].alias(f"_n{i}"))])
+    else:
+        stats = df.groupBy(*group).agg(*[x for i, c in enumerate(cols) for x in (
+            F.avg(c).alias(f"_m{i}"), F.var_pop(c).alias(f"_v{i}"),
+            F.count(c).alias(f"_n{i}"))])
     stats = stats.select(*group, *[
         x for i in range(len(cols)) for x in (
             F.col(f"_m{i}"),

@@ -3,25 +3,19 @@
 The reference shifts and rolls over *rows* ordered by period within each
 entity. A plain ``Window.partitionBy(entity)`` sends an entity's whole
 history to one task, so one entity holding a third of the rows would
-become one task. Here the series is cut into chunks of ``chunk_periods``
-consecutive period numbers (at most that many rows per chunk, since
-``(entity, period)`` is unique), and each chunk receives a *halo*: the
-``lookback`` rows just before it and the ``lookahead`` rows just after it,
-wherever they sit. All windows then run on ``(entity, chunk)`` partitions
-and only the chunk's own rows are kept.
-
-The halo is found on a small edge table (each chunk's first/last few rows,
-about ``(lookback + lookahead) / chunk_periods`` of the data): in that
-table, a row belongs to the halo of chunk c exactly when c's first row is
-among its next ``lookback`` edge rows (or c's last row among its previous
-``lookahead``), because every chunk shorter than the lookback is wholly in
-the edge table.
-
-Sizing: a chunk task holds at most ``chunk_periods`` rows, and one entity's
-edge rows are about ``(lookback + 1) * length / chunk_periods``. Setting
-``chunk_periods`` near the square root of the longest series bounds both
-(e.g. ~170k for a 3·10¹⁰-row series); the default suits yearly to
-minute-level grains of ordinary length.
+become one task. Here the rows are range-partitioned on ``(entity, period)``:
+an entity's history spreads over as many partitions as its size asks for,
+and every partition is one stretch of the sorted rows. The windows run on
+``(entity, partition)``; what they miss are the rows just beyond the
+partition's two ends. Those are exchanged at the boundaries: the last
+``lookback`` and first ``lookahead`` rows of every partition form a small
+table (a few rows per partition, whatever the data), in which each row finds
+the partitions that it borders on, and is handed to them as a *halo* row. Halo
+rows take part in the windows and are left out of the result.
+
+A partition shorter than the lookback is wholly in that table, so a halo may
+reach over several partitions. Rows of other entities in a halo do no harm:
+the windows are keyed by the entity as well.
 """
 
 from __future__ import annotations
@@ -31,59 +25,68 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_PERIODS = 1024
+from ..session import stage
 
 
 def _keys(entity: str | Sequence[str]) -> list[str]:
     return [entity] if isinstance(entity, str) else list(entity)
 
 
+def _handed_on(ends: DataFrame, cols: list[str], rows: int, back: bool) -> DataFrame:
+    """Rows of ``ends`` beside each partition within ``rows`` rows of them:
+    later partitions whose first row is near (``back``), or earlier ones whose
+    last row is. The window has no key; its rows are a few per partition."""
+    w = Window.orderBy("_k")
+    step = F.lead if back else F.lag
+    edge = "_p0" if back else "_p1"
+    targets = []
+    for j in range(1, rows + 1):
+        there = step(F.struct("_part", "_k", edge), j).over(w)
+        targets.append(F.when((there["_k"] == there[edge])
+                              & (there["_part"] != F.col("_part")), there["_part"]))
+    return (ends.select(*cols, F.array_compact(F.array(*targets)).alias("_to"))
+            .select(*cols, F.explode("_to").alias("_part")))
+
+
 def with_series_columns(df: DataFrame, entity: str | Sequence[str],
                         period: str,
                         columns: Callable[[WindowSpec], dict[str, Column]],
                         lookback: int = 4, lookahead: int = 1,
-                        chunk_periods: int = DEFAULT_CHUNK_PERIODS) -> DataFrame:
+                        partitions: int | None = None) -> DataFrame:
     """Add window columns computed over each entity's rows ordered by period.
 
     ``columns(w)`` returns ``{name: expression}`` built on the window spec
     ``w``; frames may reach at most ``lookback`` rows back and ``lookahead``
-    rows forward.
+    rows forward. ``(entity, period)`` must identify a row. Without
+    ``partitions`` Spark sizes the ranges. The sorted layout is written once
+    to the shared folder, so both its uses see the same boundaries.
     """
     ents = _keys(entity)
     cols = df.columns
-    base = df.withColumn("_chunk", F.floor(F.col(period) / F.lit(chunk_periods)))
-    # One window spec (same partition and order) for both columns, so one
-    # sort serves the row number and the chunk size.
-    wc = Window.partitionBy(*ents, "_chunk").orderBy(period)
-    whole = wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pos = (base.withColumn("_rn", F.row_number().over(wc))
-           .withColumn("_rd", F.count(F.lit(1)).over(whole) - F.col("_rn") + 1))
-    # A chunk's first and last row are always edges: they are the marks by
-    # which the halo of a neighbouring chunk is recognised.
-    edges = pos.where((F.col("_rd") <= max(lookback, 1))
-                      | (F.col("_rn") <= max(lookahead, 1)))
-    wu = Window.partitionBy(*ents).orderBy(period)
-    targets = []
-    for j in range(1, lookback + 1):
-        nxt = F.lead("_chunk", j).over(wu)
-        targets.append(F.when((F.lead("_rn", j).over(wu) == 1)
-                              & (nxt != F.col("_chunk")), nxt))
-    for j in range(1, lookahead + 1):
-        prv = F.lag("_chunk", j).over(wu)
-        targets.append(F.when((F.lag("_rd", j).over(wu) == 1)
-                              & (prv != F.col("_chunk")), prv))
-    if targets:
-        tagged = edges.select(*cols, F.array_distinct(F.array_compact(
-            F.array(*targets))).alias("_targets"))
-        halo = (tagged.select(*cols, F.explode("_targets").alias("_chunk"))
-                .withColumn("_own", F.lit(False)))
-        ext = base.withColumn("_own", F.lit(True)).unionByName(halo)
-    else:
-        ext = base.withColumn("_own", F.lit(True))
-    w = Window.partitionBy(*ents, "_chunk").orderBy(period)
+    order = [*ents, period]
+    spread = (df.repartitionByRange(partitions, *order) if partitions
+              else df.repartitionByRange(*order))
+    # Ids of a partition are consecutive in the order of its rows.
+    laid = stage(spread.sortWithinPartitions(*order)
+                 .withColumn("_part", F.spark_partition_id())
+                 .withColumn("_k", F.monotonically_increasing_id()), "series-layout")
+    parts = F.broadcast(laid.groupBy("_part").agg(F.min("_k").alias("_p0"),
+                                                  F.max("_k").alias("_p1")))
+    own = laid.drop("_k").withColumn("_own", F.lit(True))
+    # A partition's own two ends are always in the tables: they are the marks by
+    # which its neighbours' rows recognise it.
+    marks = (F.col("_k") == F.col("_p0")) | (F.col("_k") == F.col("_p1"))
+    near = {True: (lookback, F.col("_p1") - F.col("_k") < lookback),
+            False: (lookahead, F.col("_k") - F.col("_p0") < lookahead)}
+    for back, (rows, close) in near.items():
+        if rows:
+            ends = laid.join(parts, "_part").where(close | marks)
+            own = own.unionByName(_handed_on(ends, cols, rows, back)
+                                  .withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(*ents, "_part").orderBy(period)
     added = columns(w)
-    out = ext.select("*", *[e.alias(n) for n, e in added.items()])
-    return out.where("_own").drop("_own", "_chunk")
+    out = own.select("*", *[e.alias(n) for n, e in added.items()])
+    return out.where("_own").drop("_own", "_part")
 
 
 # -- column builders over a window spec ------------------------------------

@@ -43,17 +43,31 @@ def hazard_impact(measures: DataFrame, hazard: str | None = "hazard",
     The impact is missing when either measure is missing. ``strict`` keeps
     groups with more than ``min_events`` rows instead of at least.
     """
+    keys = [entity, "period"] + ([hazard] if hazard else [])
+    agg = impact_logs(measures, keys, period_size, min_events, strict, year, affected, death)
+    return impact_of_logs(agg, keys, [hazard] if hazard else [],
+                          "impact" if hazard else f"{name}_impact")
+
+
+def impact_logs(measures: DataFrame, keys: Sequence[str], period_size: int | None = None,
+                min_events: int = 1, strict: bool = False, year: str = "year",
+                affected: str = "affected", death: str = "death") -> DataFrame:
+    """C1 up to the logarithms of a group's means, ``_a_log`` and ``_d_log``: what
+    one period contributes, whatever the other periods hold."""
     d = drop_all_null(measures, [affected, death])
     d = _with_period(d, year, period_size)
-    keys = [entity, "period"] + ([hazard] if hazard else [])
-    agg = agg_mean(d, keys, year, [affected, death])
+    agg = agg_mean(d, list(keys), year, [affected, death])
     agg = (having_more_than(agg, min_events) if strict
            else having_min_events(agg, min_events))
-    agg = agg.select(*keys, log1p(affected).alias("_a_log"),
-                     log1p(death).alias("_d_log"))
-    z = zscore(agg, {"_a_log": "_a_z", "_d_log": "_d_z"},
-               group=[hazard] if hazard else [])
-    out = "impact" if hazard else f"{name}_impact"
+    return agg.select(*keys, log1p(affected).alias("_a_log"),
+                      log1p(death).alias("_d_log"))
+
+
+def impact_of_logs(logs: DataFrame, keys: Sequence[str], group: Sequence[str],
+                   out: str = "impact", fitted: DataFrame | None = None) -> DataFrame:
+    """C1 from the logarithms: z-scores within ``group``, added up. ``fitted``:
+    moments kept from before (:func:`~perilscope.operators.scale.moments`)."""
+    z = zscore(logs, {"_a_log": "_a_z", "_d_log": "_d_z"}, group=group, fitted=fitted)
     return z.select(*keys, (F.col("_a_z") + F.col("_d_z")).alias(out))
 
 

@@ -36,7 +36,7 @@ COMPONENTS = ["human_burden", "persistence", "climate_intensity",
 def feature_table(analysis: DataFrame, cutoff: int,
                   excluded: Sequence[str] = EXCLUDED_ENTITIES,
                   entity: str = "country", period: str = "period",
-                  chunk_periods: int = S.DEFAULT_CHUNK_PERIODS) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """P9 → lead target, train entity means (J6), filled lag, logs,
     3-row means, 5-row slopes and std, long-run deviation."""
     df = exclude_entities(analysis, entity, excluded)
@@ -60,7 +60,7 @@ def feature_table(analysis: DataFrame, cutoff: int,
         }
 
     df = S.with_series_columns(df, entity, period, cols, lookback=4,
-                               lookahead=1, chunk_periods=chunk_periods)
+                               lookahead=1, partitions=partitions)
     train = df.where(F.col(period) <= cutoff)
     ent = (train.where(F.col(entity).isNotNull()).groupBy(entity)
            .agg(F.avg("impact_rebased").alias("_cm"),

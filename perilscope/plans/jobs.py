@@ -116,7 +116,8 @@ def train_and_predict(spark: SparkSession, analysis: DataFrame, out_dir: str,
                       n_iter: int = 20, use_cache: bool = True,
                       excluded=EXCLUDED_ENTITIES) -> dict[str, DataFrame]:
     """Features → composite index → forecast → re-scored rows and
-    importance, stored under ``out_dir`` and reused when present."""
+    importance, published together under ``out_dir`` and reused while the analysis
+    table and the parameters stay the same."""
     paths = {"predictions": f"{out_dir}/predictions", "importance": f"{out_dir}/importance"}
 
     def build() -> dict[str, DataFrame]:
@@ -128,7 +129,8 @@ def train_and_predict(spark: SparkSession, analysis: DataFrame, out_dir: str,
         pred, imp, _, _ = M.forecast(spark, cli, pin, cutoff, n_iter=n_iter)
         scored = FE.score_latest(pred.drop(*FE.COMPONENTS, "CLI"), stats, excluded)
         return {"predictions": scored, "importance": imp}
-    return IO.read_or_build(spark, paths, build, use_cache)
+    inputs = IO.fingerprint([analysis], (cutoff, lo, hi, n_iter, list(excluded)))
+    return IO.read_or_build(spark, paths, build, use_cache, inputs)
 
 
 def page_views(analysis: DataFrame, totals: DataFrame,

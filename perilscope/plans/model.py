@@ -1,33 +1,33 @@
 """Model operators on Spark ML (M1–M9), the forecast (C11) and the model
 bake-off (C17).
 
-Training runs on executors (tree learners aggregate split statistics
-per partition); the driver holds only the fitted trees and the grid of
-parameter draws. Folds are contiguous blocks of the rows sorted by
-``(entity, period)`` — the unshuffled 3-fold split of the reference —
-computed with the distributed row index of :mod:`perilscope.operators.order`;
-every (draw, fold) fit is submitted as its own Spark job from a thread
-pool, so small fits do not leave the executors idle.
-
-Parameter mapping from the reference's learners: ``n_estimators`` →
-``numTrees`` / ``maxIter``; ``max_depth`` → ``maxDepth`` (None → 30, Spark's
-cap); ``min_samples_leaf`` / ``min_child_weight`` → ``minInstancesPerNode``;
+Forests are trained on executors (Spark aggregates split statistics per
+partition); the driver holds only fitted trees and the grid of parameter draws.
+Folds are contiguous blocks of the rows sorted by ``(entity, period)`` — the
+unshuffled 3-fold split of the reference — computed with the distributed row
+index of :mod:`perilscope.operators.order`. A search scores its draws in tasks
+(:mod:`perilscope.plans.boosting`), and shares fits among them: a draw's depth and
+number of trees are cuts of a deeper, larger forest's node table
+(:mod:`perilscope.plans.nodes`). The best draw is then fitted on all rows.
+
+Parameter mapping to Spark's learners: ``n_estimators`` → ``numTrees`` /
+``maxIter``; ``max_depth`` → ``maxDepth`` (None → 30, Spark's cap);
+``min_samples_leaf`` / ``min_child_weight`` → ``minInstancesPerNode``;
 ``max_features`` / ``colsample_bytree`` → ``featureSubsetStrategy``;
 ``learning_rate`` → ``stepSize``; ``subsample`` → ``subsamplingRate``;
-``gamma`` → ``minInfoGain``. Parameters without a Spark equivalent are not
-part of the grids, so every draw is a different fit. Splits use up to
-``MAX_BINS`` histogram bins per feature.
+``gamma`` → ``minInfoGain``. Splits use histogram bins per feature: one for
+every eight training rows, between ``MIN_BINS`` and ``MAX_BINS``.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +39,7 @@ from ..config import (FEATURES_IMPROVED, GRID_BOOSTED, GRID_BOOSTED_HIST,
 from ..operators.filters import complete_cases
 from ..operators.joins import attach_global_stats
 from ..operators.order import dense_rank
+from . import boosting, nodes
 
 FEATURES_COL = "features"
 
@@ -74,7 +75,14 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], k: int = 3,
 # -- estimators and parameter draws --------------------------------------------
 
 TRAINING_PARTITIONS = 2
-MAX_BINS = 256
+MIN_BINS, MAX_BINS = 32, 256
+FITS_AT_ONCE = 4
+
+
+def bins_for(rows: int) -> int:
+    """Histogram bins for a training set: more than a bin per eight rows only
+    makes the split statistics larger."""
+    return max(MIN_BINS, min(MAX_BINS, rows // 8))
 
 
 def training_rows(df: DataFrame, partitions: int = TRAINING_PARTITIONS) -> DataFrame:
@@ -169,42 +177,71 @@ class SearchResult:
     bestIndex: int
 
 
-def _fit_eval(est: Estimator, params: dict, train: DataFrame, valid: DataFrame,
-              evaluator: RegressionEvaluator) -> float:
-    return evaluator.evaluate(est.copy(params).fit(train).transform(valid))
-
-
-def cross_validate(data: DataFrame, est: Estimator, maps: list[dict], folds: int,
-                   fold_col: str = "fold", parallelism: int = 8) -> SearchResult:
-    """k-fold CV over ``fold_col`` with every (draw, fold) fit submitted as
-    its own Spark job from a thread pool, then the best draw refit on all
-    rows. With a single draw the refit runs alongside the fold fits.
-    Spark's ``CrossValidator`` runs folds one after another, which leaves
-    the cluster idle during small fits (boosting is one job per iteration)."""
-    evaluator = RegressionEvaluator(labelCol=TARGET, metricName="r2")
-    splits = [(data.where(F.col(fold_col) != k), data.where(F.col(fold_col) == k))
-              for k in range(folds)]
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        futures = [[pool.submit(_fit_eval, est, m, tr, va, evaluator)
-                    for tr, va in splits] for m in maps]
-        early = pool.submit(est.copy(maps[0]).fit, data) if len(maps) == 1 else None
-        metrics = [sum(f.result() for f in fs) / folds for fs in futures]
-        best = max(range(len(maps)), key=lambda i: metrics[i])
-        model = early.result() if early is not None else est.copy(maps[best]).fit(data)
-    return SearchResult(model, metrics, best)
-
-
-def random_search_cv(train: DataFrame, est: Estimator, grid: dict, n_iter: int,
-                     folds: int = 3, order: Sequence[str] = ("country", "period"),
-                     seed: int = SEED, parallelism: int = 8,
-                     partitions: int = TRAINING_PARTITIONS):
-    """M5: ``n_iter`` grid draws, k-fold CV on R² over contiguous folds,
-    best draw refit on all rows. Returns ``(search_result, draws)``."""
+def forest_search(train: DataFrame, est: RandomForestRegressor, draws: list[dict],
+                  folds: int, fold_col: str = "fold") -> list[float]:
+    """Mean R² over the folds of every draw, from Spark's own forests on all rows:
+    one deep, large forest per (leaf size, features per split, fold), whose node
+    table is cut to every draw's depth and number of trees. ``train`` is cached and
+    has the feature vector, the target and ``fold_col``."""
+    features = len(train.select(FEATURES_COL).first()[0])
+    groups: dict[tuple, list[int]] = {}
+    for i, d in enumerate(draws):
+        key = (int(d.get("min_samples_leaf", 1)), boosting.features_per_split(d, features))
+        groups.setdefault(key, []).append(i)
+
+    def score(key, members, fold) -> dict[int, float]:
+        largest = {"n_estimators": max(_trees(est, draws[i]) for i in members),
+                   "max_depth": max(_cut(est, draws[i]) for i in members),
+                   "min_samples_leaf": key[0], "max_features": str(key[1])}
+        valid = train.where(F.col(fold_col) == fold)
+        model = est.copy(forest_params(est, largest)).fit(train.where(F.col(fold_col) != fold))
+        cuts = [(_cut(est, draws[i]), _trees(est, draws[i])) for i in members]
+        table = nodes.of_model(train.sparkSession, model)
+        walked = valid.select(F.col(TARGET).alias("y"), table.sums(
+            train.sparkSession, nodes.features_array(FEATURES_COL), cuts).alias("sums"))
+        error = {i: F.pow(F.col("y") - F.col("sums")[j] / cuts[j][1], 2)
+                 for j, i in enumerate(members)}
+        sums = walked.agg((F.var_pop("y") * F.count("y")).alias("all"),
+                          *[F.sum(e).alias(f"e{i}") for i, e in error.items()]).first()
+        return {i: 1 - sums[f"e{i}"] / sums["all"] if sums["all"] else math.nan
+                for i in members}
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        runs = [pool.submit(score, k, m, f) for k, m in groups.items() for f in range(folds)]
+        scores = [r.result() for r in runs]
+    return [sum(s[i] for s in scores if i in s) / folds for i in range(len(draws))]
+
+
+def _trees(est: RandomForestRegressor, draw: dict) -> int:
+    return int(draw.get("n_estimators", est.getNumTrees()))
+
+
+def _cut(est: RandomForestRegressor, draw: dict) -> int:
+    return _depth(draw["max_depth"]) if "max_depth" in draw else est.getMaxDepth()
+
+
+def random_search_cv(train: DataFrame, est: RandomForestRegressor, grid: dict, n_iter: int,
+                     features: Sequence[str], folds: int = 3,
+                     order: Sequence[str] = ("country", "period"),
+                     seed: int = SEED, partitions: int = TRAINING_PARTITIONS,
+                     sample_rows: int | None = boosting.FIT_ROWS):
+    """M5: ``n_iter`` grid draws of a forest, k-fold CV on R² over contiguous
+    folds, best draw refit on all rows by Spark's forest. Returns
+    ``(search_result, draws)``. The draws are scored in tasks on at most
+    ``sample_rows`` rows (:func:`perilscope.plans.boosting.search`), or, with
+    ``None``, by Spark's forests on all rows (:func:`forest_search`)."""
     draws = draw_grid(grid, n_iter, seed)
-    maps = param_maps(est, draws)
     data = training_rows(contiguous_folds(train, list(order), folds), partitions)
     try:
-        return cross_validate(data, est, maps, folds, "fold", parallelism), draws
+        est = est.copy({est.maxBins: bins_for(data.count())})
+        if sample_rows is None:
+            metrics = forest_search(data, est, draws, folds)
+        else:
+            sample = boosting.training_sample(data, features, TARGET, "fold", order, sample_rows)
+            metrics = boosting.search(data.sparkSession, sample, draws, folds, seed, forest=True)
+        best = max(range(len(draws)), key=lambda i: metrics[i])
+        model = est.copy(forest_params(est, draws[best])).fit(data)
+        return SearchResult(model, metrics, best), draws
     finally:
         data.unpersist()
 
@@ -217,7 +254,11 @@ def search_scores(spark: SparkSession, cv_model, draws: list[dict]) -> DataFrame
 
 
 def predict(model, df: DataFrame, out: str) -> DataFrame:
-    """M6: score rows (``df`` must carry the feature vector)."""
+    """M6: score rows (``df`` must carry the feature vector) with a fitted Spark
+    model, or with a boosted ensemble's node table."""
+    if isinstance(model, nodes.NodeTable):
+        return df.withColumn(out, model.sums(
+            df.sparkSession, nodes.features_array(FEATURES_COL))[0])
     return model.transform(df).withColumnRenamed("prediction", out)
 
 
@@ -261,7 +302,7 @@ def forecast(spark: SparkSession, features_cli: DataFrame, pred_input: DataFrame
     (as in the reference)."""
     train = assemble_features(features_cli.where(F.col(period) <= cutoff),
                               features, TARGET)
-    cvm, draws = random_search_cv(train, forest(), grid, n_iter, folds)
+    cvm, draws = random_search_cv(train, forest(), grid, n_iter, features, folds)
     best = cvm.bestModel
     scored = predict(best, assemble_features(pred_input, features, None),
                      "predicted_impact_rebased_2026").drop(FEATURES_COL)
@@ -306,18 +347,21 @@ def bakeoff(spark: SparkSession, prepared_train: DataFrame,
                               ["country", "period"], folds)
     train = training_rows(folded, partitions)
     test = training_rows(assemble_features(prepared_test, features, TARGET), partitions)
+    sample = boosting.training_sample(train, features, TARGET, "fold")
+    bins = bins_for(train.count())
     draws_of = n_iter if isinstance(n_iter, dict) else {m: n_iter for m in models}
-    specs = {"forest": (forest(), GRID_FOREST_BAKEOFF),
-             "boosted": (boosted(), GRID_BOOSTED),
-             "boosted_hist": (boosted(), GRID_BOOSTED_HIST)}
+    grids = {"forest": GRID_FOREST_BAKEOFF, "boosted": GRID_BOOSTED,
+             "boosted_hist": GRID_BOOSTED_HIST}
 
     def run(name):
-        est, grid = specs[name]
-        draws = draw_grid(grid, draws_of[name])
-        cvm = cross_validate(train, est, param_maps(est, draws), folds)
-        scored = predict(cvm.bestModel, test, "_pred")
-        m = regression_metrics(scored, TARGET, "_pred").first()
-        return (name, len(draws), float(max(cvm.avgMetrics)), repr(draws[cvm.bestIndex]),
+        draws = draw_grid(grids[name], draws_of[name])
+        metrics = boosting.search(spark, sample, draws, folds, SEED, name == "forest")
+        best = max(range(len(draws)), key=lambda i: metrics[i])
+        est = forest().setMaxBins(bins)
+        model = (est.copy(forest_params(est, draws[best])).fit(train) if name == "forest"
+                 else boosting.fit_one(spark, sample, draws[best], SEED))
+        m = regression_metrics(predict(model, test, "_pred"), TARGET, "_pred").first()
+        return (name, len(draws), float(metrics[best]), repr(draws[best]),
                 None if m["r2"] is None else float(m["r2"]),
                 None if m["rmse"] is None else float(m["rmse"]),
                 int(m["n"]))

@@ -31,8 +31,10 @@ from .operators import joins as J
 from .operators import reshape as RS
 from .operators import scale as SL
 from .operators import series as S
-from .operators.order import column_medians, dense_rank, top_k
+from .operators.order import (column_medians, dense_rank, exact_quantiles, row_numbers,
+                              top_k)
 from .plans import analysis as A
+from .plans import boosting as BO
 from .plans import builders as B
 from .plans import features as FE
 from .plans import jobs as JB
@@ -41,6 +43,7 @@ from .plans import views as V
 from .session import stage
 from .sources import driver_tables as D
 from .sources import io as IO
+from .sources.schema import measure_schema
 from .streaming import incremental as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,12 +339,15 @@ def q_dominant_hazard(spark, sf_dir):
 @query("entity_trend", _sql(
     _dense_sql() + [("v_t", """SELECT country, period, climate_impact_index,
   climate_impact_index - min(climate_impact_index) OVER (PARTITION BY country) AS impact_rebased,
-  economic_damage_pct_gdp FROM a_set""")],
+  economic_damage_pct_gdp,
+  row_number() OVER (ORDER BY country NULLS LAST, period NULLS LAST) AS ordinal FROM a_set""")],
     KEY + [("climate_impact_index", "d"), ("impact_rebased", "d"),
-           ("economic_damage_pct_gdp", "d")], "v_t"))
+           ("economic_damage_pct_gdp", "d"), ("ordinal", "i")], "v_t"))
 def q_entity_trend(spark, sf_dir):
-    """C14 for all entities: series rebased within the entity."""
-    return V.entity_trend(analysis(spark, sf_dir, DENSE["grain"]))
+    """C14 for all entities: series rebased within the entity, in order of
+    period (checked by the places)."""
+    return row_numbers(V.entity_trend(analysis(spark, sf_dir, DENSE["grain"])),
+                       [F.col("country").asc_nulls_last(), F.col("period").asc_nulls_last()])
 
 
 SHARE_SQL = [("v_s", "SELECT country, " + ", ".join(
@@ -594,6 +600,29 @@ def q_merge_hazards_total(spark, sf_dir):
     return B.merge_totals(B.hazard_total(measures(spark, sf_dir)))
 
 
+_HALVES = [("h_rows", """SELECT country, CAST(floor(period / 12.0) AS INTEGER) AS period, hazard,
+  CAST(floor((period % 12) / 6.0) AS INTEGER) AS half, sum(total_deaths) AS deaths
+FROM t_long GROUP BY 1, 2, 3, 4""")] + [
+    (f"h_{h}", f"SELECT country, period, deaths FROM h_rows WHERE hazard = '{h}'")
+    for h in HAZARDS] + [("x", "SELECT country, period, " + ", ".join(
+        f"h_{h}.deaths AS {h}_deaths" for h in HAZARDS) + f" FROM h_{HAZARDS[0]} " + " ".join(
+        f"FULL JOIN h_{h} USING (country, period)" for h in HAZARDS[1:]))]
+
+
+@query("merge_hazards_repeats", _sql(
+    O.standins("gappy") + O.totals("m_full") + _HALVES,
+    KEY + [(f"{h}_deaths", "d") for h in HAZARDS], "x"))
+def q_merge_hazards_repeats(spark, sf_dir):
+    """J3 where a hazard holds a key twice (two half-years a year): a row for every
+    combination, as the chain of outer joins gives."""
+    long = B.hazard_total(measures(spark, sf_dir, grain="gappy"))
+    halves = (long.groupBy("country", F.floor(F.col("period") / 12).cast("int").alias("year"),
+                           "hazard", F.floor((F.col("period") % 12) / 6).alias("half"))
+              .agg(F.sum("total_deaths").alias("deaths")))
+    return RS.merge_long(halves.withColumnRenamed("year", "period"), ["country", "period"], "hazard", HAZARDS,
+                         {"deaths": "{h}_deaths"}, repeats="multiply")
+
+
 ASSEMBLED = KEY + [(c, "d") for c in O.IMPACT_COLS] + [
     ("climate_impact_index", "d"), ("impact_rebased", "d"), ("hazard_count", "i"),
     ("total_deaths", "d"), ("total_affected", "d"), ("economic_damage_pct_gdp", "d")]
@@ -728,19 +757,22 @@ def q_distinct_periods(spark, sf_dir):
     return AG.distinct_periods(an(spark, sf_dir), "country", "period")
 
 
-@query("distinct_sorted", _sql(SP + [("x", "SELECT DISTINCT period FROM a_set WHERE period IS NOT NULL")],
-                               [("period", "i")], "x"))
+@query("distinct_sorted", _sql(SP + [("x", """SELECT period, row_number() OVER (ORDER BY period) AS ordinal
+FROM (SELECT DISTINCT period FROM a_set WHERE period IS NOT NULL)""")],
+                               [("period", "i"), ("ordinal", "i")], "x"))
 def q_distinct_sorted(spark, sf_dir):
-    """Sorted distinct periods."""
-    return AG.distinct_sorted(an(spark, sf_dir), "period")
+    """Sorted distinct periods, with their places."""
+    return row_numbers(AG.distinct_sorted(an(spark, sf_dir), "period"), [F.col("period")])
 
 
-@query("value_counts", _sql(SP + [("x", """SELECT hazard_count, count(*) AS count FROM a_set
+@query("value_counts", _sql(SP + [("x", """SELECT hazard_count, count(*) AS count,
+  row_number() OVER (ORDER BY count(*) DESC, hazard_count) AS ordinal FROM a_set
 WHERE hazard_count IS NOT NULL GROUP BY hazard_count""")],
-    [("hazard_count", "i"), ("count", "i")], "x"))
+    [("hazard_count", "i"), ("count", "i"), ("ordinal", "i")], "x"))
 def q_value_counts(spark, sf_dir):
-    """Frequency of hazard_count."""
-    return AG.value_counts(an(spark, sf_dir), "hazard_count")
+    """Frequency of hazard_count, most frequent first, with the places."""
+    return row_numbers(AG.value_counts(an(spark, sf_dir), "hazard_count"),
+                       [F.col("count").desc(), F.col("hazard_count")])
 
 
 NUMERIC = [c for c, k in AC if k in ("d", "i")]
@@ -794,6 +826,17 @@ def q_column_median(spark, sf_dir):
     return column_medians(an(spark, sf_dir), MEDIAN_COLS)
 
 
+@query("scoped_quantiles", _sql(SP + [("x", """SELECT period,
+  quantile_cont(climate_impact_index, 0.25) AS q0, quantile_cont(climate_impact_index, 0.5) AS q1,
+  quantile_cont(climate_impact_index, 0.9) AS q2 FROM a_set GROUP BY period""")],
+    [("period", "i"), ("q0", "d"), ("q1", "d"), ("q2", "d")], "x"))
+def q_scoped_quantiles(spark, sf_dir):
+    """A12 per period: exact interpolated quantiles of every scope, brackets from
+    mergeable sketches."""
+    return exact_quantiles(an(spark, sf_dir), "climate_impact_index", [0.25, 0.5, 0.9],
+                           scope=["period"])
+
+
 def _rowwise(name, expr_sql, expr_spark, kind="d"):
     @query(name, _sql(SP + [("x", f"SELECT country, period, {expr_sql} AS {name} FROM a_set")],
                       KEY + [(name, kind)], "x"))
@@ -867,14 +910,16 @@ def q_zscore_train(spark, sf_dir):
 
 # -- W: series windows ------------------------------------------------------------
 
-# Chunks of two years: every series of the registered W queries crosses chunk
-# boundaries, so the halo rows take part in the checked results.
-SERIES_CHUNK = 2
+def _ranges(df):
+    """As many ranges as the session has shuffle partitions: a number of its own,
+    so small inputs are not coalesced into one range and the rows handed over at
+    boundaries take part in the checked results."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _series(df, cols, lookback=4, lookahead=1, entity="country"):
     return S.with_series_columns(df, entity, "period", cols, lookback, lookahead,
-                                 chunk_periods=SERIES_CHUNK)
+                                 partitions=_ranges(df))
 
 
 def _wsql(expr: str, name: str, extra=None) -> str:
@@ -920,7 +965,7 @@ def q_lag_within_split(spark, sf_dir):
     df = df.withColumn("_split", (F.col("period") >= CUT).cast("int"))
     return S.with_series_columns(
         df, ["_split", "country"], "period",
-        lambda w: {"impact_lag1": S.lag1("impact_rebased", w)}, 1, 0, SERIES_CHUNK
+        lambda w: {"impact_lag1": S.lag1("impact_rebased", w)}, 1, 0, _ranges(df)
     ).select("country", "period", "impact_lag1")
 
 
@@ -1026,10 +1071,25 @@ def q_recent_deviation(spark, sf_dir):
 
 # -- O, U: sort, union, melt ---------------------------------------------------------
 
-@query("sort_keys", O.analysis_query("sparse"))
+@query("sort_keys", _sql(SP + [("x", """SELECT country, period, climate_impact_index,
+  row_number() OVER (ORDER BY country NULLS LAST, period NULLS LAST) AS ordinal FROM a_set""")],
+    KEY + [("climate_impact_index", "d"), ("ordinal", "i")], "x"))
 def q_sort_keys(spark, sf_dir):
-    """O1: multi-key ascending sort, missing last (range-partitioned sort)."""
-    return analysis(spark, sf_dir, sort=True)
+    """O1: multi-key ascending sort, missing last (range-partitioned sort), with
+    each row's place, so the order itself is checked."""
+    return row_numbers(analysis(spark, sf_dir).select("country", "period", "climate_impact_index"),
+                       [F.col("country").asc_nulls_last(), F.col("period").asc_nulls_last()])
+
+
+@query("sort_desc", _sql(SP + [("x", """SELECT country, period, hazard_count,
+  row_number() OVER (ORDER BY hazard_count DESC NULLS LAST, country NULLS LAST,
+                     period NULLS LAST) AS ordinal FROM a_set""")],
+    KEY + [("hazard_count", "i"), ("ordinal", "i")], "x"))
+def q_sort_desc(spark, sf_dir):
+    """Descending sort by a value with few distinct values, ties by key."""
+    return row_numbers(analysis(spark, sf_dir).select("country", "period", "hazard_count"),
+                       [F.col("hazard_count").desc_nulls_last(),
+                        F.col("country").asc_nulls_last(), F.col("period").asc_nulls_last()])
 
 
 @query("union_rows", _sql(O.standins("sparse") + [("x", """SELECT country, year, hazard, 'affected' AS measure,
@@ -1173,6 +1233,30 @@ def q_src_wide(spark, sf_dir):
     return IO.read_wide_damage(spark, path, DAMAGE_COLUMNS)
 
 
+@query("src_rejects", _sql(O.standins("sparse") + [
+    ("x_a", "SELECT row_number() OVER () AS i, year % 5 AS fault FROM aff"),
+    ("x", """SELECT CASE fault WHEN 0 THEN 'affected' WHEN 1 THEN 'Year' WHEN 2 THEN 'fields'
+       ELSE 'read' END AS reason, count(*) AS lines FROM x_a GROUP BY 1""")],
+    [("reason", "s"), ("lines", "i")], "x"))
+def q_src_rejects(spark, sf_dir):
+    """S1 with rejected lines: of a measure file in which a number, a year, or the
+    number of fields is wrong in some lines, the lines read and those rejected,
+    by reason."""
+    year = F.col("year").cast("string")
+    fault = F.col("year") % 5
+    line = F.concat_ws(",", F.concat(F.lit('"'), "country", F.lit('"')),
+                       F.when(fault == 1, F.concat(F.lit("y"), year)).otherwise(year),
+                       F.when(fault == 0, F.lit("12;5")).otherwise(F.col("affected").cast("string")),
+                       F.when(fault == 2, F.lit("more")))
+    path = _stage_dir(spark, "rejects")
+    D.affected(facts(spark, sf_dir)).select(line.alias("value")).write.text(path)
+    schema = measure_schema("Country name", "Year", "affected")
+    rows, rejects = IO.read_checked(spark, path, schema, header=False)
+    return IO.reject_counts(rejects).withColumnRenamed("rejected", "lines").unionByName(
+        rows.agg(F.count(F.lit(1)).alias("lines")).withColumn("reason", F.lit("read"))
+    ).where("lines > 0")
+
+
 @query("src_parquet", _sql(O.standins("sparse") + O.totals("m_full"), TOTAL_TAB_COLS, "t_tab"))
 def q_src_parquet(spark, sf_dir):
     """A prior stage's parquet output read back (NaN → null)."""
@@ -1283,39 +1367,47 @@ def q_regression_metrics(spark, sf_dir):
     return M.regression_metrics(test, TARGET, "impact_lag1")
 
 
-def _fit_predict(spark, sf_dir, est, draw):
+def _fit_predict(spark, sf_dir, fit):
     train, test = _bakeoff_frames(spark, sf_dir, with_lag=True)
-    tr = M.assemble_features(train, FEATURES_BINNED)
     te = M.assemble_features(test, FEATURES_BINNED)
-    params = M.param_maps(est, [draw])[0]
-    model = est.copy(params).fit(tr)
+    dealt = M.training_rows(M.assemble_features(train, FEATURES_BINNED))
+    try:
+        model = fit(dealt)
+    finally:
+        dealt.unpersist()
     return M.predict(model, te, "prediction").select("country", "period", TARGET,
                                                      "prediction")
 
 
+def _fit(est, draw):
+    return lambda train: est.copy(M.param_maps(est, [draw])[0]).fit(train)
+
+
 @query("forest_predict")
 def q_forest_predict(spark, sf_dir):
     """M2, M6: random forest (seed 42) fit on train, scored on test."""
-    return _fit_predict(spark, sf_dir, M.forest(),
-                        {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 2,
-                         "max_features": "sqrt"})
+    return _fit_predict(spark, sf_dir, _fit(M.forest(), {
+        "n_estimators": 200, "max_depth": 10, "min_samples_leaf": 2,
+        "max_features": "sqrt"}))
 
 
 @query("boosted_predict")
 def q_boosted_predict(spark, sf_dir):
     """M3: gradient-boosted trees fit on train, scored on test."""
-    return _fit_predict(spark, sf_dir, M.boosted(),
-                        {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3,
-                         "min_samples_leaf": 1, "subsample": 0.8})
+    return _fit_predict(spark, sf_dir, _fit(M.boosted(), {
+        "n_estimators": 100, "learning_rate": 0.1, "max_depth": 3,
+        "min_samples_leaf": 1, "subsample": 0.8}))
 
 
 @query("boosted_hist_predict")
 def q_boosted_hist_predict(spark, sf_dir):
-    """M4: the regularised-boosting configuration re-aimed on GBT."""
-    return _fit_predict(spark, sf_dir, M.boosted(),
-                        {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 4,
-                         "min_child_weight": 3, "subsample": 0.8,
-                         "colsample_bytree": 0.8, "gamma": 0.1})
+    """M4: boosting with penalised leaves fit on train, scored on test by its
+    node table."""
+    draw = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 4,
+            "min_child_weight": 3, "subsample": 0.8, "colsample_bytree": 0.8,
+            "gamma": 0.1, "reg_alpha": 0.1, "reg_lambda": 1.5}
+    return _fit_predict(spark, sf_dir, lambda train: BO.fit_one(
+        spark, BO.training_sample(train, FEATURES_BINNED, TARGET), draw, SEED))
 
 
 _SEARCHES: dict = {}
@@ -1393,6 +1485,19 @@ def q_model_comparison(spark, sf_dir):
 # Streaming re-expressions
 # =============================================================================
 
+@query("impact_incremental", _sql(
+    O.standins("sparse") + O.impact("m_full"),
+    KEY + [("hazard", "s"), ("impact", "d")], "i_imp"))
+def q_impact_incremental(spark, sf_dir):
+    """C1 / A18 kept up to date: the years arrive in three lots, one of them twice;
+    the scaling comes from the merged moments of the periods."""
+    m, store = measures(spark, sf_dir), _stage_dir(spark, "impacts")
+    for lot in (F.col("year") % 3 == 0, F.col("year") % 3 == 1, F.col("year") % 3 == 0,
+                F.col("year") % 3 == 2):
+        ST.update_impacts(m.where(lot), store)
+    return ST.kept_impacts(spark, store)
+
+
 def _facts_stream(spark, sf_dir, grain="sparse"):
     f = facts(spark, sf_dir, grain)
     src = f.inputFiles()[0].rsplit("/", 1)[0]

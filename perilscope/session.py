@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,24 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4,
     return conf
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors (once per application), so that
+    functions of Python tasks can be imported there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_perilscope_code", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="perilscope-"), "perilscope_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._perilscope_code = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.builders import hazard_total
+from ..operators.scale import merge_moments, moments
+from ..plans.builders import hazard_total, impact_logs, impact_of_logs
 from ..session import stage_path
 
 
@@ -71,3 +73,42 @@ def stream_paths(spark: SparkSession, name: str) -> dict[str, str]:
     """Output, raw and checkpoint folders under the shared checkpoint folder."""
     base = stage_path(spark, name)
     return {"out": f"{base}/out", "raw": f"{base}/raw", "checkpoint": f"{base}/_chk"}
+
+
+# -- impacts that are kept up to date ---------------------------------------------
+
+LOGS = ["_a_log", "_d_log"]
+IMPACT_KEYS = ["country", "period", "hazard"]
+LOGS_SCHEMA = "country string, hazard string, _a_log double, _d_log double, period int"
+PART = "struct<n: bigint, mean: double, m2: double>"
+MOMENTS_SCHEMA = f"hazard string, _a_log {PART}, _d_log {PART}, period int"
+
+
+def update_impacts(measures: DataFrame, store: str) -> None:
+    """Takes in all measure rows of some years (new years, or years told anew).
+
+    Under ``store`` two tables are kept by period: the logarithms of the groups'
+    means, and their moments per hazard. Only the periods that arrive are
+    replaced, so the cost is that of the new rows, not of all; a repeated call
+    with the same rows changes nothing."""
+    logs = impact_logs(measures, IMPACT_KEYS)
+
+    def keep(df: DataFrame, name: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("period").parquet(f"{store}/{name}"))
+
+    keep(logs, "logs")
+    spark = measures.sparkSession
+    periods = measures.select(F.col("year").alias("period")).distinct()
+    kept = spark.read.schema(LOGS_SCHEMA).parquet(f"{store}/logs").join(
+        periods, "period", "left_semi")
+    keep(moments(kept, LOGS, ["hazard", "period"]), "moments")
+
+
+def kept_impacts(spark: SparkSession, store: str) -> DataFrame:
+    """C1 from the kept tables: the periods' moments are merged (a few rows per
+    hazard and period) and every group is scaled by them; no raw row is read."""
+    parts = spark.read.schema(MOMENTS_SCHEMA).parquet(f"{store}/moments")
+    logs = spark.read.schema(LOGS_SCHEMA).parquet(f"{store}/logs")
+    return impact_of_logs(logs, IMPACT_KEYS, ["hazard"],
+                          fitted=merge_moments(parts, LOGS, ["hazard"]))

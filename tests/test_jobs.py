@@ -55,6 +55,7 @@ def test_unfinished_artefacts_are_rebuilt(spark):
     IO.read_or_build(spark, paths, build)
     IO.read_or_build(spark, paths, build)
     assert len(built) == 1
-    os.unlink(f"{out}/b/_SUCCESS")              # as after a crash in the write
+    version, = os.listdir(f"{out}/b")
+    os.unlink(f"{out}/b/{version}/_SUCCESS")    # as after a crash in the write
     assert IO.read_or_build(spark, paths, build)["b"].count() == 3
     assert len(built) == 2

@@ -37,15 +37,15 @@ def gaps(spark):
     return spark.createDataFrame(data, "country string, period int, v double")
 
 
-@pytest.mark.parametrize("chunk", [1024, 2, 1])
-def test_gaps_trend_and_rolling(gaps, chunk):
+@pytest.mark.parametrize("partitions", [None, 3, 8])
+def test_gaps_trend_and_rolling(gaps, partitions):
     out = S.with_series_columns(gaps, "country", "period", lambda w: {
         "trend": S.rolling_trend("v", w, 5),
         "mean3": S.rolling_mean("v", w, 3),
         "std5": S.rolling_std("v", w, 5),
         "lead": S.lead1("v", w),
         "lag": S.lag1("v", w),
-    }, chunk_periods=chunk)
+    }, partitions=partitions)
     got = {(r["country"], r["period"]): r for r in out.collect()}
     expect_trend = {("A", 2000): 0, ("A", 2001): 0, ("A", 2002): 3, ("A", 2005): 1,
                     ("A", 2006): 2.3, ("A", 2007): 0, ("B", 2000): 0, ("B", 2001): 0}

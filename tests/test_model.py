@@ -2,11 +2,14 @@
 
 import inspect
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from perilscope.config import TARGET
+from perilscope.plans import boosting as B
 from perilscope.plans import model as M
+from perilscope.plans import nodes as N
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +26,8 @@ def frame(spark):
 def test_search_and_importance(spark, frame):
     train = M.assemble_features(frame, ["x1", "x2"])
     cvm, draws = M.random_search_cv(train, M.forest(), {"n_estimators": [10, 20],
-                                                          "max_depth": [3]}, 2)
+                                                          "max_depth": [3]}, 2,
+                                      ["x1", "x2"], sample_rows=None)
     assert len(draws) == 2 and len(cvm.avgMetrics) == 2
     imp = M.feature_importance(spark, cvm.bestModel, ["x1", "x2"]).collect()
     assert abs(sum(r["importance"] for r in imp) - 1.0) < 1e-9
@@ -35,8 +39,10 @@ def test_search_and_importance(spark, frame):
 
 def test_boosted_and_metrics(spark, frame):
     train = M.assemble_features(frame, ["x1", "x2"])
-    model = M.boosted().copy(M.boosted_params(M.boosted(), {
+    est = M.boosted()
+    model = est.copy(M.boosted_params(est, {
         "n_estimators": 5, "max_depth": 2, "learning_rate": 0.1})).fit(train)
+    assert model.getNumTrees == 5
     scored = M.predict(model, train, "yhat")
     m = M.regression_metrics(scored, TARGET, "yhat").first()
     assert m["n"] == 72 and m["rmse"] >= 0 and m["r2"] <= 1.0
@@ -56,13 +62,183 @@ def test_layout_does_not_follow_the_row_count(frame):
     small.unpersist()
 
 
-def test_every_grid_entry_changes_the_fit():
+def test_every_grid_entry_changes_the_fit(spark):
     from perilscope import config as C
-    for est, grid in ((M.forest(), C.GRID_FOREST_FORECAST), (M.forest(), C.GRID_FOREST_BAKEOFF),
-                      (M.boosted(), C.GRID_BOOSTED), (M.boosted(), C.GRID_BOOSTED_HIST)):
-        maps = M.param_maps(est, M.draw_grid(grid, 50))
+    for grid in (C.GRID_FOREST_FORECAST, C.GRID_FOREST_BAKEOFF):
+        maps = M.param_maps(M.forest(), M.draw_grid(grid, 50))
         assert len({repr(sorted((p.name, str(v)) for p, v in m.items())) for m in maps}) \
             == len(maps)
+    for grid in (C.GRID_BOOSTED, C.GRID_BOOSTED_HIST):
+        names = {B.SAME.get(k, k) for k in grid}
+        assert names <= set(B.DEFAULTS)
+
+
+def _scores(df, value):
+    return [r["s"] for r in df.withColumn("s", value).orderBy("country", "period").collect()]
+
+
+def test_node_table_of_uncut_ensembles_equals_transform(spark, frame):
+    train = M.assemble_features(frame, ["x1", "x2"])
+    x = N.features_array()
+    est = M.forest()
+    model = est.copy(M.forest_params(est, {
+        "n_estimators": 7, "max_depth": None, "min_samples_leaf": 1})).fit(train)
+    table = N.of_model(spark, model)
+    sums = table.sums(spark, x, [(30, None), (2, 1), (30, 1), (0, 1)])
+    want = _scores(model.transform(train), F.col("prediction"))
+    assert _scores(train, sums[0] / 7) == pytest.approx(want, abs=1e-12)
+    # Cut at depth 2: each tree's value is that of its node at depth 2 or above.
+    assert len(set(_scores(train, sums[1]))) <= 4 < len(set(_scores(train, sums[2])))
+    assert len(set(_scores(train, sums[3]))) == 1
+    # The table survives a round trip through a DataFrame.
+    back = N.NodeTable.of([r.asDict() for r in table.frame(spark).collect()])
+    assert back == table
+
+
+def test_forest_search_scores_cuts_of_one_fit(spark, frame):
+    """A draw's score is that of its cut; draws that name the same number of
+    features share their fits."""
+    train = M.training_rows(M.contiguous_folds(M.assemble_features(frame, ["x1", "x2"]),
+                                               ["country", "period"], 3))
+    draws = [{"n_estimators": n, "max_depth": d, "min_samples_leaf": 1, "max_features": f}
+             for n in (4, 9) for d in (1, None) for f in ("sqrt", "log2")]
+    got = M.forest_search(train, M.forest(), draws, 3)
+    for a, b in zip(draws, draws[1:]):
+        if {**a, "max_features": 0} == {**b, "max_features": 0} and B.features_per_split(
+                a, 2) == B.features_per_split(b, 2):
+            assert got[draws.index(a)] == got[draws.index(b)]
+    # The largest draw is the fit itself: fold by fold it equals Spark's own score.
+    k = draws.index({"n_estimators": 9, "max_depth": None, "min_samples_leaf": 1,
+                     "max_features": "sqrt"})
+    own = []
+    for f in range(3):
+        est = M.forest()
+        est = est.copy(M.forest_params(est, {
+            **draws[k], "max_features": str(B.features_per_split(draws[k], 2))}))
+        model = est.fit(train.where(F.col("fold") != f))
+        own.append(M.regression_metrics(model.transform(train.where(F.col("fold") == f)),
+                                        TARGET, "prediction").first()["r2"])
+    assert got[k] == pytest.approx(sum(own) / 3, abs=1e-9)
+    train.unpersist()
+
+
+def _toy(n=200, seed=0):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, 3)), 1)
+    return x, np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0) + 0.1 * rng.normal(size=n)
+
+
+def _best_split(x, y):
+    """Brute force over all splits of all features: the least squared error."""
+    best = ((y - y.mean()) ** 2).sum()
+    for f in range(x.shape[1]):
+        for t in np.unique(x[:, f])[:-1]:
+            a, b = y[x[:, f] <= t], y[x[:, f] > t]
+            best = min(best, ((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum())
+    return best
+
+
+def test_boosting_without_penalties_is_plain_boosting(monkeypatch):
+    monkeypatch.setattr(B, "BINS", 1000)
+    x, y = _toy()
+    plain = {"n_estimators": 1, "learning_rate": 1.0, "max_depth": 1}
+    base, trees = B.fit(x, y, plain, 0)
+    now = base + B._walk(trees[0], x)
+    assert ((y - now) ** 2).sum() == pytest.approx(_best_split(x, y))
+    for side in (now == now.min(), now == now.max()):       # leaves hold means
+        assert now[side][0] == pytest.approx(y[side].mean())
+    same = B.fit(x, y, plain | {"reg_lambda": 0, "reg_alpha": 0, "gamma": 0}, 0)
+    assert same == (base, trees)
+
+
+def test_penalties_shrink_leaves():
+    x, y = _toy()
+    def leaf(**more):
+        base, trees = B.fit(x, y, {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0} | more, 0)
+        return max(abs(n[4]) for n in trees[0] if n[0] < 0), len(trees[0])
+    sizes = [leaf(reg_lambda=v)[0] for v in (0, 1, 10, 1000)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < 0.2 * sizes[0]
+    assert leaf(reg_alpha=5)[0] < sizes[0] and leaf(reg_alpha=10 ** 6)[0] == 0
+    assert leaf(gamma=10 ** 6)[1] == 1                       # no split gains that much
+
+
+def test_boosting_prefixes_and_node_table(spark):
+    """The trees after n of a longer fit are the fit of n; scoring the node table
+    in Spark equals walking the trees."""
+    x, y = _toy()
+    draw = {"n_estimators": 30, "max_depth": 3, "subsample": 0.7, "colsample_bytree": 0.6,
+            "learning_rate": 0.2, "reg_lambda": 1, "min_child_weight": 3}
+    base, trees = B.fit(x, y, draw, 1)
+    assert B.fit(x, y, draw | {"n_estimators": 12}, 1)[1] == trees[:12]
+    table = B.node_table(base, trees)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)],
+                               "i int, x array<double>")
+    got = [r["p"] for r in df.withColumn("p", table.sums(spark, F.col("x"))[0])
+           .orderBy("i").collect()]
+    assert got == pytest.approx(base + sum(B._walk(t, x) for t in trees), abs=1e-9)
+
+
+def test_boosting_search_equals_separate_fits(spark):
+    x, y = _toy(120)
+    sample = (x, y, np.arange(120) // 40)
+    draws = [{"n_estimators": n, "max_depth": d, "reg_lambda": 1} for n in (3, 8) for d in (1, 2)]
+    got = B.search(spark, sample, draws, 3, 5)
+    for d, score in zip(draws, got):
+        own = []
+        for f in range(3):
+            train, valid = sample[2] != f, sample[2] == f
+            base, trees = B.fit(x[train], y[train], d, 5)
+            own.append(B.r2(y[valid], base + sum(B._walk(t, x[valid]) for t in trees)))
+        assert score == pytest.approx(np.mean(own), abs=1e-9)
+    model = B.fit_one(spark, sample, draws[0], 5)
+    assert model == B.node_table(*B.fit(x, y, draws[0], 5))
+
+
+def test_forest_draws_in_tasks(spark):
+    """Cuts in depth and trees of shared fits equal the cut trees of that fit; a
+    forest on all features without a bootstrap would be the best split: here its
+    first split must do nearly as well."""
+    x, y = _toy(150)
+    sample = (x, y, np.arange(150) // 50)
+    draws = [{"n_estimators": n, "max_depth": d, "min_samples_leaf": 2, "max_features": "sqrt"}
+             for n in (5, 12) for d in (1, 4, None)]
+    got = B.search(spark, sample, draws, 3, 7, forest=True)
+    for d, score in zip(draws, got):
+        own = []
+        for f in range(3):
+            train, valid, trees = sample[2] != f, sample[2] == f, []
+            B.fit_forest(x[train], y[train], draws[-1], 7, lambda k, t: trees.append(t))
+            cut = [B._walk(t, x[valid], [d["max_depth"] or 30]) for t in trees[:d["n_estimators"]]]
+            own.append(B.r2(y[valid], np.mean(cut, axis=0)))
+        assert score == pytest.approx(np.mean(own), abs=1e-9)
+    assert got[-1] > 0.5 and got[-1] > got[0]
+    trees = []
+    B.fit_forest(x, y, {"n_estimators": 40, "max_depth": 1}, 1, lambda k, t: trees.append(t))
+    mean = np.mean([B._walk(t, x) for t in trees], axis=0)
+    assert ((y - mean) ** 2).sum() < 1.1 * _best_split(x, y)
+
+
+def test_nodes_split_on_features_of_their_own():
+    x, y = _toy(300)
+    trees = []
+    B.fit_forest(x, y, {"n_estimators": 30, "max_depth": 1, "max_features": "all"}, 3,
+                 lambda k, t: trees.append(t))
+    x2 = np.hstack([x, x])
+    more = []
+    B.fit_forest(x2, y, {"n_estimators": 60, "max_depth": 1, "max_features": "log2"}, 3,
+                 lambda k, t: more.append(t))
+    assert {t[0][2] for t in more} >= {0, 3} and all(len(t) == 3 for t in trees)
+
+
+def test_training_sample_is_bounded_and_stable(frame):
+    x, y, _ = B.training_sample(frame, ["x1", "x2"], TARGET, rows=10)
+    again = B.training_sample(frame.repartition(7), ["x1", "x2"], TARGET, rows=10)
+    assert x.shape == (10, 2) and (x == again[0]).all() and (y == again[1]).all()
+
+
+def test_constant_features_give_one_leaf():
+    base, trees = B.fit(np.ones((5, 2)), np.arange(5.0), {"n_estimators": 2}, 0)
+    assert base == 2.0 and all(len(t) == 1 and abs(t[0][4]) < 1e-12 for t in trees)
 
 
 def test_draw_grid_is_seeded_subset():
