@@ -101,6 +101,7 @@ def row_numbers(df: DataFrame, order: Sequence[Column], out: str = "ordinal") ->
 
 
 SKETCH_K = 2048
+SKETCH_GRID = 1000
 
 
 def _rank_error(k: int) -> float:
@@ -163,14 +164,20 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
             F.kll_sketch_agg_double(F.when(inside(i, b(i, "low"), b(i, "high")), v), k)
             .alias(f"k{i}") for i in some]))
 
-        def rank(i, of, sign):
+        # Sketches answer for constant ranks only: the values at a fixed grid.
+        points = F.array(*[F.lit(j / SKETCH_GRID) for j in range(SKETCH_GRID + 1)])
+        grids = drawn.select(*keys, "_b", *[
+            F.kll_sketch_get_quantile_double(f"k{i}", points).alias(f"g{i}") for i in some])
+
+        def at(i, of, sign, round_):
             share = (b(i, of) - b(i, "below")) / b(i, "within") + sign * b(i, "error")
-            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-        proposed = drawn.select(*keys, "_b", F.array(*[F.struct(
-            F.when(b(i, "error") >= 0.5, b(i, "low")).otherwise(
-                F.kll_sketch_get_quantile_double(f"k{i}", rank(i, "first", -1))).alias("low"),
-            F.when(b(i, "error") >= 0.5, b(i, "high")).otherwise(
-                F.kll_sketch_get_quantile_double(f"k{i}", rank(i, "last", 1))).alias("high"))
+            place = round_(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * SKETCH_GRID)
+            return F.get(f"g{i}", place.cast("int"))
+        proposed = grids.select(*keys, "_b", F.array(*[F.struct(
+            F.when(b(i, "error") >= 0.5, b(i, "low"))
+            .otherwise(at(i, "first", -1, F.floor)).alias("low"),
+            F.when(b(i, "error") >= 0.5, b(i, "high"))
+            .otherwise(at(i, "last", 1, F.ceil)).alias("high"))
             for i in some]).alias("_p"))
         proposed = stage(proposed.select(*keys, F.struct("_b", "_p").alias("_b"),
                                          F.lit(True).alias("_open")), "quantile-proposed")
