@@ -6,8 +6,10 @@ bytes (one row may exceed it, a row is never cut), so a task's memory does
 not follow the size of an Arrow batch.
 
 Words are maximal runs of bytes other than ASCII white space (space and
-0x09-0x0D). Words, lines and word n-grams are identified by 64-bit hashes:
-a polynomial over the bytes (words) or word hashes (n-grams), mixed.
+0x09-0x0D). Words, lines and word n-grams are identified by 64-bit hashes. Words
+and lines add up a mixed 64-bit value of every byte and its place (a polynomial
+over the bytes would give some strings of a few letters the same hash whatever
+its base); n-grams are polynomials over the hashes of their words, mixed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
-_BYTE_BASE = 0x9E3779B97F4A7C15
+_STEP = 0x9E3779B97F4A7C15
+HASH_BYTES = 1 << 17        # bytes hashed at once
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
 
 _SPACE = np.zeros(256, bool)
@@ -70,6 +73,27 @@ class Prefix:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges that rise and do not overlap: the sum over a range of
+    ``mix(place << 8 | byte)``, mixed with the length. Works through the data in
+    blocks, so a long text needs no more memory than a short one."""
+    out = np.zeros(len(start), U64)
+    for lo in range(0, len(data), HASH_BYTES):
+        hi = min(lo + HASH_BYTES, len(data))
+        a, z = np.searchsorted(end, lo, side="right"), np.searchsorted(start, hi, side="left")
+        from_, to = np.maximum(start[a:z], lo), np.minimum(end[a:z], hi)
+        some = np.flatnonzero(to > from_)
+        if not len(some):
+            continue
+        from_, size = from_[some], (to - from_)[some]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(from_ - first, size)
+        place = at - np.repeat(start[a:z][some], size)
+        terms = mix(((place.astype(U64) << U64(8)) | data[at]) * U64(_STEP) + U64(_STEP))
+        out[a + some] += np.add.reduceat(terms, first)
+    return mix(out + (end - start).astype(U64) * U64(_STEP))
+
+
 class Slice(NamedTuple):
     batch: pa.RecordBatch   # the rows
     data: np.ndarray        # bytes of the text column
@@ -134,7 +158,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     end = np.flatnonzero(ink & (after | cut[1:])) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(start, offsets, side="left")
-    return Words(start, end, row, Prefix(data, _BYTE_BASE).ranges(start, end), first)
+    return Words(start, end, row, hash_ranges(data, start, end), first)
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +181,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray):
     o = np.lexsort((start, own))
     p = np.lexsort((end, np.concatenate([row_nl, np.arange(rows)])))
     start, end, own = start[o], end[p], own[o]
-    return start, end, own, Prefix(data, _BYTE_BASE).ranges(start, end)
+    return start, end, own, hash_ranges(data, start, end)
 
 
 def per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -12,6 +12,15 @@ def prose(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
+def twins(n):
+    """Two different strings of ``2 ** n`` letters whose polynomials over the bytes
+    agree modulo 2**64, whatever their odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 def corpus():
     """Documents with copies, near copies, shared passages, odd and missing texts."""
     rng = random.Random(5)
@@ -27,6 +36,10 @@ def corpus():
     texts += [texts[0]] * 3 + [texts[5] + "\n", "", None, None, "one", "one", "two words",
                                "two  words", "same " * 300, "same " * 301, "\n\n \t",
                                "éé ßß 中文 " * 30, "x" * 5000]
+    one, two = twins(10)
+    texts += [f"{one}\n{two}\n{one}", f"{prose(rng, 60, 5000)} {one}",
+              " ".join([*texts[7].split()[:30], one, *texts[7].split()[30:]]),
+              " ".join([*texts[7].split()[:30], two, *texts[7].split()[30:]])]
     rows = [(i * 3, t, "en" if i % 3 else None, "s", len(t or "")) for i, t in enumerate(texts)]
     rows.append(rows[1])                     # a repeated row
     rows.append((None, texts[2], "de", None, None))

@@ -1,9 +1,11 @@
 """Near duplicates, repeated passages and quality rules against brute force."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from perilscope.llm import components, jaccard_join, quality_rules, suffix_dedup
+from perilscope.llm import textkernel as K
 
 from . import helpers as H
 
@@ -77,6 +79,17 @@ def test_measures_equal_brute_force(docs, rows):
         [(r[0], *H.measures(r[1])) for r in rows], key=H.order)
 
 
+@pytest.mark.parametrize("block", [1 << 17, 5, 1])
+def test_range_hashes_tell_strings_apart(monkeypatch, block):
+    """Equal where the bytes are equal, also across the blocks they are read in."""
+    monkeypatch.setattr(K, "HASH_BYTES", block)
+    words = [w.encode() for w in (*H.twins(6), *H.twins(10), "a", "aa", "ab", "ba", "é", "a")]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    got = K.words_of(data, np.array([0, len(data)])).hash.tolist()
+    assert len(got) == len(words)
+    assert [[a == b for b in got] for a in got] == [[a == b for b in words] for a in words]
+
+
 def test_no_labels_no_cutoffs(spark, docs):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = quality_rules.quality_rules(docs, labels).collect()
