@@ -74,8 +74,10 @@ WITH t AS (
 ), levels AS ({_LEVELS}
 ), grid(g, cutoff) AS (VALUES {_GRID}
 ), cells AS (
-  SELECT lang AS stratum, rule, level, quality FROM levels JOIN labels USING (doc_id)
-  WHERE NOT base_failed AND quality IS NOT NULL
+  SELECT lang AS stratum, rule, level, quality FROM (
+    SELECT DISTINCT doc_id, lang, rule, level, quality, n_words, word_chars, n_symbols,
+           n_dup_lines, n_repeat_words, n_lines FROM levels JOIN labels USING (doc_id)
+    WHERE NOT base_failed AND quality IS NOT NULL)
 ), steps AS (
   SELECT stratum, rule, g, cutoff, count(*) FILTER (quality = 1) AS n,
          count(*) FILTER (quality = 1 AND level >= cutoff) AS k,

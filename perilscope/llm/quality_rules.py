@@ -10,14 +10,15 @@ tail at level ``delta / (strata x rules)``. Walking the grid in a fixed order
 and stopping at the first failure needs no further correction inside a grid;
 strata and rules are corrected by Bonferroni. So with probability
 ``1 - delta`` no certified rule rejects more than ``alpha`` of the good
-documents of any stratum. Of the certified cutoffs the one that rejects most
+documents of any stratum, and since ``alpha`` is ``STRATUM_ALPHA`` split over
+the rules, the rules together reject at most ``STRATUM_ALPHA`` of them. Of the certified cutoffs the one that rejects most
 labelled bad documents net of ``GOOD_WEIGHT`` times the good ones is used
 (ties: the most lenient); a rule without a useful certified cutoff stays off.
 
 Defined results: null text reads as empty (no words, ``base_failed``); a null
 or unlabelled stratum value is a stratum of its own; a label row with null
-quality is ignored; several label rows of one document count each; repeated
-documents are measured and returned each; extra columns are ignored.
+quality is ignored; equal rows and equal labels of one document are one draw;
+repeated documents are measured and returned each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from . import textkernel as K
 
-ALPHA = 0.02          # largest share of good documents one rule may reject
+STRATUM_ALPHA = 0.06  # largest share of a stratum's good documents that may be rejected
 DELTA = 0.05          # chance that any certificate is wrong
 GOOD_WEIGHT = 5
 MIN_WORDS = 50
@@ -45,6 +46,7 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words"),
     "dup_lines": ("n_dup_lines", "n_lines"),
 }
+ALPHA = STRATUM_ALPHA / len(RULES)    # each rule's part of it (union bound)
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines"]
 
@@ -138,7 +140,10 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang",
     strata x rules x grid rows - and everything after works on that table.
     """
     good = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality")
+    # Repeated rows of a labelled document are one draw of the binomial.
+    numbers = sorted({c for pair in RULES.values() for c in pair})
     rows = (measured.where(~base_failed()).join(good, "doc_id")
+            .select("doc_id", stratum, "quality", *numbers).distinct()
             .select(F.col(stratum).alias("stratum"), "quality",
                     F.explode(F.array(*[F.struct(F.lit(r).alias("rule"),
                                                  _level(r).alias("level"))
