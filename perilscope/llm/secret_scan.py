@@ -11,9 +11,15 @@ characters (hex, base32, base62, base64; it must mix letters and digits):
 * runs: the number of changes between digits, lower and upper case letters
   and marks; text changes at no more than ``TEXT_CHANGES`` of its places;
 * serial correlation of neighbours; structured strings (counters, patterns)
-  have at least ``SERIAL``.
-
-A secret must refute all three, so the largest p-value counts. False
+  have at least ``SERIAL``;
+* words: the share of the letters and digits that stand in word-like runs (three
+  lower case letters or more with a vowel, with or without a capital before
+  them); paths, identifiers and names of versions have at least ``WORDED`` of
+  them there, random characters about a fifth. A run of four is one observation.
+  Tokens without lower case letters are not asked (base32 has long runs of
+  capitals), nor is hex, whose letters hardly make words.
+
+A secret must refute all of them, so the largest p-value counts. False
 discoveries are controlled by Benjamini-Hochberg within each length class
 (short tokens carry less evidence and must not ride on long ones), on
 p-values rounded up to a fixed grid, so a class needs one bounded histogram.
@@ -47,6 +53,8 @@ LENGTHS = [32, 48, 96]      # length classes: <32, <48, <96, longer
 FALSE_DISCOVERY = 0.05
 TEXT_CHANGES = 0.15
 SERIAL = 0.7
+WORDED = 0.8
+WORD_RUN = 4
 GRID = 4                    # p-values are kept as floor(-GRID * ln p)
 TOP_BIN = 400
 BLOCK = 256
@@ -118,8 +126,11 @@ def alphabet(token: Column) -> Column:
                   .when(bare.rlike("^[A-Za-z0-9]+$"), 62).otherwise(64))
 
 
+WORD = "[A-Z]?(?=[a-z]*[aeiouy])[a-z]{3,}"
+
+
 def battery(token: Column) -> Column:
-    """The largest p-value of the three tests (see the module's text)."""
+    """The largest p-value of the tests (see the module's text)."""
     bare = F.regexp_replace(token, "=+$", "")
     n = F.length(bare).cast("double")
     chars = F.split(bare, "")
@@ -144,7 +155,15 @@ def battery(token: Column) -> Column:
     r = F.least(F.abs(F.coalesce(F.try_divide(sums["c"], sums["v"]), F.lit(1.0))),
                 F.lit(0.999999))
     serial = _normal_tail((F.atanh(r) - math.atanh(SERIAL)) * F.sqrt(n - 3))
-    return F.greatest(uniform, runs, serial)
+    # Marks separate words and belong to neither side.
+    marks = F.regexp_replace(bare, "[^A-Za-z0-9]+", "")
+    m = F.greatest(F.length(marks).cast("double"), F.lit(1.0))
+    rest = F.length(F.regexp_replace(F.regexp_replace(
+        bare, WORD, ""), "[^A-Za-z0-9]+", "")).cast("double")
+    spread = math.sqrt(WORDED * (1 - WORDED) * WORD_RUN)
+    words = _normal_tail((1 - rest / m - WORDED) * F.sqrt(m) / spread)
+    asked = bare.rlike("[a-z]") & ~alphabet(token).eqNullSafe(16)
+    return F.greatest(uniform, runs, serial, F.when(asked, words).otherwise(F.lit(0.0)))
 
 
 def _length_class(n: Column) -> Column:

@@ -285,6 +285,56 @@ def test_random_tokens_are_found_and_others_are_not(spark):
     assert secret_scan.secret_scan(empty, ["doc_id"]).count() == 0
 
 
+WORDS = ("get user element by id and update with retry python local share site packages module "
+         "handler factory service config default value string buffer reader message queue index "
+         "table customer order client server request response example release build version "
+         "hotfix candidate internal common platform android windows session token stream").split()
+
+
+def structured(rng):
+    """Strings of code and configuration that hold letters and digits, by kind."""
+    w = lambda k: [rng.choice(WORDS) for _ in range(k)]
+    n = lambda: str(rng.randrange(1, 10 ** rng.randrange(1, 5)))
+    camel = lambda k: "".join(x.capitalize() for x in w(k))
+    return {
+        "path": "/".join([*w(4), rng.choice(WORDS) + n(), *w(2)]),
+        "class": "/".join(w(2)) + "/" + camel(2) + n() + camel(2) + "V" + n(),
+        "camel": rng.choice(WORDS) + camel(4) + n() + camel(1),
+        "snake": "_".join([*w(4), n()]),
+        "version": "-".join([*w(3), "v" + n(), "rc" + n(), rng.choice(WORDS)]),
+        "url": "https://example.com/" + "/".join([*w(3), n(), *w(2)]) + "?id=" + n(),
+        "uuid": "-".join("%0*x" % (k, rng.randrange(16 ** k)) for k in (8, 4, 4, 4, 12)),
+        "date": f"20{rng.randrange(10, 99)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}T"
+                f"1{rng.randrange(9)}-2{rng.randrange(9)}-3{rng.randrange(9)}-{n()}Z",
+    }
+
+
+def test_structured_strings_are_no_secrets(spark):
+    """Among ten times as many paths, identifiers, versions and links, fewer than 5 %
+    of the added spans are false; recall by encoding and length."""
+    rng = random.Random(12)
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    random_kinds = {("base62", k): (lower + upper + digit, k) for k in (32, 40, 64, 100)}
+    random_kinds |= {("base64", k): (lower + upper + digit + "+/", k) for k in (40, 64)}
+    rows, kind_of = [], []
+    for kind, (letters, k) in random_kinds.items():
+        for _ in range(60):
+            kind_of.append(kind)
+            rows.append("".join(rng.choices(letters, k=k)))
+    for _ in range(450):
+        for kind, text in structured(rng).items():
+            kind_of.append(kind)
+            rows.append(text)
+    df = spark.createDataFrame(list(enumerate(f"see {r} now" for r in rows)),
+                               "doc_id bigint, text string")
+    got = secret_scan.secret_scan(df, ["doc_id"]).collect()
+    hit = [kind_of[r.doc_id] for r in got if any(s.kind == 3 for s in r.spans)]
+    false = sum(k not in random_kinds for k in hit)
+    recall = {k: hit.count(k) / 60 for k in random_kinds}
+    assert false < 0.05 * len(hit), (false, len(hit))
+    assert min(recall.values()) > 0.7, recall
+
+
 # -- benchmark leaks ----------------------------------------------------------
 
 def leak_words(text):
