@@ -38,7 +38,7 @@ from .components import connected_components
 
 THRESHOLD = 0.95
 LEADING = 8         # principal dimensions of grid and boxes
-INTERVAL = 2048     # vectors of an interval that is shipped to a task
+INTERVAL = 4096     # vectors of an interval that is shipped to a task
 FAN = 8             # intervals that the join of boxes splits one into
 LEAF = 128          # vectors of an interval that is not split further
 DOUBT = 1e-12
