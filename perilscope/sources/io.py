@@ -169,9 +169,10 @@ def fingerprint(inputs: Sequence[DataFrame] = (), parameters: object = None) ->
 
 
 def _manifest_path(paths: dict[str, str]) -> str:
-    """Beside the first artefact, named after all."""
-    first = min(paths.values()).rstrip("/")
-    return f"{first.rsplit('/', 1)[0]}/{'+'.join(sorted(paths))}.manifest.json"
+    """Beside the first artefact, one for each set of artefacts."""
+    own = sorted((k, p.rstrip("/")) for k, p in paths.items())
+    mark = hashlib.sha256(json.dumps(own).encode()).hexdigest()[:12]
+    return f"{min(p for _, p in own)}.{mark}.manifest.json"
 
 
 def _read_stored(spark: SparkSession, paths: dict[str, str],
