@@ -1467,6 +1467,12 @@ def _bakeoff(spark, sf_dir, with_lag, *args, **options):
     return _BAKEOFFS[key]
 
 
+def forget_searches() -> None:
+    """Searches run anew afterwards (the bench times them whole)."""
+    _SEARCHES.clear()
+    _BAKEOFFS.clear()
+
+
 @query("bakeoff")
 def q_bakeoff(spark, sf_dir):
     """C17 / M8: forest vs boosting vs histogram-style boosting on the
