@@ -12,6 +12,9 @@ specific one has. Identifiers that no rule uses count as unmatched.
 Everything is a column expression on the row, so nothing is shuffled. Texts
 without any cue word, which every known sentence has, skip the work.
 
+A sentence that denies a licence ("not licensed under", "do not use") counts as
+any other sentence.
+
 Defined results: null and empty texts have no licences; a licence named twice
 is listed twice; each known value of an SPDX line is a licence, any other one
 is unmatched; repeated rows are scanned each; extra columns are ignored.
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 GAP = 2
 CUES = ["licen", "copyright", "permission", "warrant", "redistribut", "spdx",
-        "public domain", "liab", "endorse", "rights reserved"]
+        "public domain", "liab", "endorse", "rights reserved", "misrepresented",
+        "plainly marked", "source distribution"]
 
 # Identifier -> phrase that the normalised sentence contains.
 SENTENCES = {
@@ -50,6 +54,9 @@ SENTENCES = {
     "gpl-free": "you can redistribute it and or modify it",
     "gpl-v3": "either version 3 of the license",
     "gpl-v2": "either version 2 of the license",
+    "gpl-v21": "either version 2.1 of the license",
+    "lgpl21-name": "gnu lesser general public license version 2.1",
+    "lgpl3-name": "gnu lesser general public license version 3",
     "lgpl-name": "gnu lesser general public license",
     "agpl-name": "gnu affero general public license",
     "gpl3-name": "gnu general public license version 3",
@@ -58,6 +65,21 @@ SENTENCES = {
     "gpl-hope": "distributed in the hope that it will be useful but without any warranty",
     "mpl2-name": "mozilla public license v 2.0",
     "mpl2-name-long": "mozilla public license version 2.0",
+    "epl2-name": "eclipse public license v 2.0",
+    "epl2-name-long": "eclipse public license version 2.0",
+    "epl2-name-short": "eclipse public license 2.0",
+    "epl1-name": "eclipse public license v1.0",
+    "epl1-name-long": "eclipse public license version 1.0",
+    "boost-name": "boost software license version 1.0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization "
+                   "obtaining a copy of the software and accompanying documentation covered "
+                   "by this license",
+    "zlib-name": "zlib license",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose",
+    "zlib-origin": "the origin of this software must not be misrepresented",
+    "zlib-altered": "altered source versions must be plainly marked as such",
+    "zlib-notice": "this notice may not be removed or altered from any source distribution",
     "unlicense-free": "this is free and unencumbered software released into the public domain",
     "cc0-name": "licensed under cc0 1.0",
     "cc-by-nc-sa": "licensed under cc by nc sa 4.0",
@@ -74,11 +96,12 @@ SENTENCES = {
 SPDX = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0",
         "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0",
         "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
-        "CC-BY-ND-4.0", "CC-BY-4.0"]
+        "CC-BY-ND-4.0", "CC-BY-4.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Zlib"]
 SENTENCES |= {f"spdx {x}": f"spdx license identifier {x.lower().replace('-', ' ')} spdx"
               for x in SPDX}
 # A sentence that names the version is not also the unversioned name.
-INCLUDED = {"gpl-name": ["gpl3-name", "gpl2-name"], "spdx": [f"spdx {x}" for x in SPDX]}
+INCLUDED = {"gpl-name": ["gpl3-name", "gpl2-name"],
+            "lgpl-name": ["lgpl21-name", "lgpl3-name"], "spdx": [f"spdx {x}" for x in SPDX]}
 
 # GNU notices: the version stands before the name, or after it when a ";" cuts
 # the sentence; the whole notice goes on with the warranty and the name again.
@@ -86,9 +109,17 @@ GNU = [(licence, ["gpl-free", *order, *["gpl-hope"][:rest], *[name] * (rest - 1)
        for rest in (3, 2, 1, 0)
        for licence, version, name in (("GPL-3.0", "gpl-v3", "gpl-name"),
                                       ("GPL-2.0", "gpl-v2", "gpl-name"),
+                                      ("LGPL-2.1", "gpl-v21", "lgpl-name"),
                                       ("LGPL-3.0", "gpl-v3", "lgpl-name"),
                                       ("AGPL-3.0", "gpl-v3", "agpl-name"))
        for order in ([version, name], [name, version])]
+# Notices of one version only: "under the terms of the ... version 2 as published".
+GNU += [(licence, ["gpl-free", name, *["gpl-hope"][:rest], *[plain] * (rest - 1)])
+        for rest in (3, 2, 1, 0)
+        for licence, name, plain in (("GPL-2.0", "gpl2-name", "gpl-name"),
+                                     ("GPL-3.0", "gpl3-name", "gpl-name"),
+                                     ("LGPL-2.1", "lgpl21-name", "lgpl-name"),
+                                     ("LGPL-3.0", "lgpl3-name", "lgpl-name"))]
 
 # Ordered rules, licence -> identifiers in order.
 RULES = [
@@ -103,6 +134,18 @@ RULES = [
     ("ISC", ["isc-grant"]),
     *GNU,
     ("Unlicense", ["unlicense-free"]),
+    ("BSL-1.0", ["boost-name"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-asis", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"]),
+    ("Zlib", ["zlib-grant", "zlib-origin"]),
+    ("Zlib", ["zlib-name"]),
+    ("EPL-2.0", ["epl2-name"]),
+    ("EPL-2.0", ["epl2-name-long"]),
+    ("EPL-2.0", ["epl2-name-short"]),
+    ("EPL-1.0", ["epl1-name"]),
+    ("EPL-1.0", ["epl1-name-long"]),
+    ("LGPL-2.1", ["lgpl21-name"]),
+    ("LGPL-3.0", ["lgpl3-name"]),
     ("LGPL", ["lgpl-name"]),
     ("AGPL", ["agpl-name"]),
     ("GPL-3.0", ["gpl3-name"]),
@@ -124,8 +167,11 @@ RULES = [
 ]
 
 CUE = "(?i)" + "|".join(c.replace(" ", r"[^A-Za-z0-9]+") for c in CUES)
-# A sentence ends at a mark before white space, or at a blank line.
-SENTENCE_END = r"[.!?;:]+(?=\s|$)|\n\s*\n"
+# A sentence ends at a mark before white space, or at a blank line; the dot of an
+# abbreviation of "version" or "number" does not end one.
+SENTENCE_END = r"(?<!\b(?:v|V|ver|Ver|no|No))[.!?;:]+(?=\s|$)|\n\s*\n"
+# A sentence that says this names a licence that does not hold.
+DENIED = " (?:not (?:be )?(?:licensed|released|available) under|do not use|don t use) "
 # "SPDX-License-Identifier:" and its values, which AND and OR connect; the
 # exceptions after WITH are not licences.
 SPDX_LINE = (r"(?i)(?:\bspdx[^A-Za-z0-9]+license[^A-Za-z0-9]+identifier[ \t]*:[ \t]*|(?!^)\G)"
@@ -158,7 +204,8 @@ def identifiers(text: Column) -> Column:
             for x in over if name in has else []:
                 has[name] = has[name] & ~has[x]
         found = F.array_compact(F.array(*[F.when(h, number[n]) for n, h in has.items()]))
-        return F.when(F.size(found) == 0, F.array(F.lit(-1))).otherwise(found)
+        denied = normalise(sentence).rlike(DENIED)
+        return F.when(denied | (F.size(found) == 0), F.array(F.lit(-1))).otherwise(found)
 
     # Sentences without a cue cannot be known ones.
     other = F.array(F.lit(-1))

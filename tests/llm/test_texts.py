@@ -229,6 +229,36 @@ def test_every_known_sentence_has_a_cue():
     assert all(i in license_scan.SENTENCES for _, ids in license_scan.RULES for i in ids)
 
 
+NOTICES = {
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, "
+               "v. 2.0. If a copy of the MPL was not distributed with this file, you can get one.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under "
+                "the terms of the GNU Lesser General Public License as published by the Free "
+                "Software Foundation; either version 2.1 of the License, or any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the "
+               "terms of the GNU General Public License version 2 as published by the FSF.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See the file.)",
+    "EPL-2.0": "This program is made available under the terms of the Eclipse Public License "
+               "v. 2.0 which is available at the site.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no "
+            "event will the authors be held liable for any damages. Permission is granted to "
+            "anyone to use this software for any purpose, subject to these: 1. The origin of "
+            "this software must not be misrepresented; you must not claim it. 2. Altered source "
+            "versions must be plainly marked as such. 3. This notice may not be removed or "
+            "altered from any source distribution.",
+}
+
+
+def test_common_notices_and_denials(spark):
+    rows = [*NOTICES.values(), "Not licensed under Apache License, Version 2.0.",
+            "Do not use the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: (list(r.licenses), r.n_unmatched)
+           for r in license_scan.scan(df, ["doc_id"]).collect()}
+    want = [([k], 0) for k in NOTICES] + [([], 0), ([], 0), (["Apache-2.0"], 0)]
+    assert [got[i] for i in range(len(rows))] == want
+
+
 # -- secrets ------------------------------------------------------------------
 
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
@@ -516,3 +546,62 @@ def test_held_out_fold(spark):
     got = {r.doc_id: r.h for r in df.select("doc_id", quality_cnn.held_out(F.col("doc_id"))
                                             .alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in got.items())
+
+
+def naive_features(model, text):
+    """Every window of a text by itself, in plain loops."""
+    E, W, c = (model.p[k].astype(float) for k in ("E", "W", "c"))
+    values = [*text, *[256] * quality_cnn.WIDTH]
+    out = np.zeros(quality_cnn.FILTERS)
+    for at in range(0, len(text), quality_cnn.CHUNK):
+        size = min(quality_cnn.CHUNK, len(text) - at)
+        best = np.full(quality_cnn.FILTERS, -np.inf)
+        for i in range(at, at + size):
+            window = np.concatenate([E[values[i + j]] for j in range(quality_cnn.WIDTH)])
+            best = np.maximum(best, window @ W + c)
+        out += np.maximum(best, 0) * size / len(text)
+    return out
+
+
+def _small_model(seed):
+    model = quality_cnn.Model(np.random.default_rng(seed))
+    model.p["c"] += np.linspace(-0.2, 0.2, quality_cnn.FILTERS).astype(np.float32)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    return model
+
+
+def _joined(texts):
+    return (np.frombuffer(b"".join(texts), np.uint8),
+            np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+
+def test_convolution_equals_naive_loops():
+    rng = random.Random(3)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 5, 255, 256, 257, 700, 0, 12)]
+    model = _small_model(1)
+    got = model.score(*_joined(texts))
+    for text, score in zip(texts, got):
+        z = (naive_features(model, text) @ model.p["v"] + model.p["b"])[0] if text else model.p["b"][0]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_gradients_equal_finite_differences():
+    texts = [b"good clear prose here", b"buy now!!! $$$ cheap", b"x", b"another line of text" * 20]
+    y, weight = np.array([1.0, 0, 0, 1]), np.array([1.0, 2, 1, 0.5])
+    model, data = _small_model(2), _joined(texts)
+
+    def loss():
+        p = model.score(*data)
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum()
+
+    grads, rng = model.gradients(*data, y, weight), np.random.default_rng(0)
+    for k, g in grads.items():
+        flat = model.p[k].reshape(-1)
+        large = np.argsort(-np.abs(g.reshape(-1)))[:3]
+        for i in [*large, *rng.integers(0, 256 if k == "E" else flat.size, 3)]:
+            was, step, found = flat[i], 1e-3, []
+            for s in (step, -step):
+                flat[i] = was + s
+                found.append(loss())
+            flat[i] = was
+            assert g.reshape(-1)[i] == pytest.approx((found[0] - found[1]) / (2 * step), abs=2e-3)
