@@ -12,7 +12,8 @@ import __spark_entry__ as E
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = E.oracle_sql()
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-          "events", "documents", "pages", "benchmark", "labels", "conversations"]
+          "events", "documents", "embeddings", "pages", "benchmark", "labels",
+          "conversations"]
 
 
 def norm(v):
