@@ -195,10 +195,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 
 def mark(docs: DataFrame, leaks: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``item_ids`` (empty where clean)."""
+    """Every row of ``docs`` with ``leaked_items`` (empty where clean), which
+    replaces a column of that name."""
     found = leaks.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"),
                          F.col("item_ids").alias("__items"))
-    return (docs.withColumn("__t", F.xxhash64(F.col(text)))
+    return (docs.drop("leaked_items").withColumn("__t", F.xxhash64(F.col(text)))
             .join(found, F.col("doc_id").eqNullSafe(F.col("__d"))
                   & (F.col("__t") == F.col("__h")), "left")
             .withColumn("__items", F.coalesce("__items", F.array().cast(
