@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -76,10 +77,18 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4,
     return conf
 
 
+_SHIPPING = threading.Lock()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors (once per application), so that
-    functions of Python tasks can be imported there."""
-    sc = spark.sparkContext
+    functions of Python tasks can be imported there. Searches run in threads, so
+    only one of them ships."""
+    with _SHIPPING:
+        _ship(spark.sparkContext)
+
+
+def _ship(sc) -> None:
     if getattr(sc, "_perilscope_code", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
