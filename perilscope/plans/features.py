@@ -24,6 +24,7 @@ from ..operators.aggregate import distinct_periods
 from ..operators.filters import drop_null, exclude_entities
 from ..operators.joins import attach_global_stats, semi_join_valid
 from ..operators.order import column_medians
+from ..session import stage
 
 IMPACTS = [f"{h}_impact" for h in HAZARDS]
 HUMAN_BURDEN_PARTS = ["log_total_affected", "log_total_death",
@@ -156,7 +157,11 @@ def prediction_input(features: DataFrame, cutoff: int, lo: int, hi: int,
     pred = pred.withColumns({
         c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}"), F.lit(0.0))
         for c in MEDIAN_FILLED})
-    return pred.drop(*[f"_med_{c}" for c in MEDIAN_FILLED])
+    pred = pred.drop(*[f"_med_{c}" for c in MEDIAN_FILLED])
+    # One row per entity. Written, because Catalyst derives constraints from the
+    # nested fills: filters above them (complete cases, rows with a CLI) made it
+    # derive so many that planning the forecast filled the driver's memory.
+    return stage(pred, "prediction-input")
 
 
 def score_latest(pred: DataFrame, stats: DataFrame,
